@@ -34,21 +34,27 @@ EASTER_HOLIDAYS = {
 SINGLE_HOLIDAYS = {"DE": [("2017-10-31", "Reformation Day")]}
 
 
-def _quotient(a: Column, b: int) -> Column:
-    return F.floor(a / F.lit(b)).cast("int")
+# First and last year of the holiday rules (Gregorian calendar).
+FIRST_YEAR, LAST_YEAR = 1583, 2500
+
+
+def _easter_offset(year: int) -> int:
+    """Days from 22 March to Easter Sunday by Gauss's rule with its century terms."""
+    century = year // 100
+    moon = (15 + century - century // 4 - (13 + 8 * century) // 25) % 30
+    sun = (4 + century - century // 4) % 7
+    golden = year % 19
+    d = (19 * golden + moon) % 30
+    e = (2 * (year % 4) + 4 * (year % 7) + 6 * d + sun) % 7
+    late = e == 6 and (d == 29 or (d == 28 and golden > 10))
+    return d + e - (7 if late else 0)
 
 
 def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter Sunday of ``year`` by Gauss's rule with its century terms."""
-    century = _quotient(year, 100)
-    moon = F.pmod(15 + century - _quotient(century, 4) - _quotient(13 + 8 * century, 25), F.lit(30))
-    sun = F.pmod(4 + century - _quotient(century, 4), F.lit(7))
-    golden = F.pmod(year, F.lit(19))
-    d = F.pmod(19 * golden + moon, F.lit(30))
-    e = F.pmod(2 * F.pmod(year, F.lit(4)) + 4 * F.pmod(year, F.lit(7)) + 6 * d + sun, F.lit(7))
-    late = (e == 6) & ((d == 29) | ((d == 28) & (golden > 10)))
-    days = d + e - F.when(late, 7).otherwise(0)
-    return F.date_add(F.make_date(year, F.lit(3), F.lit(22)), days.cast("int"))
+    """Easter Sunday of ``year``: one look-up in an array constant, so the expression stays small in generated code."""
+    offsets = F.lit([_easter_offset(y) for y in range(FIRST_YEAR, LAST_YEAR + 1)])
+    days = F.try_element_at(offsets, (year - (FIRST_YEAR - 1)).cast("int"))
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(22)), days)
 
 
 def is_holiday(date: Column, country: str = "DE") -> Column:
