@@ -311,7 +311,7 @@ def w01_profile_orders(spark, sf):
 
 
 def w02_single_date(spark, sf):
-    return _rounded(profile.profile_for_date(complete(spark, sf), "20240127"), "pslp")
+    return _rounded(profile.profile_for_date(cut_lineage(complete(spark, sf)), "20240127"), "pslp")
 
 
 def w02_future(spark, sf):
@@ -507,8 +507,8 @@ def m08_fitted(spark, sf):
 
 
 def _scaled(spark, sf):
-    rows = complete(spark, sf)
-    return cut_lineage(scale.scale(rows, scale.fit_scaler(rows)))
+    rows = cut_lineage(complete(spark, sf))
+    return scale.scale(rows, scale.fit_scaler(rows))
 
 
 def m09_network_scores(spark, sf):

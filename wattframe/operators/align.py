@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.timegrid import grid_index, grid_time
 from .blocks import join_per_key
@@ -38,19 +38,25 @@ def downsample(readings: DataFrame, seconds: int = 3_600) -> DataFrame:
 
     All bins between the first and the last timestamp of the area are present;
     a bin without data has a null value. Partial aggregation runs before the
-    only large shuffle, so a crowded bin is no hot spot.
+    only large shuffle, so a crowded bin is no hot spot. The full grid is made
+    from the binned cells, not from a second scan of the readings.
     """
-    binned = readings.select("area", "series", grid_index("ts", seconds).alias("_bin"), "value")
-    span = binned.groupBy("area").agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))
-    names = binned.select("area", "series").distinct()
-    spine = names.join(span, "area").select(
-        "area", "series", F.explode(F.sequence("_lo", "_hi")).alias("_bin"), F.lit(None).cast("double").alias("value")
-    )
-    return (
-        binned.unionByName(spine)
-        .groupBy("area", "series", "_bin")
+    cells = (
+        readings.groupBy("area", "series", grid_index("ts", seconds).alias("_bin"))
         .agg(F.avg("value").alias("value"))
-        .select("area", grid_time(F.col("_bin"), seconds).alias("ts"), "series", "value")
+    )
+    # The count is kept alive by the filter: with the same columns on both
+    # sides the exchange of the cells is computed once and reused.
+    spans = cells.groupBy("area", "series").agg(
+        F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"), F.count("value").alias("_n")
+    ).where("_n >= 0")
+    area = Window.partitionBy("area")
+    spine = (
+        spans.withColumns({"_lo": F.min("_lo").over(area), "_hi": F.max("_hi").over(area)})
+        .select("area", "series", F.explode(F.sequence("_lo", "_hi")).alias("_bin"))
+    )
+    return spine.join(cells, ["area", "series", "_bin"], "left").select(
+        "area", grid_time(F.col("_bin"), seconds).alias("ts"), "series", "value"
     )
 
 

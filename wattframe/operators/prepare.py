@@ -69,34 +69,45 @@ def interpolate_time(df: DataFrame, block_seconds: int = 30 * 86_400) -> DataFra
     the default suits quarter-hours and hours.
     """
     keys = ["area", "series", "_block"]
-    rows = df.select("area", "ts", "series", "value", epoch_exact("ts").alias("_t"))
-    rows = rows.withColumn("_block", F.floor(F.col("_t") / block_seconds))
-    known = F.when(F.col("value").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("value").alias("v")))
+    rows = (
+        df.select("area", "series", "ts", "value")
+        .withColumn("_block", F.floor(epoch_exact("ts") / block_seconds))
+        .repartition(*keys)
+    )
+    seen = F.when(F.col("value").isNotNull(), F.col("ts"))
 
-    edges = rows.groupBy(*keys).agg(F.min(known).alias("_first"), F.max(known).alias("_last"))
+    # Same columns and partitioning as the rows, so the summary adds no shuffle
+    # and the rows are computed once.
+    edges = rows.groupBy(*keys).agg(
+        F.min(seen).alias("_t0"), F.min_by("value", seen).alias("_v0"),
+        F.max(seen).alias("_t1"), F.max_by("value", seen).alias("_v1"),
+    )
     # "Everything before" in both directions: a frame up to the end of the
     # partition would be evaluated anew for every row.
     forward = Window.partitionBy("area", "series").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     backward = Window.partitionBy("area", "series").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *keys,
-        F.last("_last", True).over(forward).alias("_before"),
-        F.last("_first", True).over(backward).alias("_after"),
+        F.last("_t1", True).over(forward).alias("_bt"), F.last("_v1", True).over(forward).alias("_bv"),
+        F.last("_t0", True).over(backward).alias("_at"), F.last("_v0", True).over(backward).alias("_av"),
     )
 
-    up = Window.partitionBy(*keys).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
     spanned = (
-        rows.join(carried, keys)
-        .withColumn("_p", F.coalesce(F.last(known, True).over(up), "_before"))
-        .withColumn("_n", F.coalesce(F.last(known, True).over(down), "_after"))
+        rows.join(carried, keys, "left")
+        .withColumn("_pt", F.coalesce(F.last(seen, True).over(up), "_bt"))
+        .withColumn("_pv", F.coalesce(F.last("value", True).over(up), "_bv"))
+        .withColumn("_nt", F.coalesce(F.last(seen, True).over(down), "_at"))
+        .withColumn("_nv", F.coalesce(F.last("value", True).over(down), "_av"))
     )
-    share = (F.col("_t") - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
+    start = epoch_exact("_pt")
+    share = (epoch_exact("ts") - start) / (epoch_exact("_nt") - start)
     filled = (
         F.when(F.col("value").isNotNull(), F.col("value"))
-        .when(F.col("_p").isNull(), F.lit(None).cast("double"))
-        .when(F.col("_n").isNull(), F.col("_p.v"))
-        .otherwise(F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * share)
+        .when(F.col("_pt").isNull(), F.lit(None).cast("double"))
+        .when(F.col("_nt").isNull(), F.col("_pv"))
+        .otherwise(F.col("_pv") + (F.col("_nv") - F.col("_pv")) * share)
     )
     return spanned.select("area", "ts", "series", filled.alias("value"))
 

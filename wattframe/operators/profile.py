@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.daytype import day_type, next_same_type
 from ..functions.timegrid import DAY_SECONDS, grid_time, slot_of_day
+from ..session import cut_lineage
 
 PARTIAL_MODES = ("error", "skip", "null")
 
@@ -23,8 +24,11 @@ def _kind(holidays: DataFrame | None, country: str) -> Column:
 
 def day_table(df: DataFrame, step: int, country: str = "DE", holidays: DataFrame | None = None) -> DataFrame:
     """One row per (area, date): day type, number of slots, full-day flag (A-06, P-09, W-05)."""
-    counts = df.select("area", _date().alias("date"), slot_of_day("ts", step).alias("slot")).distinct()
-    days = counts.groupBy("area", "date").agg(F.count("*").alias("n_slots"))
+    # A set of slots is at most one day long.
+    slots = F.collect_set(slot_of_day("ts", step))
+    days = df.select("area", "ts").distinct().groupBy("area", _date().alias("date")).agg(
+        F.size(slots).alias("n_slots")
+    )
     if holidays is not None:
         listed = holidays.where(F.col("country") == country).select("date", F.lit(True).alias("_holiday")).distinct()
         days = days.join(listed, "date", "left")
@@ -142,6 +146,11 @@ def future_profiles(
     """
     _check_mode(on_partial)
     days = day_table(df, step, country, holidays)
+    return _future_means(df, days, _future_targets(days, country, holidays), lookback, step, on_partial, strict)
+
+
+def _future_targets(days: DataFrame, country: str, holidays: DataFrame | None) -> DataFrame:
+    """First date of each day type in the week after the data."""
     ends = days.groupBy("area").agg(F.max("date").alias("data_end"))
     week = ends.select(
         "area", F.explode(F.sequence(F.date_add("data_end", 1), F.date_add("data_end", 7))).alias("date")
@@ -149,15 +158,19 @@ def future_profiles(
     if holidays is not None:
         listed = holidays.where(F.col("country") == country).select("date", F.lit(True).alias("_holiday")).distinct()
         week = week.join(listed, "date", "left")
-    targets = (
+    return (
         week.select("area", "date", _kind(holidays, country).alias("day_type"))
         .groupBy("area", "day_type")
         .agg(F.min("date").alias("target_date"))
     )
+
+
+def _future_means(
+    df: DataFrame, days: DataFrame, targets: DataFrame, lookback: int, step: int, on_partial: str, strict: bool
+) -> DataFrame:
     usable = days.where("full") if on_partial == "skip" else days
     chosen = last_days(usable, lookback).join(targets, ["area", "day_type"])
-    per_type = Window.partitionBy("area", "day_type")
-    chosen = chosen.withColumn("_n", F.count("*").over(per_type))
+    chosen = chosen.withColumn("_n", F.count("*").over(Window.partitionBy("area", "day_type")))
     if strict:
         message = F.concat(F.lit(f"fewer than {lookback} days of day type "), F.col("day_type").cast("string"))
         short = F.when(F.col("_n") < lookback, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
@@ -183,16 +196,15 @@ def profile_for_date(
     """
     _check_mode(on_partial)
     day = dt.datetime.strptime(date, "%Y%m%d").date()
-    days = day_table(df, step, country, holidays)
+    days = cut_lineage(day_table(df, step, country, holidays))
     first, last = days.agg(F.min("date"), F.max("date")).first()
     if first is None or day < first:
         raise IndexError(f"no profile: {date} lies before the data")
     if day > last:
-        future = future_profiles(df, lookback, step, country, holidays, on_partial, strict=True)
-        wanted = future.where(_date() == F.lit(day))
-        if wanted.isEmpty():
+        targets = _future_targets(days, country, holidays).where(F.col("target_date") == F.lit(day))
+        if targets.isEmpty():
             raise IndexError(f"no profile: {date} lies too far after the data")
-        return wanted
+        return _future_means(df, days, targets, lookback, step, on_partial, strict=True)
     target = days.where(F.col("date") == F.lit(day)).select("area", "day_type", F.col("date").alias("target_date"))
     usable = days.where("full") if on_partial == "skip" else days
     earlier = usable.where(F.col("date") < F.lit(day))

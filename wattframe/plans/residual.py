@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.timegrid import to_local
 from ..operators import align, prepare, profile, scale
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,9 @@ def residual_dataset(
     The profile is a mean of values, so the profile of the scaled values is the
     scaled profile: one window pass serves both.
     """
-    scaler = scale.fit_scaler(rows) if scaler is None else scaler
+    if scaler is None:
+        rows = cut_lineage(rows)  # read by the scaler, the day table and the profile
+        scaler = scale.fit_scaler(rows)
     profiled = profile.residuals(profile.profiles(rows, lookback, step, country, holidays, on_partial))
     low, high = scale._bounds(scaler)
     width = F.when(high == low, F.lit(1.0)).otherwise(high - low)
