@@ -17,32 +17,32 @@ def _with(*parts: str) -> str:
 
 # ---------------------------------------------------------------- common table expressions
 
-EVENTS = "raw AS (SELECT 'web' AS area, ts, event_type AS series, value FROM events)"
+EVENTS = "raw AS (SELECT substr(props, 3, 1) AS area, ts, event_type AS series, value FROM events)"
 
 
 def binned(seconds: int = 3600, name: str = "cells") -> str:
     bin_start = f"make_timestamp(CAST(floor(epoch(ts) / {seconds}) AS BIGINT) * {seconds} * 1000000)"
-    return f"{name} AS (SELECT 'web' AS area, {bin_start} AS ts, event_type AS series, avg(value) AS value " \
+    return f"{name} AS (SELECT substr(props, 3, 1) AS area, {bin_start} AS ts, event_type AS series, avg(value) AS value " \
         "FROM events GROUP BY ALL)"
 
 
 def grid(source: str = "cells", name: str = "hourly") -> str:
     return f"""{name} AS (
-  SELECT 'web' AS area, t.ts, s.series, c.value
-  FROM (SELECT DISTINCT ts FROM {source}) t CROSS JOIN (SELECT DISTINCT series FROM {source}) s
-  LEFT JOIN {source} c ON c.ts = t.ts AND c.series = s.series)"""
+  SELECT area, ts, series, c.value
+  FROM (SELECT DISTINCT area, ts FROM {source}) t JOIN (SELECT DISTINCT area, series FROM {source}) s USING (area)
+  LEFT JOIN {source} c USING (area, ts, series))"""
 
 
-def spine(source: str, seconds: int, name: str, area: str) -> str:
-    """Mean per bin on a full grid."""
+def spine(source: str, seconds: int, name: str) -> str:
+    """Mean per bin on the full grid of each area."""
     start = f"make_timestamp(CAST(floor(epoch(ts) / {seconds}) AS BIGINT) * {seconds} * 1000000)"
-    return f"""{name}_m AS (SELECT {start} AS ts, series, avg(value) AS value FROM {source} GROUP BY ALL),
+    return f"""{name}_m AS (SELECT area, {start} AS ts, series, avg(value) AS value FROM {source} GROUP BY ALL),
 {name} AS (
-  SELECT '{area}' AS area, t.ts, s.series, m.value
-  FROM (SELECT unnest(generate_series((SELECT min(ts) FROM {name}_m), (SELECT max(ts) FROM {name}_m),
-        INTERVAL {seconds} SECOND)) AS ts) t
-  CROSS JOIN (SELECT DISTINCT series FROM {source}) s
-  LEFT JOIN {name}_m m ON m.ts = t.ts AND m.series = s.series)"""
+  SELECT area, ts, series, m.value
+  FROM (SELECT area, unnest(generate_series(min(ts), max(ts), INTERVAL {seconds} SECOND)) AS ts
+        FROM {name}_m GROUP BY area) t
+  JOIN (SELECT DISTINCT area, series FROM {source}) s USING (area)
+  LEFT JOIN {name}_m m USING (area, ts, series))"""
 
 
 def filled(source: str, name: str) -> str:
@@ -62,7 +62,7 @@ def filled(source: str, name: str) -> str:
   FROM {name}_k)"""
 
 
-COMPLETE = ",\n".join([EVENTS, spine("raw", 3600, "hours", "web"), filled("hours", "complete")])
+COMPLETE = ",\n".join([EVENTS, spine("raw", 3600, "hours"), filled("hours", "complete")])
 
 HOLIDAYS = f"""easter(e) AS (SELECT CAST(col0 AS DATE) FROM (VALUES {EASTER})),
 years AS (SELECT year(e) AS y FROM easter),
@@ -90,36 +90,38 @@ def day_types(source: str, name: str = "days") -> str:
 
 
 ORDER_DATES = "dates AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)"
-LINES = "lines AS (SELECT 'shop' AS area, l_shipdate AS ts, l_returnflag || ' ' || l_linestatus AS series, " \
+LINES = "lines AS (SELECT l_linestatus AS area, l_shipdate AS ts, l_returnflag || ' ' || l_linestatus AS series, " \
     "l_quantity AS value FROM lineitem)"
 DAILY_ORDERS = ",\n".join([
-    "priced AS (SELECT o_orderdate AS ts, o_orderpriority AS series, o_totalprice / 1000 AS value FROM orders)",
-    spine("priced", 86400, "order_days", "shop"),
+    "priced AS (SELECT o_orderstatus AS area, o_orderdate AS ts, o_orderpriority AS series, o_totalprice / 1000 AS value FROM orders)",
+    spine("priced", 86400, "order_days"),
     "daily AS (SELECT area, ts, series, coalesce(value, 0) AS value FROM order_days)",
 ])
 
 
-def profile(source: str, k: int, step: int, name: str = "profiled") -> str:
+def profile(source: str, k: int, name: str = "profiled") -> str:
     """Day by day: the k latest earlier dates of the same day type, then the slot means over them."""
-    slots = 86400 // step
     return ",\n".join([
         HOLIDAYS,
-        f"{name}_d AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM {source})",
-        day_types(f"{name}_d", f"{name}_t"),
+        f"{name}_d AS (SELECT DISTINCT area, CAST(ts AS DATE) AS date FROM {source})",
+        day_types(f"{name}_d", f"{name}_k"),
+        f"{name}_t AS (SELECT area, date, day_type FROM {name}_d JOIN {name}_k USING (date))",
         f"""{name}_b AS (
-  SELECT date, day_type, back FROM (
-    SELECT a.date, a.day_type, b.date AS back, row_number() OVER (PARTITION BY a.date ORDER BY b.date DESC) AS r
-    FROM {name}_t a JOIN {name}_t b ON b.day_type = a.day_type AND b.date < a.date) WHERE r <= {k}),
+  SELECT area, date, day_type, back FROM (
+    SELECT a.area, a.date, a.day_type, b.date AS back,
+      row_number() OVER (PARTITION BY a.area, a.date ORDER BY b.date DESC) AS r
+    FROM {name}_t a JOIN {name}_t b ON b.area = a.area AND b.day_type = a.day_type AND b.date < a.date)
+  WHERE r <= {k}),
 {name}_m AS (
-  SELECT b.date, s.series, CAST(epoch(s.ts) AS BIGINT) % 86400 AS second,
+  SELECT b.area, b.date, s.series, CAST(epoch(s.ts) AS BIGINT) % 86400 AS second,
     CASE WHEN count(s.value) = {k} THEN avg(s.value) END AS pslp
-  FROM {name}_b b JOIN {source} s ON CAST(s.ts AS DATE) = b.back GROUP BY ALL),
+  FROM {name}_b b JOIN {source} s ON s.area = b.area AND CAST(s.ts AS DATE) = b.back GROUP BY ALL),
 {name} AS (
   SELECT s.area, s.ts, s.series, s.value, t.day_type, m.pslp
-  FROM {source} s JOIN {name}_t t ON t.date = CAST(s.ts AS DATE)
-  LEFT JOIN {name}_m m ON m.date = t.date AND m.series = s.series
-    AND m.second = CAST(epoch(s.ts) AS BIGINT) % 86400)"""
-    ]) if slots else ""
+  FROM {source} s JOIN {name}_t t ON t.area = s.area AND t.date = CAST(s.ts AS DATE)
+  LEFT JOIN {name}_m m ON m.area = s.area AND m.date = t.date AND m.series = s.series
+    AND m.second = CAST(epoch(s.ts) AS BIGINT) % 86400)""",
+    ])
 
 
 def partial_profile(usable_days: str, value: str) -> str:
@@ -150,7 +152,7 @@ def window_sums(tw: int, pw: int, stride: int, only: str = "TRUE") -> str:
         "sum(CAST(CAST(value AS FLOAT) AS DOUBLE)) AS v FROM complete GROUP BY ts)",
         f"""starts AS (SELECT pos FROM per WHERE pos % {stride} = 0
     AND pos <= (SELECT count(*) FROM per) - {tw} - {pw})""",
-    ) + f"""SELECT 'web' AS area, CAST(s.pos // {stride} AS BIGINT) AS window_id,
+    ) + f"""SELECT 'k' AS area, CAST(s.pos // {stride} AS BIGINT) AS window_id,
   {r6(f'sum(CASE WHEN p.pos < s.pos + {tw} THEN v END)')} AS sample_sum,
   {r6(f'sum(CASE WHEN p.pos >= s.pos + {tw} THEN v END)')} AS target_sum,
   CAST(count(CASE WHEN p.pos < s.pos + {tw} THEN 1 END) AS INTEGER) AS sample_rows,
@@ -179,17 +181,17 @@ def grouped(source: str, name: str) -> str:
 
 
 def kpss(source: str, name: str, lags: int = 7) -> str:
-    """Statistic from plain windows over each whole series; keys (series, d)."""
+    """Statistic from plain windows over each whole series; keys (area, series, d)."""
     pairs = "\n    + ".join(
         f"2 * {1 - j / (lags + 1)} * sum(e * lag{j})" for j in range(1, lags + 1)
     )
     lagged = ", ".join(f"coalesce(lag(e, {j}) OVER w, 0) AS lag{j}" for j in range(1, lags + 1))
-    return f"""{name}_e AS (SELECT *, x - avg(x) OVER (PARTITION BY series, d) AS e FROM {source}),
-{name}_w AS (SELECT *, sum(e) OVER (PARTITION BY series, d ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s, {lagged}
-  FROM {name}_e WINDOW w AS (PARTITION BY series, d ORDER BY ts)),
-{name} AS (SELECT series, d, count(*) AS n,
+    return f"""{name}_e AS (SELECT *, x - avg(x) OVER (PARTITION BY area, series, d) AS e FROM {source}),
+{name}_w AS (SELECT *, sum(e) OVER (PARTITION BY area, series, d ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s, {lagged}
+  FROM {name}_e WINDOW w AS (PARTITION BY area, series, d ORDER BY ts)),
+{name} AS (SELECT area, series, d, count(*) AS n,
     sum(s * s) / (count(*) * count(*)) / ((sum(e * e) + {pairs}) / count(*)) AS kpss
-  FROM {name}_w GROUP BY series, d)"""
+  FROM {name}_w GROUP BY area, series, d)"""
 
 
 def all_oracles() -> dict[str, str]:
@@ -242,33 +244,33 @@ LEFT JOIN days b ON b.date > a.date AND b.date <= a.date + 7 AND b.day_type = a.
 
     out["j06_paired"] = _with(binned()) + f"""SELECT a.area, a.ts, a.series, {r6('a.value')} AS actual,
   {r6('p.value')} AS predicted FROM cells a JOIN cells p ON a.ts = p.ts + INTERVAL 1 DAY AND a.series = p.series"""
-    out["a01_downsample"] = _with(EVENTS, spine("raw", 3600, "hours", "web")) + f"SELECT {cells} FROM hours"
-    out["a01_downsample_lines"] = _with(LINES, spine("lines", 86400, "d", "shop")) + f"SELECT {cells} FROM d"
+    out["a01_downsample"] = _with(EVENTS, spine("raw", 3600, "hours")) + f"SELECT {cells} FROM hours"
+    out["a01_downsample_lines"] = _with(LINES, spine("lines", 86400, "d")) + f"SELECT {cells} FROM d"
     out["a02_scaler"] = 'SELECT min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem'
     out["a03_scale"] = _with(binned(), grid(), "b AS (SELECT min(value) AS lo, max(value) AS hi FROM hourly)") + \
         f"SELECT area, ts, series, {r6('(value - lo) / (hi - lo)')} AS value FROM hourly, b"
     out["a04_unscale"] = out["f01_align"]
-    out["a05_partial_days"] = """SELECT 'web' AS area, CAST(ts AS DATE) AS date,
+    out["a05_partial_days"] = """SELECT 'k' AS area, CAST(ts AS DATE) AS date,
   count(DISTINCT CAST(epoch(ts) AS BIGINT) // 900) AS n_slots FROM (SELECT date_trunc('second', ts) AS ts FROM events)
 GROUP BY ALL HAVING n_slots <> 96"""
     out["a06_dates"] = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem"
-    out["a07_errors"] = _with(COMPLETE, profile("complete", 3, 3600)) + f"""SELECT series,
+    out["a07_errors"] = _with(COMPLETE, profile("complete", 3)) + f"""SELECT series,
   {r6('avg(abs(value - pslp))')} AS mae,
   {r6('avg(abs(value - pslp) / greatest(abs(value), 2.220446049250313e-16))')} AS mape,
   {r6('avg((value - pslp) * (value - pslp))')} AS mse, count(*) AS n
 FROM profiled WHERE value - pslp IS NOT NULL GROUP BY series"""
-    out["a08_null_mean"] = _with(EVENTS, spine("raw", 3600, "hours", "web"), profile("hours", 3, 3600)) + \
+    out["a08_null_mean"] = _with(EVENTS, spine("raw", 3600, "hours"), profile("hours", 3)) + \
         f"SELECT area, ts, series, {r6('pslp')} AS pslp FROM profiled"
     out["a09_epoch_loss"] = _with(EPOCHS) + f"SELECT run_id, epoch, {r6('loss')} AS loss FROM epochs"
     out["a10_summary"] = _with(binned(), grid()) + "SELECT area, count(*) AS n_cells, " \
         "count(DISTINCT ts) AS n_rows, count(DISTINCT series) AS n_series FROM hourly GROUP BY area"
     out["f02_interpolate"] = _with(binned(), grid(), filled("hourly", "f")) + f"SELECT {cells} FROM f"
 
-    out["w01_profile"] = _with(COMPLETE, profile("complete", 3, 3600)) + f"""SELECT area, ts, series,
+    out["w01_profile"] = _with(COMPLETE, profile("complete", 3)) + f"""SELECT area, ts, series,
   {r6('value')} AS value, day_type, {r6('pslp')} AS pslp, {r6('value - pslp')} AS residual FROM profiled"""
-    out["w01_profile_orders"] = _with(DAILY_ORDERS, profile("daily", 3, 86400)) + \
+    out["w01_profile_orders"] = _with(DAILY_ORDERS, profile("daily", 3)) + \
         f"SELECT area, ts, series, day_type, {r6('pslp')} AS pslp FROM profiled"
-    out["w02_single_date"] = _with(COMPLETE, profile("complete", 3, 3600)) + \
+    out["w02_single_date"] = _with(COMPLETE, profile("complete", 3)) + \
         f"SELECT area, ts, series, day_type, {r6('pslp')} AS pslp FROM profiled WHERE CAST(ts AS DATE) = DATE '2024-01-27'"
     future = _with(
         COMPLETE, HOLIDAYS,
@@ -286,9 +288,11 @@ FROM profiled WHERE value - pslp IS NOT NULL GROUP BY series"""
     out["j03_attach"] = future + f"""SELECT c.area, c.ts, c.series, {r6('c.value')} AS value, {r6('f.pslp')} AS pslp
 FROM complete c LEFT JOIN future f ON f.ts - INTERVAL 14 DAY = c.ts AND f.series = c.series"""
     out["w03_last_days"] = _with(
-        "d0 AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)", HOLIDAYS, day_types("d0")
-    ) + """SELECT 'shop' AS area, date, day_type, CAST(r AS INTEGER) AS position FROM (
-  SELECT *, row_number() OVER (PARTITION BY day_type ORDER BY date DESC) AS r FROM days) WHERE r <= 3"""
+        "d0 AS (SELECT DISTINCT l_linestatus AS area, CAST(l_shipdate AS DATE) AS date FROM lineitem)", HOLIDAYS,
+        day_types("d0"),
+    ) + """SELECT area, date, day_type, CAST(r AS INTEGER) AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY area, day_type ORDER BY date DESC) AS r FROM d0 JOIN days USING (date))
+WHERE r <= 3"""
     out["w04_slots"] = "SELECT event_id, CAST((hour(ts) * 60 + minute(ts)) // 15 AS INTEGER) AS slot FROM events"
     out["w05_skip_partial"] = partial_profile("complete_day", "s.value")
     out["w05_null_partial"] = partial_profile("TRUE", "CASE WHEN ok THEN s.value END")
@@ -311,31 +315,31 @@ FROM epochs JOIN stops USING (run_id) WHERE stop_epoch IS NULL OR epoch <= stop_
         "SELECT series FROM hourly EXCEPT SELECT series FROM g"
     out["u01_intersection"] = _with(binned(), grid(), grouped("hourly", "g")) + \
         "SELECT series FROM hourly INTERSECT SELECT series FROM g"
-    out["g01_forecast_index"] = "SELECT 'web' AS area, unnest(generate_series(h, h + INTERVAL 7 DAY, INTERVAL 1 HOUR)) AS ts " \
+    out["g01_forecast_index"] = "SELECT 'k' AS area, unnest(generate_series(h, h + INTERVAL 7 DAY, INTERVAL 1 HOUR)) AS ts " \
         "FROM (SELECT CAST(date_trunc('hour', max(ts)) AS TIMESTAMP) AS h FROM events)"
     out["g02_day_slots"] = _with(ORDER_DATES) + "SELECT date, CAST(i AS INTEGER) AS slot, " \
         "CAST(date AS TIMESTAMP) + to_hours(CAST(i AS INTEGER)) AS ts FROM dates, range(24) t(i)"
     out["g03_next_dates"] = _with(ORDER_DATES) + \
         "SELECT date, date + CAST(i AS INTEGER) AS next_date FROM dates, range(1, 8) t(i)"
 
-    out["m01_kpss"] = _with(DAILY_ORDERS, "x0 AS (SELECT series, 0 AS d, ts, value AS x FROM daily)", kpss("x0", "k")) + \
-        f"SELECT 'shop' AS area, series, n, {r6('kpss')} AS kpss FROM k"
+    out["m01_kpss"] = _with(DAILY_ORDERS, "x0 AS (SELECT area, series, 0 AS d, ts, value AS x FROM daily)", kpss("x0", "k")) + \
+        f"SELECT area, series, n, {r6('kpss')} AS kpss FROM k"
     out["m01_differencing_order"] = _with(
         DAILY_ORDERS,
-        """diffs AS (SELECT series, ts, value, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2
-  FROM daily WINDOW w AS (PARTITION BY series ORDER BY ts))""",
-        """xs AS (SELECT series, 0 AS d, ts, value AS x FROM diffs
-  UNION ALL SELECT series, 1, ts, value - l1 FROM diffs WHERE l1 IS NOT NULL
-  UNION ALL SELECT series, 2, ts, value - 2 * l1 + l2 FROM diffs WHERE l2 IS NOT NULL)""",
+        """diffs AS (SELECT area, series, ts, value, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2
+  FROM daily WINDOW w AS (PARTITION BY area, series ORDER BY ts))""",
+        """xs AS (SELECT area, series, 0 AS d, ts, value AS x FROM diffs
+  UNION ALL SELECT area, series, 1, ts, value - l1 FROM diffs WHERE l1 IS NOT NULL
+  UNION ALL SELECT area, series, 2, ts, value - 2 * l1 + l2 FROM diffs WHERE l2 IS NOT NULL)""",
         kpss("xs", "k"),
-    ) + """SELECT 'shop' AS area, series, CAST(coalesce(min(CASE WHEN kpss <= 0.463 THEN d END), 2) AS INTEGER) AS d
-FROM k GROUP BY series"""
+    ) + """SELECT area, series, CAST(coalesce(min(CASE WHEN kpss <= 0.463 THEN d END), 2) AS INTEGER) AS d
+FROM k GROUP BY area, series"""
     out["m03_difference"] = _with(COMPLETE) + f"""SELECT area, ts, series, {r6(
         'value - lag(value, 1) OVER w - lag(value, 24) OVER w + lag(value, 25) OVER w')} AS value
 FROM complete WINDOW w AS (PARTITION BY area, series ORDER BY ts)"""
     out["d01_persistence"] = _with(COMPLETE) + f"""SELECT area, ts, series, {r6('value')} AS value,
   {r6('lag(value) OVER (PARTITION BY area, series ORDER BY ts)')} AS predicted FROM complete"""
-    out["d02_category_persistence"] = _with(COMPLETE, profile("complete", 1, 3600)) + \
+    out["d02_category_persistence"] = _with(COMPLETE, profile("complete", 1)) + \
         f"SELECT area, ts, series, {r6('pslp')} AS pslp FROM profiled"
     out["d03_split"] = _with(
         COMPLETE, "p AS (SELECT *, rank() OVER (PARTITION BY series ORDER BY ts) - 1 AS pos, "
@@ -346,7 +350,7 @@ FROM complete WINDOW w AS (PARTITION BY area, series ORDER BY ts)"""
     out["d05_scaled_profile"] = _with(
         COMPLETE, "s AS (SELECT area, ts, series, (value - (SELECT min(value) FROM complete)) / "
         "((SELECT max(value) FROM complete) - (SELECT min(value) FROM complete)) AS value FROM complete)",
-        profile("s", 3, 3600),
+        profile("s", 3),
     ) + f"""SELECT area, ts, series, {r6('value')} AS scaled, {r6('pslp')} AS scaled_pslp,
   {r6('value - pslp')} AS scaled_residual FROM profiled"""
     out["d06_balance"] = _with(
@@ -357,6 +361,6 @@ FROM complete WINDOW w AS (PARTITION BY area, series ORDER BY ts)"""
         binned(), grid(),
         "zeroed AS (SELECT area, ts, series, CASE WHEN series = 'error' THEN coalesce(value, 0) ELSE value END AS value "
         "FROM hourly)",
-        filled("zeroed", "f"), grouped("f", "g"), spine("g", 10800, "three", "web"),
+        filled("zeroed", "f"), grouped("f", "g"), spine("g", 10800, "three"),
     ) + f"SELECT {cells} FROM three"
     return out

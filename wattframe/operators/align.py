@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.timegrid import grid_index, grid_time
-from .blocks import join_per_key
+from ..functions.timegrid import block_of, grid_index, grid_time
+from .blocks import BLOCK_ROWS, join_per_key, keyed
 
 KEY = ["area", "ts", "series"]
 
@@ -33,6 +33,24 @@ def align(readings: DataFrame, salts: int = 32) -> DataFrame:
     return readings.select(*KEY, "value").unionByName(empty).groupBy(*KEY).agg(F.max("value").alias("value"))
 
 
+def _spread_bins(spans: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    """All bins from ``_lo`` to ``_hi`` of each series.
+
+    First cut into chunks, which go to all tasks, then into bins: a few rows
+    can stand for very many bins. The number of partitions is given because the
+    adaptive planner would otherwise merge partitions that are still small.
+    """
+    tasks = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = F.explode(F.sequence(block_of(F.col("_lo"), size), block_of(F.col("_hi"), size)))
+    first = F.greatest("_lo", F.col("_chunk") * size)
+    last = F.least("_hi", (F.col("_chunk") + 1) * size - 1)
+    return (
+        spans.select("area", "series", "_lo", "_hi", chunk.alias("_chunk"))
+        .repartition(tasks, "area", "series", "_chunk")
+        .select("area", "series", F.explode(F.sequence(first, last)).alias("_bin"))
+    )
+
+
 def downsample(readings: DataFrame, seconds: int = 3_600) -> DataFrame:
     """Mean per bin of ``seconds``, left-closed, left-labelled, nulls skipped (A-01).
 
@@ -41,21 +59,17 @@ def downsample(readings: DataFrame, seconds: int = 3_600) -> DataFrame:
     only large shuffle, so a crowded bin is no hot spot. The full grid is made
     from the binned cells, not from a second scan of the readings.
     """
-    cells = (
-        readings.groupBy("area", "series", grid_index("ts", seconds).alias("_bin"))
-        .agg(F.avg("value").alias("value"))
-    )
+    keys = ["area", "series", "_bin"]
+    binned = keyed(readings.select("area", "series", grid_index("ts", seconds).alias("_bin"), "value"), *keys)
+    cells = binned.groupBy(*keys).agg(F.avg("value").alias("value"))
     # The count is kept alive by the filter: with the same columns on both
     # sides the exchange of the cells is computed once and reused.
     spans = cells.groupBy("area", "series").agg(
         F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"), F.count("value").alias("_n")
     ).where("_n >= 0")
     area = Window.partitionBy("area")
-    spine = (
-        spans.withColumns({"_lo": F.min("_lo").over(area), "_hi": F.max("_hi").over(area)})
-        .select("area", "series", F.explode(F.sequence("_lo", "_hi")).alias("_bin"))
-    )
-    return spine.join(cells, ["area", "series", "_bin"], "left").select(
+    spine = _spread_bins(spans.withColumns({"_lo": F.min("_lo").over(area), "_hi": F.max("_hi").over(area)}))
+    return spine.join(cells, keys, "left").select(
         "area", grid_time(F.col("_bin"), seconds).alias("ts"), "series", "value"
     )
 

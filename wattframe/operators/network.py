@@ -107,7 +107,7 @@ def unpack(flat: np.ndarray, like: Weights) -> Weights:
 # ---------------------------------------------------------------- windows inside a task
 
 
-def _block_windows(row, training_window: int, stride: int, size: int):
+def block_windows(row, training_window: int, stride: int, size: int):
     """Windows that start in this block, in pieces of ``BATCH``: (x, y, target positions)."""
     values = np.array([r["values"] for r in row.rows], dtype=float)
     base = row.rows[0]["idx"]
@@ -121,6 +121,14 @@ def _block_windows(row, training_window: int, stride: int, size: int):
         yield x, values[part + training_window], part + training_window + base
 
 
+def complete_windows(row, training_window: int, size: int):
+    """The windows of a block in which no cell is missing: (x, y)."""
+    for x, y, _ in block_windows(row, training_window, 1, size):
+        known = np.isfinite(x).all(axis=(1, 2)) & np.isfinite(y).all(axis=1)
+        if known.any():
+            yield x[known], y[known]
+
+
 def next_step_forecast(
     blocks: DataFrame,
     scorer: Callable[[np.ndarray], np.ndarray],
@@ -139,7 +147,7 @@ def next_step_forecast(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                for x, y, at in _block_windows(row, training_window, stride, size):
+                for x, y, at in block_windows(row, training_window, stride, size):
                     yield pd.DataFrame({
                         "area": row.area,
                         "idx": np.repeat(at, len(series)),
@@ -197,7 +205,7 @@ def _batch_sums(blocks: DataFrame, weights: Weights, training_window: int, size:
         loss, cells, total = 0.0, 0, 0.0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                for x, y, _ in _block_windows(row, training_window, 1, size):
+                for x, y in complete_windows(row, training_window, size):
                     if train:
                         part, grad = loss_and_gradient(current, x, y, activation)
                         total = total + pack(grad)
@@ -234,7 +242,7 @@ def train(
     Per batch one Spark job adds the gradients of all windows; the driver holds
     only the weights and takes one step of the Adam rule (Kingma and Ba 2015).
     Batches are disjoint sets of blocks; the loss of an epoch is the mean of its
-    batch losses. Training stops after ``PATIENCE`` epochs without improvement;
+    batch losses. Windows with a missing cell are left out. Training stops after ``PATIENCE`` epochs without improvement;
     the last weights are returned. ``scheduler(valid_loss)`` may set the
     learning rate of the next epoch. Pass checkpointed blocks.
     """

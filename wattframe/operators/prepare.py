@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.labels import clean_double
 from ..functions.timegrid import epoch_exact
+from .blocks import keyed
 
 AGGREGATED = " Actual Aggregated"
 
@@ -69,11 +70,8 @@ def interpolate_time(df: DataFrame, block_seconds: int = 30 * 86_400) -> DataFra
     the default suits quarter-hours and hours.
     """
     keys = ["area", "series", "_block"]
-    rows = (
-        df.select("area", "series", "ts", "value")
-        .withColumn("_block", F.floor(epoch_exact("ts") / block_seconds))
-        .repartition(*keys)
-    )
+    timed = df.select("area", "series", "ts", "value", F.floor(epoch_exact("ts") / block_seconds).alias("_block"))
+    rows = keyed(timed, *keys).repartition(*keys)
     seen = F.when(F.col("value").isNotNull(), F.col("ts"))
 
     # Same columns and partitioning as the rows, so the summary adds no shuffle

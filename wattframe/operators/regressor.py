@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .network import _block_windows
+from .network import complete_windows
 from .windows import WINDOW_BLOCK
 
 MAX_COLUMNS = 4_096
@@ -24,7 +24,8 @@ def fit_window_regressor(
     """Coefficients float[1 + tw * F][F] by normal equations: one pass for all outputs.
 
     Tasks add their cross products before anything is sent; the driver sees one
-    matrix whose size depends on the model alone.
+    matrix whose size depends on the model alone. Windows with a missing cell
+    are left out.
     """
     k = 1 + training_window * n_features
     if k > MAX_COLUMNS:
@@ -35,7 +36,7 @@ def fit_window_regressor(
         seen = 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                for x, y, _ in _block_windows(row, training_window, 1, size):
+                for x, y in complete_windows(row, training_window, size):
                     z = _design(x)
                     total += z.T @ np.hstack([z, y])
                     seen += len(z)
