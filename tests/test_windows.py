@@ -37,6 +37,12 @@ def test_gap_in_the_grid_is_refused(readings):
         windows.windows(df, 1, 1).collect()
 
 
+def test_uneven_series_are_refused(readings):
+    df = readings({"x": [1.0] * 6, "y": [1.0] * 5})
+    with pytest.raises(Exception, match="align before"):
+        windows.windows(df, 2, 1).collect()
+
+
 def test_split(readings):
     got = windows.chronological_split(readings([1.0] * 10)).orderBy("ts").collect()
     assert [r.part for r in got] == ["train"] * 6 + ["valid"] * 2 + ["test"] * 2

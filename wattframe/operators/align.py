@@ -18,14 +18,16 @@ def combine(load: DataFrame, generation: DataFrame) -> DataFrame:
     return align(load.select(*KEY, "value").unionByName(generation.select(*KEY, "value")))
 
 
-def align(readings: DataFrame, salts: int = 32) -> DataFrame:
+def align(readings: DataFrame) -> DataFrame:
     """Every series of an area gets a row for every timestamp seen in that area (F-01).
 
     Needs one reading per (area, ts, series). The empty cells are united with
     the readings and folded by one aggregation, so there is a single shuffle on
     the cell key and no join against the readings. The list of series is small
-    per area; it is salted, so one large area is spread over ``salts`` tasks.
+    per area; where it is too large for the planner to broadcast, it is salted,
+    so one large area is spread over all tasks.
     """
+    salts = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     instants = readings.select("area", "ts").distinct()
     names = readings.select("area", "series").distinct()
     cells = join_per_key(instants, names, ["area"], F.col("ts"), salts)

@@ -107,18 +107,26 @@ def unpack(flat: np.ndarray, like: Weights) -> Weights:
 # ---------------------------------------------------------------- windows inside a task
 
 
+def flat_blocks(blocks: DataFrame) -> DataFrame:
+    """Block rows with their vectors as one flat array, which reaches the task as a numpy array."""
+    return blocks.select(
+        "area", "block", "first", "last", "width",
+        F.col("rows")[0]["idx"].alias("base"),
+        F.flatten("rows.values").alias("cells"),
+    )
+
+
 def block_windows(row, training_window: int, stride: int, size: int):
     """Windows that start in this block, in pieces of ``BATCH``: (x, y, target positions)."""
-    values = np.array([r["values"] for r in row.rows], dtype=float)
-    base = row.rows[0]["idx"]
+    values = np.asarray(row.cells, dtype=float).reshape(-1, row.width)
     low = max(row.block * size, row.first)
     low += (row.first - low) % stride
     high = min((row.block + 1) * size - 1, row.last - training_window)
-    starts = np.arange(low, high + 1, stride) - base
+    starts = np.arange(low, high + 1, stride) - row.base
     for k in range(0, len(starts), BATCH):
         part = starts[k : k + BATCH]
         x = values[part[:, None] + np.arange(training_window)[None, :]]
-        yield x, values[part + training_window], part + training_window + base
+        yield x, values[part + training_window], part + training_window + row.base
 
 
 def complete_windows(row, training_window: int, size: int):
@@ -156,7 +164,7 @@ def next_step_forecast(
                         "predicted": scorer(x).ravel(),
                     })
 
-    scored = blocks.mapInPandas(run, "area string, idx bigint, series string, value double, predicted double")
+    scored = flat_blocks(blocks).mapInPandas(run, "area string, idx bigint, series string, value double, predicted double")
     return scored.select("area", grid_time(F.col("idx"), step).alias("ts"), "series", "value", "predicted")
 
 
@@ -172,7 +180,8 @@ def n_step_forecast(
         for batch in batches:
             for k in range(0, len(batch), BATCH):
                 part = batch.iloc[k : k + BATCH]
-                x = np.array([[list(r) for r in s] for s in part["sample"]], dtype=float)
+                x = np.stack(part["cells"].to_numpy()).astype(float)
+                x = x.reshape(len(part), -1, len(series))
                 for h in range(n):
                     out = scorer(x)
                     x = np.concatenate([x[:, 1:], out[:, None, :]], axis=1)
@@ -186,7 +195,9 @@ def n_step_forecast(
                     })
 
     schema = "area string, window_id bigint, horizon int, origin timestamp_ntz, series string, predicted double"
-    source = cut.select("area", "window_id", "sample", F.col("target_ts")[0].alias("origin"))
+    source = cut.select(
+        "area", "window_id", F.flatten("sample").alias("cells"), F.col("target_ts")[0].alias("origin")
+    )
     ahead = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.col("horizon") - 1) * step).cast("decimal(18,6)"))
     return source.mapInPandas(run, schema).select(
         "area", "window_id", "horizon", (F.col("origin") + ahead).alias("ts"), "series", "predicted"
@@ -216,7 +227,7 @@ def _batch_sums(blocks: DataFrame, weights: Weights, training_window: int, size:
             sums = np.concatenate([[loss, cells], total if train else []])
             yield pd.DataFrame({"sums": [sums]})
 
-    partial = blocks.mapInPandas(run, "sums array<double>")
+    partial = flat_blocks(blocks).mapInPandas(run, "sums array<double>")
     added = partial.select(F.posexplode("sums").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
     flat = np.array([r.v for r in added.orderBy("pos").collect()])
     broadcast.destroy()

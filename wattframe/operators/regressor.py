@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .network import complete_windows
+from .network import complete_windows, flat_blocks
 from .windows import WINDOW_BLOCK
 
 MAX_COLUMNS = 4_096
@@ -43,7 +43,7 @@ def fit_window_regressor(
         if seen:
             yield pd.DataFrame({"line": np.arange(k), "sums": list(total)})
 
-    partial = blocks.mapInPandas(run, "line int, sums array<double>")
+    partial = flat_blocks(blocks).mapInPandas(run, "line int, sums array<double>")
     cells = partial.select("line", F.posexplode("sums").alias("pos", "v"))
     lines = (
         cells.groupBy("line", "pos").agg(F.sum("v").alias("v"))

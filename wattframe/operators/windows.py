@@ -42,11 +42,16 @@ def sequence_blocks(
     first = F.when(whole, F.col("first")).otherwise(F.raise_error(message).cast("bigint"))
     bounded = join_per_key(rows, bounds, ["area"], F.col("idx")).withColumn("first", first).drop("_n")
     halo = with_halo(bounded, "idx", size, ahead=training_window + prediction_window - 1)
-    return halo.groupBy("area", "block").agg(
+    blocks = halo.groupBy("area", "block").agg(
         F.array_sort(F.collect_list(F.struct("idx", "ts", "values"))).alias("rows"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
+        F.min(F.size("values")).alias("_least"),
+        F.max(F.size("values")).alias("_most"),
     )
+    uneven = F.raise_error(F.lit("a series lacks some timestamps; align before cutting windows")).cast("int")
+    width = F.when(F.col("_least") == F.col("_most"), F.col("_most")).otherwise(uneven)
+    return blocks.select("area", "block", "rows", "first", "last", width.alias("width"))
 
 
 def indexed_bounds(df: DataFrame, step: int) -> DataFrame:
@@ -82,6 +87,7 @@ def windows(
     blocks = sequence_blocks(df, training_window, prediction_window, step, size)
     starts = blocks.withColumn("_start", F.explode(window_starts(training_window, prediction_window, stride, size)))
     at = (F.col("_start") - F.col("rows")[0]["idx"]).cast("int")
+    starts = starts.where("width > 0")  # keeps the check of the width in the plan
     sample = F.slice("rows", at + 1, F.lit(training_window))
     target = F.slice("rows", at + 1 + training_window, F.lit(prediction_window))
     return starts.select(
