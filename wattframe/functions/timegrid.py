@@ -23,21 +23,18 @@ def _div(a: Column, b: int) -> Column:
 
 def interval(seconds: int) -> Column:
     """A day-time interval literal."""
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds).cast("decimal(18,6)"))
+    return F.lit(dt.timedelta(seconds=seconds))
 
 
-def _from_epoch_micros(micros: Column) -> Column:
-    days = _div(micros, DAY_SECONDS * 1_000_000)
-    rest = F.pmod(micros, F.lit(DAY_SECONDS * 1_000_000).cast("bigint"))
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    seconds = (rest.cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
-    return origin + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), seconds)
+def _after_origin(unit: dt.timedelta, count: Column) -> Column:
+    """1970-01-01 plus ``count`` units: one exact multiplication of an interval."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.lit(unit) * count
 
 
 def to_local(ts: Column | str, offset_hours: int = 1) -> Column:
     """Instant -> ``TIMESTAMP_NTZ`` at a fixed offset from UTC, without DST (P-04)."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return _from_epoch_micros(F.unix_micros(ts) + F.lit(offset_hours * 3_600_000_000).cast("bigint"))
+    return _after_origin(dt.timedelta(microseconds=1), F.unix_micros(ts)) + interval(offset_hours * 3_600)
 
 
 def zone_bound(day: str, zone: str) -> Column:
@@ -67,15 +64,15 @@ def day_slots(date: Column, step: int) -> Column:
     return F.sequence(midnight, midnight + interval(DAY_SECONDS - step), interval(step))
 
 
+def second_of_day(ts: Column | str) -> Column:
+    """Whole seconds since midnight."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def epoch_second(ts: Column | str) -> Column:
     """Whole seconds since 1970-01-01 on the column's own clock (``BIGINT``)."""
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return (
-        F.unix_date(F.to_date(ts)).cast("bigint") * DAY_SECONDS
-        + F.hour(ts) * 3600
-        + F.minute(ts) * 60
-        + F.second(ts)
-    )
+    return F.unix_date(F.to_date(ts)).cast("bigint") * DAY_SECONDS + second_of_day(ts)
 
 
 def epoch_exact(ts: Column | str) -> Column:
@@ -96,12 +93,12 @@ def grid_index(ts: Column | str, step: int) -> Column:
 
 def grid_time(index: Column, step: int) -> Column:
     """Inverse of :func:`grid_index` as ``TIMESTAMP_NTZ``."""
-    return _from_epoch_micros(index.cast("bigint") * F.lit(step * 1_000_000).cast("bigint"))
+    return _after_origin(dt.timedelta(seconds=step), index.cast("bigint"))
 
 
 def slot_of_day(ts: Column | str, step: int) -> Column:
     """0-based position inside the day for a grid of ``step`` seconds (W-04)."""
-    return _div(F.pmod(epoch_second(ts), F.lit(DAY_SECONDS).cast("bigint")), step).cast("int")
+    return F.call_function("div", second_of_day(ts), F.lit(step)).cast("int")
 
 
 def block_of(index: Column, size: int) -> Column:

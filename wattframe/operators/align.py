@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.timegrid import block_of, grid_index, grid_time
-from .blocks import BLOCK_ROWS, join_per_key, keyed
+from .blocks import BLOCK_ROWS, join_per_key, keyed, never_null
 
 KEY = ["area", "ts", "series"]
 
@@ -62,7 +62,8 @@ def downsample(readings: DataFrame, seconds: int = 3_600) -> DataFrame:
     from the binned cells, not from a second scan of the readings.
     """
     keys = ["area", "series", "_bin"]
-    binned = keyed(readings.select("area", "series", grid_index("ts", seconds).alias("_bin"), "value"), *keys)
+    bin_of = never_null(grid_index("ts", seconds)).alias("_bin")
+    binned = keyed(readings, "area", "series", "ts").select("area", "series", bin_of, "value")
     cells = binned.groupBy(*keys).agg(F.avg("value").alias("value"))
     # The count is kept alive by the filter: with the same columns on both
     # sides the exchange of the cells is computed once and reused.

@@ -7,8 +7,8 @@ from itertools import chain
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.labels import clean_double
-from ..functions.timegrid import epoch_exact
-from .blocks import keyed
+from ..functions.timegrid import block_of, epoch_exact, epoch_second
+from .blocks import keyed, never_null
 
 AGGREGATED = " Actual Aggregated"
 
@@ -70,8 +70,8 @@ def interpolate_time(df: DataFrame, block_seconds: int = 30 * 86_400) -> DataFra
     the default suits quarter-hours and hours.
     """
     keys = ["area", "series", "_block"]
-    timed = df.select("area", "series", "ts", "value", F.floor(epoch_exact("ts") / block_seconds).alias("_block"))
-    rows = keyed(timed, *keys).repartition(*keys)
+    block = never_null(block_of(epoch_second("ts"), block_seconds)).alias("_block")
+    rows = keyed(df, "area", "series").select("area", "series", "ts", "value", block).repartition(*keys)
     seen = F.when(F.col("value").isNotNull(), F.col("ts"))
 
     # Same columns and partitioning as the rows, so the summary adds no shuffle
