@@ -68,3 +68,20 @@ def join_per_key(rows: DataFrame, small: DataFrame, keys: list[str], spread: Col
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.hash(spread), F.lit(salts))
     return rows.withColumn("_salt", salt).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
+def sum_arrays(df: DataFrame, keys: list[str], column: str, groups: int = 64) -> DataFrame:
+    """Element-wise sum of equally long arrays per key, in two steps.
+
+    ``df`` holds partial sums, at most a few per task and key. The first step
+    adds them in ``groups`` groups, so no task holds the partial sums of all
+    others.
+    """
+
+    def added(name: str) -> Column:
+        arrays = F.collect_list(name)
+        rest = F.slice(arrays, F.lit(2), F.size(arrays))
+        return F.aggregate(rest, F.get(arrays, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(column)
+
+    salted = df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    return salted.groupBy(*keys, "_group").agg(added(column)).groupBy(*keys).agg(added(column))

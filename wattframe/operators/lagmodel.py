@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.timegrid import grid_index, grid_time
-from .blocks import BLOCK_ROWS, join_per_key, with_halo
+from .blocks import BLOCK_ROWS, join_per_key, sum_arrays, with_halo
 
 SERIES_KEY = ["area", "series"]
 FLUSH_SERIES = 512
@@ -161,16 +161,16 @@ def sum_products(blocks: DataFrame, design, size: int, back: int) -> DataFrame:
 
     ``design(row, y, start)`` builds Z for the dense array ``y`` that begins at
     grid position ``start``. Each task adds up what it has before anything is
-    sent on; only the upper triangle travels.
+    sent on; only the upper triangle and the number of rows travel.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[str, str], list] = {}
 
         def emit() -> pd.DataFrame:
-            rows = [(a, s, _upper(g), n) for (a, s), (g, n) in sums.items()]
+            rows = [(a, s, np.append(_upper(g), n)) for (a, s), (g, n) in sums.items()]
             sums.clear()
-            return pd.DataFrame(rows, columns=["area", "series", "products", "n"])
+            return pd.DataFrame(rows, columns=["area", "series", "products"])
 
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -184,15 +184,13 @@ def sum_products(blocks: DataFrame, design, size: int, back: int) -> DataFrame:
         if sums:
             yield emit()
 
-    partials = blocks.mapInPandas(partial, "area string, series string, products array<double>, n bigint")
-    counts = partials.groupBy(*SERIES_KEY).agg(F.sum("n").alias("n"))
-    cells = (
-        partials.select(*SERIES_KEY, F.posexplode("products").alias("pos", "g"))
-        .groupBy(*SERIES_KEY, "pos")
-        .agg(F.sum("g").alias("g"))
+    partials = blocks.mapInPandas(partial, "area string, series string, products array<double>")
+    total = sum_arrays(partials, SERIES_KEY, "products")
+    return total.select(
+        *SERIES_KEY,
+        F.slice("products", F.lit(1), F.size("products") - 1).alias("products"),
+        F.element_at("products", -1).cast("bigint").alias("n"),
     )
-    matrices = cells.groupBy(*SERIES_KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "g"))).alias("_c"))
-    return matrices.join(counts, SERIES_KEY).select(*SERIES_KEY, F.col("_c.g").alias("products"), "n")
 
 
 def long_autoregression(blocks: DataFrame, orders: DataFrame, search: Search) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.timegrid import grid_time
+from .blocks import sum_arrays
 from .windows import WINDOW_BLOCK
 
 Weights = dict[str, np.ndarray]
@@ -228,11 +229,11 @@ def _batch_sums(blocks: DataFrame, weights: Weights, training_window: int, size:
             yield pd.DataFrame({"sums": [sums]})
 
     partial = flat_blocks(blocks).mapInPandas(run, "sums array<double>")
-    added = partial.select(F.posexplode("sums").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
-    flat = np.array([r.v for r in added.orderBy("pos").collect()])
+    total = sum_arrays(partial, [], "sums").first().sums
     broadcast.destroy()
-    if not len(flat):
+    if total is None:
         raise ValueError("no windows: the series are shorter than one window")
+    flat = np.array(total)
     return flat[0] / flat[1], flat[2:] / flat[1]
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .blocks import sum_arrays
 from .network import complete_windows, flat_blocks
 from .windows import WINDOW_BLOCK
 
@@ -44,12 +45,7 @@ def fit_window_regressor(
             yield pd.DataFrame({"line": np.arange(k), "sums": list(total)})
 
     partial = flat_blocks(blocks).mapInPandas(run, "line int, sums array<double>")
-    cells = partial.select("line", F.posexplode("sums").alias("pos", "v"))
-    lines = (
-        cells.groupBy("line", "pos").agg(F.sum("v").alias("v"))
-        .groupBy("line").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("c"))
-        .select("line", F.col("c.v").alias("sums"))
-    )
+    lines = sum_arrays(partial, ["line"], "sums")
     rows = lines.orderBy("line").collect()
     if not rows:
         raise ValueError("no windows: the series are shorter than one window")
