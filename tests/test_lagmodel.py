@@ -139,6 +139,15 @@ def test_update_adds_the_new_rows(readings):
     assert idle.n == before.n and idle.aic == pytest.approx(before.aic)
 
 
+def test_wrong_search_is_refused(readings):
+    df = readings(seasonal(300, 6))
+    with pytest.raises(Exception, match="above max_d"):
+        lagmodel.fit_new(df, zero_orders(df, 0, 2), SMALL).collect()
+    models = lagmodel.fit_new(df, zero_orders(df), SMALL)
+    with pytest.raises(Exception, match="another search"):
+        lagmodel.update(df, models, Search(m=12, long_lags=14, block=64)).collect()
+
+
 def test_refit_keeps_the_orders(readings):
     df = readings(seasonal(300, 6))
     first = lagmodel.fit_new(df, zero_orders(df), SMALL)

@@ -324,6 +324,17 @@ FROM epochs JOIN stops USING (run_id) WHERE stop_epoch IS NULL OR epoch <= stop_
 
     out["m01_kpss"] = _with(DAILY_ORDERS, "x0 AS (SELECT area, series, 0 AS d, ts, value AS x FROM daily)", kpss("x0", "k")) + \
         f"SELECT area, series, n, {r6('kpss')} AS kpss FROM k"
+    columns = ["1.0", "lag(value, 1) OVER w", "lag(value, 2) OVER w", "lag(value, 24) OVER w", "value"]
+    pairs = [(i, j) for i in range(5) for j in range(i, 5)]
+    out["m04_cross_products"] = _with(
+        COMPLETE, "s AS (SELECT area, ts, series, (value - (SELECT min(value) FROM complete)) / "
+        "((SELECT max(value) FROM complete) - (SELECT min(value) FROM complete)) AS value FROM complete)",
+        "z AS (SELECT area, series, " + ", ".join(f"{c} AS z{i}" for i, c in enumerate(columns)) +
+        " FROM s WINDOW w AS (PARTITION BY area, series ORDER BY ts))",
+    ) + "\nUNION ALL\n".join(
+        f"SELECT area, series, count(*) AS n, CAST({k} AS INTEGER) AS pos, {r6(f'sum(z{i} * z{j})')} AS value "
+        "FROM z WHERE z1 + z2 + z3 + z4 IS NOT NULL GROUP BY area, series" for k, (i, j) in enumerate(pairs)
+    )
     out["m01_differencing_order"] = _with(
         DAILY_ORDERS,
         """diffs AS (SELECT area, series, ts, value, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2

@@ -474,11 +474,25 @@ def _models(spark, sf):
     return rows, cut_lineage(lagmodel.fit_new(rows, _constant_orders(rows), SEARCH))
 
 
+def m04_cross_products(spark, sf):
+    rows = cut_lineage(complete(spark, sf))
+    scaled = scale.scale(rows, scale.fit_scaler(rows))
+    sums = lagmodel.lag_products(scaled, [1, 2, 24], HOUR, 200)
+    return sums.select("area", "series", "n", F.posexplode("products").alias("pos", "value")).withColumn(
+        "value", r6("value"))
+
+
 def m04_fit(spark, sf):
     _, models = _models(spark, sf)
     return models.select("area", "series", "p", "d", "q", "sp", "sd", "sq", "n", "sigma2", "aic")
 
 
+def s04_models(spark, sf):
+    _, models = _models(spark, sf)
+    path = f"{shared_folder(spark)}/{results.run_name('models')}"
+    return results.load_models(spark, path, results.save_models(models, path)).drop("products", "long_coef")
+
+
 def m05_refit(spark, sf):
     rows, models = _models(spark, sf)
     again = lagmodel.refit(rows, models, SEARCH)
@@ -518,6 +532,11 @@ def m09_network_scores(spark, sf):
     return network.next_step_forecast(blocks, lambda x: network.predict(weights, x), names, 24, HOUR, size=256)
 
 
+def m11_next_step_errors(spark, sf):
+    scored = m09_network_scores(spark, sf).select("series", F.col("value").alias("actual"), "predicted")
+    return compare.error_metrics(scored, on_null="drop")
+
+
 def m10_n_steps(spark, sf):
     rows = _scaled(spark, sf)
     names = windows.feature_names(rows)
@@ -534,7 +553,7 @@ def m12_regression(spark, sf):
     return network.next_step_forecast(blocks, regressor.linear_scorer(beta), names, 24, HOUR, size=256)
 
 
-def m13_training(spark, sf):
+def _trained(spark, sf, n_epochs):
     rows = windows.chronological_split(_scaled(spark, sf), step=HOUR)
     names = windows.feature_names(rows)
     blocks = {
@@ -542,8 +561,18 @@ def m13_training(spark, sf):
         for part in ("train", "valid")
     }
     weights = network.initial_weights(len(names), 8, len(names))
-    _, losses = network.train(blocks["train"], blocks["valid"], weights, 24, n_epochs=4, size=64)
-    return losses
+    return network.train(blocks["train"], blocks["valid"], weights, 24, n_epochs=n_epochs, size=64)
+
+
+def m13_training(spark, sf):
+    return _trained(spark, sf, 4)[1]
+
+
+def s05_weights(spark, sf):
+    weights, _ = _trained(spark, sf, 1)
+    path = f"{shared_folder(spark)}/{results.run_name('weights')}"
+    results.save_weights(network.weights_table(spark, weights, "first"), path)
+    return spark.read.parquet(path)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -560,7 +589,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         m01_kpss, m01_differencing_order, m03_difference,
         d01_persistence, d02_category_persistence, d03_split, d04_daily_stride, d05_scaled_profile, d06_balance,
         prepared_dataset,
-        m02_seasonal_order, m04_fit, m05_refit, m06_update, m07_forecast, m08_fitted,
-        m09_network_scores, m10_n_steps, m12_regression, m13_training,
+        m02_seasonal_order, m04_cross_products, m04_fit, m05_refit, m06_update, m07_forecast, m08_fitted,
+        m09_network_scores, m10_n_steps, m11_next_step_errors, m12_regression, m13_training, s04_models, s05_weights,
     ]
     return {f.__name__: f for f in named}

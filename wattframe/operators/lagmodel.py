@@ -193,9 +193,40 @@ def sum_products(blocks: DataFrame, design, size: int, back: int) -> DataFrame:
     )
 
 
+def lag_products(df: DataFrame, lag_list: list[int], step: int = 3_600, size: int = BLOCK_ROWS) -> DataFrame:
+    """Cross products of constant, lags and value per series, upper triangle row by row."""
+    back = max(lag_list)
+
+    def design(row, y, start):
+        return np.column_stack([np.ones(len(y)), lagged(y, lag_list), y])
+
+    return sum_products(series_blocks(df, step, back, size), design, size, back)
+
+
+def _checked_orders(orders: DataFrame, search: Search) -> DataFrame:
+    """Orders beyond the search's maximum would need a longer halo."""
+    message = F.lit("differencing order above max_d or max_sd of the search")
+    fits = (F.col("d") <= search.max_d) & (F.col("sd") <= search.max_sd)
+    return orders.withColumn("d", F.when(fits, F.col("d")).otherwise(F.raise_error(message).cast("int")))
+
+
+def _checked_models(models: DataFrame, search: Search) -> DataFrame:
+    """Stored models must come from the same lag sets."""
+    message = F.lit("the stored models come from another search")
+    same = (
+        (F.col("m") == search.m)
+        & (F.col("step") == search.step)
+        & (F.col("x_ar") == F.array(*[F.lit(k) for k in search.ar_lags()]))
+        & (F.col("x_ma") == F.array(*[F.lit(k) for k in search.ma_lags()]))
+        & (F.size("long_coef") == search.long_order() + 1)
+    )
+    return models.withColumn("d", F.when(same, F.col("d")).otherwise(F.raise_error(message).cast("int")))
+
+
 def long_autoregression(blocks: DataFrame, orders: DataFrame, search: Search) -> DataFrame:
     """First stage: ``(area, series, d, sd, long_coef)``."""
     lags, m = list(range(1, search.long_order() + 1)), search.m
+    orders = _checked_orders(orders, search)
 
     def design(row, y, start):
         w = differenced(y, row.d, row.sd, m)
@@ -312,6 +343,7 @@ def update(df: DataFrame, models: DataFrame, search: Search) -> DataFrame:
     The stored cross products get those of the rows after ``last_idx`` added;
     the first-stage coefficients stay as they are until the next refit.
     """
+    models = _checked_models(models, search)
     reach = models.select(*SERIES_KEY, F.col("last_idx").alias("_until"))
     rows = df.withColumn("_idx", grid_index("ts", search.step))
     recent = join_per_key(rows, reach, SERIES_KEY, F.col("_idx")).where(
