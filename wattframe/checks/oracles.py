@@ -251,7 +251,7 @@ LEFT JOIN days b ON b.date > a.date AND b.date <= a.date + 7 AND b.day_type = a.
         f"SELECT area, ts, series, {r6('(value - lo) / (hi - lo)')} AS value FROM hourly, b"
     out["a04_unscale"] = out["f01_align"]
     out["a05_partial_days"] = """SELECT 'k' AS area, CAST(ts AS DATE) AS date,
-  count(DISTINCT CAST(epoch(ts) AS BIGINT) // 900) AS n_slots FROM (SELECT date_trunc('second', ts) AS ts FROM events)
+  CAST(count(DISTINCT CAST(epoch(ts) AS BIGINT) // 900) AS INTEGER) AS n_slots FROM (SELECT date_trunc('second', ts) AS ts FROM events)
 GROUP BY ALL HAVING n_slots <> 96"""
     out["a06_dates"] = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem"
     out["a07_errors"] = _with(COMPLETE, profile("complete", 3)) + f"""SELECT series,
@@ -324,6 +324,18 @@ FROM epochs JOIN stops USING (run_id) WHERE stop_epoch IS NULL OR epoch <= stop_
 
     out["m01_kpss"] = _with(DAILY_ORDERS, "x0 AS (SELECT area, series, 0 AS d, ts, value AS x FROM daily)", kpss("x0", "k")) + \
         f"SELECT area, series, n, {r6('kpss')} AS kpss FROM k"
+    out["m02_seasonal_order"] = _with(
+        COMPLETE,
+        """lagged AS (SELECT area, series, value AS y, lag(value, 1) OVER w AS l1, lag(value, 24) OVER w AS l24,
+    lag(value, 25) OVER w AS l25 FROM complete WINDOW w AS (PARTITION BY area, series ORDER BY ts))""",
+        """reg AS (SELECT area, series, y - l1 - l24 + l25 AS d, l1 - l25 AS a, l24 - l25 AS b FROM lagged
+    WHERE y + l1 + l24 + l25 IS NOT NULL)""",
+        """sums AS (SELECT area, series, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb,
+    sum(a * d) AS ad, sum(b * d) AS bd, sum(d * d) AS dd FROM reg GROUP BY ALL)""",
+        """beta AS (SELECT *, aa * bb - ab * ab AS det, (bb * ad - ab * bd) / (aa * bb - ab * ab) AS ba,
+    (aa * bd - ab * ad) / (aa * bb - ab * ab) AS bs FROM sums)""",
+        "stat AS (SELECT area, series, bs / sqrt((dd - ba * ad - bs * bd) / (n - 2) * aa / det) AS t FROM beta)",
+    ) + f"SELECT area, series, {r6('t')} AS t_stat, CAST(t > -1.8 AS INTEGER) AS sd FROM stat"
     columns = ["1.0", "lag(value, 1) OVER w", "lag(value, 2) OVER w", "lag(value, 24) OVER w", "value"]
     pairs = [(i, j) for i in range(5) for j in range(i, 5)]
     out["m04_cross_products"] = _with(

@@ -466,7 +466,7 @@ def _constant_orders(rows: DataFrame) -> DataFrame:
 
 
 def m02_seasonal_order(spark, sf):
-    return _rounded(lagmodel.seasonal_order(complete(spark, sf), 24, critical=-1.8, step=HOUR, lags=1), "t_stat")
+    return _rounded(lagmodel.seasonal_order(complete(spark, sf), 24, critical=-1.8, step=HOUR), "t_stat")
 
 
 def _models(spark, sf):
