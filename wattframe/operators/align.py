@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.timegrid import block_of, grid_index, grid_time
-from .blocks import BLOCK_ROWS, join_per_key, keyed, never_null
+from .blocks import BLOCK_ROWS, TIME_BLOCK, join_per_key, keyed, never_null, time_blocks
 
 KEY = ["area", "ts", "series"]
 
@@ -18,7 +18,7 @@ def combine(load: DataFrame, generation: DataFrame) -> DataFrame:
     return align(load.select(*KEY, "value").unionByName(generation.select(*KEY, "value")))
 
 
-def align(readings: DataFrame) -> DataFrame:
+def align(readings: DataFrame, block_seconds: int | None = None) -> DataFrame:
     """Every series of an area gets a row for every timestamp seen in that area (F-01).
 
     Needs one reading per (area, ts, series). The empty cells are united with
@@ -26,13 +26,22 @@ def align(readings: DataFrame) -> DataFrame:
     the cell key and no join against the readings. The list of series is small
     per area; where it is too large for the planner to broadcast, it is salted,
     so one large area is spread over all tasks.
+
+    With ``block_seconds`` the shuffle is by ``(area, series, block of time)``
+    and the block stays in the result, for ``interpolate_time`` to go on from
+    without another shuffle.
     """
     salts = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     instants = readings.select("area", "ts").distinct()
     names = readings.select("area", "series").distinct()
     cells = join_per_key(instants, names, ["area"], F.col("ts"), salts)
     empty = cells.select(*KEY, F.lit(None).cast("double").alias("value"))
-    return readings.select(*KEY, "value").unionByName(empty).groupBy(*KEY).agg(F.max("value").alias("value"))
+    rows = readings.select(*KEY, "value").unionByName(empty)
+    if block_seconds is None:
+        return rows.groupBy(*KEY).agg(F.max("value").alias("value"))
+    return time_blocks(rows, block_seconds).groupBy("area", "series", TIME_BLOCK, "ts").agg(
+        F.max("value").alias("value")
+    )
 
 
 def _spread_bins(spans: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:

@@ -15,9 +15,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.timegrid import block_of
+from ..functions.timegrid import block_of, epoch_second
 
 BLOCK_ROWS = 4_096
+TIME_BLOCK = "_block"
 
 
 def keyed(df: DataFrame, *keys: str) -> DataFrame:
@@ -41,6 +42,13 @@ def never_null(key: Column) -> Column:
     return F.coalesce(key, F.lit(0).cast("bigint"))
 
 
+def time_blocks(df: DataFrame, seconds: int) -> DataFrame:
+    """``(area, series, ts, value)`` shuffled by series and block of ``seconds``."""
+    block = never_null(block_of(epoch_second("ts"), seconds)).alias(TIME_BLOCK)
+    rows = keyed(df, "area", "series").select("area", "series", "ts", "value", block)
+    return rows.repartition("area", "series", TIME_BLOCK)
+
+
 def with_halo(df: DataFrame, index: str, size: int, back: int = 0, ahead: int = 0) -> DataFrame:
     """Send each row to every block that needs it.
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import clean_double
-from ..functions.timegrid import block_of, epoch_exact, epoch_second
-from .blocks import keyed, never_null
+from ..functions.timegrid import epoch_exact
+from .blocks import TIME_BLOCK, time_blocks
 
 AGGREGATED = " Actual Aggregated"
 
@@ -59,7 +59,10 @@ def drop_matching(df: DataFrame, pattern: str = CONSUMPTION) -> DataFrame:
     return df.where(~F.col("series").rlike(pattern))
 
 
-def interpolate_time(df: DataFrame, block_seconds: int = 30 * 86_400) -> DataFrame:
+BLOCK_SECONDS = 30 * 86_400
+
+
+def interpolate_time(df: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Fill nulls linearly by elapsed time (F-02).
 
     Leading nulls stay null, trailing nulls take the last value, known values
@@ -67,38 +70,43 @@ def interpolate_time(df: DataFrame, block_seconds: int = 30 * 86_400) -> DataFra
     crosses a border - the last value known before a block and the first one
     known after it - comes from a summary of one row per block. Choose
     ``block_seconds`` so that a block of one series holds some thousand rows;
-    the default suits quarter-hours and hours.
+    the default suits quarter-hours and hours. Rows that ``align`` has already
+    put into blocks are used as they lie.
     """
-    keys = ["area", "series", "_block"]
-    block = never_null(block_of(epoch_second("ts"), block_seconds)).alias("_block")
-    rows = keyed(df, "area", "series").select("area", "series", "ts", "value", block).repartition(*keys)
+    keys = ["area", "series", TIME_BLOCK]
+    blocked = df if TIME_BLOCK in df.columns else time_blocks(df, block_seconds)
+    rows = blocked.select("area", "series", "ts", "value", TIME_BLOCK)
     seen = F.when(F.col("value").isNotNull(), F.col("ts"))
 
     # Same columns and partitioning as the rows, so the summary adds no shuffle
-    # and the rows are computed once.
+    # of rows.
     edges = rows.groupBy(*keys).agg(
         F.min(seen).alias("_t0"), F.min_by("value", seen).alias("_v0"),
         F.max(seen).alias("_t1"), F.max_by("value", seen).alias("_v1"),
     )
     # "Everything before" in both directions: a frame up to the end of the
     # partition would be evaluated anew for every row.
-    forward = Window.partitionBy("area", "series").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    backward = Window.partitionBy("area", "series").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    forward = Window.partitionBy("area", "series").orderBy(TIME_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    backward = Window.partitionBy("area", "series").orderBy(F.desc(TIME_BLOCK)).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     carried = edges.select(
         *keys,
         F.last("_t1", True).over(forward).alias("_bt"), F.last("_v1", True).over(forward).alias("_bv"),
         F.last("_t0", True).over(backward).alias("_at"), F.last("_v0", True).over(backward).alias("_av"),
     )
 
-    up = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
-    spanned = (
-        rows.join(carried, keys, "left")
-        .withColumn("_pt", F.coalesce(F.last(seen, True).over(up), "_bt"))
-        .withColumn("_pv", F.coalesce(F.last("value", True).over(up), "_bv"))
-        .withColumn("_nt", F.coalesce(F.last(seen, True).over(down), "_at"))
-        .withColumn("_nv", F.coalesce(F.last("value", True).over(down), "_av"))
-    )
+    def nearest(side: str, column: str) -> Column:
+        """``column`` of the next known row on one side, inside the block."""
+        order = f"PARTITION BY area, series, {TIME_BLOCK} ORDER BY ts"
+        return F.expr(f"{side}({column}) IGNORE NULLS OVER ({order})")
+
+    spanned = rows.withColumn("_seen", seen).join(carried, keys, "left").withColumns({
+        "_pt": F.coalesce(nearest("lag", "_seen"), "_bt"),
+        "_pv": F.coalesce(nearest("lag", "value"), "_bv"),
+        "_nt": F.coalesce(nearest("lead", "_seen"), "_at"),
+        "_nv": F.coalesce(nearest("lead", "value"), "_av"),
+    })
     start = epoch_exact("_pt")
     share = (epoch_exact("ts") - start) / (epoch_exact("_nt") - start)
     filled = (
@@ -110,18 +118,24 @@ def interpolate_time(df: DataFrame, block_seconds: int = 30 * 86_400) -> DataFra
     return spanned.select("area", "ts", "series", filled.alias("value"))
 
 
-def map_categories(df: DataFrame, categories: dict[str, list[str]] = CATEGORIES) -> DataFrame:
+def map_categories(
+    df: DataFrame, categories: dict[str, list[str]] = CATEGORIES, block_seconds: int = BLOCK_SECONDS
+) -> DataFrame:
     """Sum the member series of each category per timestamp (P-06).
 
     One null member makes the sum null; a member that does not exist at all is
-    ignored; series outside the mapping pass through. Needs aligned rows.
+    ignored; series outside the mapping pass through. Needs aligned rows. The
+    shuffle is by category and block of time, so neighbouring timestamps stay
+    together and a later mean per bin is mostly formed before its own shuffle.
     """
     pairs = [(F.lit(member), F.lit(name)) for name, members in categories.items() for member in members]
     target = F.coalesce(F.try_element_at(F.create_map(*chain.from_iterable(pairs)), F.col("series")), F.col("series"))
+    named = df.select("area", "ts", target.alias("series"), "value")
     return (
-        df.select("area", "ts", target.alias("series"), "value")
-        .groupBy("area", "ts", "series")
+        time_blocks(named, block_seconds)
+        .groupBy("area", "series", TIME_BLOCK, "ts")
         .agg(F.when(F.count("*") == F.count("value"), F.sum("value")).alias("value"))
+        .select("area", "ts", "series", "value")
     )
 
 

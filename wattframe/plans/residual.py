@@ -20,6 +20,7 @@ class Preparation:
     drop_consumption: bool = True
     downsample_seconds: int | None = None
     local_offset_hours: int | None = 1
+    block_seconds: int = prepare.BLOCK_SECONDS
 
 
 def prepared(readings: DataFrame, how: Preparation = Preparation()) -> DataFrame:
@@ -32,10 +33,10 @@ def prepared(readings: DataFrame, how: Preparation = Preparation()) -> DataFrame
     rows = prepare.as_float(readings)
     if how.local_offset_hours is not None:
         rows = rows.withColumn("ts", to_local("ts", how.local_offset_hours))
-    rows = prepare.fill_constant(align.align(rows), how.fills)
+    rows = prepare.fill_constant(align.align(rows, how.block_seconds), how.fills)
     if how.drop_consumption:
         rows = prepare.drop_matching(rows)
-    rows = prepare.map_categories(prepare.interpolate_time(rows), how.categories)
+    rows = prepare.map_categories(prepare.interpolate_time(rows), how.categories, how.block_seconds)
     return align.downsample(rows, how.downsample_seconds) if how.downsample_seconds else rows
 
 
