@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
+OP1 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 OP8 = r"""
 WITH known AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 d AS (
@@ -33,4 +44,4 @@ SELECT doc_id, size, source_size, target, CAST(copies AS INTEGER) AS copies, CAS
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op8_mixing": OP8}
+    return {"op1_topk": OP1, "op8_mixing": OP8}

@@ -6,10 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, sharding
+from . import ann, bpe, mixing, sharding, token_counts, topk
 from .common import table, word_count
 
 
+def _public(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 largest inner products of whole-number vectors for every twentieth row."""
+    from .vectors import usable
+
+    rows = table(spark, folder, "embeddings")
+    rows = rows.where(usable(F.col("embedding").cast("array<double>")))
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 64).cast("double"))
+    rows = rows.select("vec_id", whole.alias("vector"))
+    return topk.exact_top_k(rows.where("vec_id % 20 = 0"), rows, 20)
+
+
+def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest rows by cosine for every fiftieth row."""
+    rows = table(spark, folder, "embeddings")
+    return ann.nearest(rows.where("vec_id % 50 = 0"), rows, 5, vector_col="embedding")
+
+
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document and back; digests of both."""
+    import public_tokenizers
+
+    how = (_public("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = bpe.decode(bpe.encode(table(spark, folder, "documents"), *how), *how)
+    return rows.select(
+        "doc_id", F.expr("CAST(octet_length(ids) div 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, and whether they are more than 512."""
+    rows = token_counts.token_counts(table(spark, folder, "documents"), _public("byte_bpe_50k.json"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of each document."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
