@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.blocks import join_per_key
+
 #: A word is a run of bytes other than the ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a task sorts at a time, about.
@@ -26,6 +28,16 @@ def uniform(seed: int, *columns: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
 
 
+def per_source(rows: DataFrame, small: DataFrame, spread: Column) -> DataFrame:
+    """Rows with what ``small`` knows of their ``_group``; the rows of a hot group are salted by ``spread``."""
+    return join_per_key(rows, small, ["_group"], spread)
+
+
+def source_key() -> Column:
+    """``source`` as a key that is never null; a null source differs from an empty one."""
+    return F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit("")))
+
+
 def running_total(rows: DataFrame, group: str, place: Column, order: list[Column], value: Column, out: str) -> DataFrame:
     """Sum of ``value`` over the rows before each row of its group, in ``order``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .common import running_total, uniform
+from .common import per_source, running_total, source_key, uniform
 
 #: Sources in code point order weigh so, over and over.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -51,12 +51,11 @@ def mix(rows: DataFrame, seed: int = 1, weights: tuple[float, ...] = WEIGHTS, ma
         "doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("size"),
         F.when(quality.between(1e-9, 1e9), quality).alias("_quality"), uniform(seed, F.col("doc_id")).alias("_u"),
     )
-    targets = source_targets(rows, weights, max_epochs).withColumnRenamed("source", "_source")
-    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("_source")))
+    targets = source_targets(rows, weights, max_epochs).withColumn("_group", source_key()).drop("source")
+    joined = per_source(rows.withColumn("_group", source_key()), targets, F.col("_u"))
     key = -F.log("_u") / F.col("_quality")
     place = F.when(F.col("_quality").isNotNull(), F.lit(0.999) * (1 - F.exp(-key))).otherwise(F.lit(0.999) + F.col("_u") / 1000)
-    group = F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit("")))
-    joined = joined.drop("_source").withColumn("_group", group).withColumn("_place", place)
+    joined = joined.withColumn("_place", place)
     order = [F.col("_place"), F.col("doc_id"), F.col("size")]
     placed = running_total(joined, "_group", F.col("_place"), order, F.col("size"), "_before")
     epochs = F.least(F.floor(F.col("target") / F.col("source_size") + 1e-9), F.lit(max_epochs))

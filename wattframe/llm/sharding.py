@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .common import BIN_ROWS, running_total, uniform
+from .common import BIN_ROWS, per_source, running_total, source_key, uniform
 
 
 def interleave(rows: DataFrame, n_shards: int, seed: int = 1) -> DataFrame:
@@ -20,12 +20,11 @@ def interleave(rows: DataFrame, n_shards: int, seed: int = 1) -> DataFrame:
     four columns may swap places. With fewer rows than shards some shards stay empty.
     """
     names = ["doc_id", "source", "size", "text_crc32"]
-    group = F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit("")))
     chance = uniform(seed, F.col("doc_id"), F.col("text_crc32"), F.col("size"))
-    rows = rows.select(*names, group.alias("_group"), chance.alias("_u"))
+    rows = rows.select(*names, source_key().alias("_group"), chance.alias("_u"))
     counts = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
     order = [F.col(c) for c in ("_u", "doc_id", "text_crc32", "size")]
-    ranked = running_total(rows.join(counts, "_group"), "_group", F.col("_u"), order, F.lit(1), "_before")
+    ranked = running_total(per_source(rows, counts, F.col("_u")), "_group", F.col("_u"), order, F.lit(1), "_before")
     fraction = (F.col("_before") + 0.5) / F.col("_rows")
     ranked = cut_lineage(ranked.select(*names, "_group", fraction.alias("_fraction")))
 
