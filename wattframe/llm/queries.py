@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, mixing, sharding, token_counts, topk
+from . import ann, bpe, mixing, ngram_join, sharding, token_counts, topk
 from .common import table, word_count
 
 
@@ -45,6 +45,12 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents that share 85 of 100 four-word shingles."""
+    rows = ngram_join.near_duplicates(table(spark, folder, "documents"), size=4, share=(85, 100))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, and whether they are more than 512."""
     rows = token_counts.token_counts(table(spark, folder, "documents"), _public("byte_bpe_50k.json"))
