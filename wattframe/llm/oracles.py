@@ -28,6 +28,19 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.c AS componen
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = d.doc_id
 """
 
+OP6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT h, min(doc_id) AS least FROM x GROUP BY h),
+g AS (SELECT DISTINCT doc_id, i + k AS j FROM x JOIN f USING (h), range(0, 13) r(k) WHERE least < doc_id),
+t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d),
+s AS (SELECT t.doc_id, count(g.j) AS n_removed, coalesce(string_agg(CASE WHEN g.j IS NULL THEN w[t.j] END, ' ' ORDER BY t.j), '') AS kept
+  FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.j = t.j GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
 OP8 = r"""
 WITH known AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 d AS (
@@ -59,4 +72,4 @@ SELECT doc_id, size, source_size, target, CAST(copies AS INTEGER) AS copies, CAS
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_topk": OP1, "op4_ngram_join": OP4, "op8_mixing": OP8}
+    return {"op1_topk": OP1, "op4_ngram_join": OP4, "op6_substring": OP6, "op8_mixing": OP8}

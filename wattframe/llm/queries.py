@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, mixing, ngram_join, sharding, token_counts, topk
+from . import ann, bpe, mixing, ngram_join, sharding, substring, suffixes, token_counts, topk
 from .common import table, word_count
 
 
@@ -51,6 +51,18 @@ def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_substring(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that stay when windows of 13 words that an earlier document has are removed."""
+    rows = substring.remove_repeats(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op9_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes that stay when all strings of 400 bytes that occur elsewhere are removed."""
+    rows = suffixes.remove_repeats(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, and whether they are more than 512."""
     rows = token_counts.token_counts(table(spark, folder, "documents"), _public("byte_bpe_50k.json"))
