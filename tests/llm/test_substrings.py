@@ -116,7 +116,7 @@ def test_overfull_grams(spark):
     df = frame(spark, rows).select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     places = suffixes._anchored(df, 24)
     segments = suffixes._segments(df, places.drop("gram"), 24, 3)
-    limit = suffixes.GROUP_SEGMENTS
+
     sorted_ = {}
     for name, full in (("held", False), ("passed", True)):
         whole = segments.select(F.explode(F.sequence(F.lit(1), (F.length("starts") / 4).cast("int"))).alias("i"), "*") if full else segments

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import cut_lineage
 from .batches import slices
 from .components import components
+from .parts import with_keys
 from .words import mixed, windows, words
 
 #: A shingle that so many classes have, at most, is rare.
@@ -40,8 +41,6 @@ BLOCK_ROWS = 512
 #: Shingles that a task compares at a time in step 1, and numbers it deals to a bucket, about.
 BATCH_SHINGLES = 2_000_000
 BUCKET_SHINGLES = 1_000_000
-#: The keys of so many candidates may be broadcast, 16 bytes each; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -372,7 +371,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
     can_miss = F.expr(f"n - (n * {num} + {den - 1}) div {den}")
     kept = one.join(own, "owner", "left").where(F.coalesce("n_own", F.lit(0)) <= can_miss)
     keys = cut_lineage(kept.select("key").distinct())
-    texts = rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key", "left_semi")
+    texts = with_keys(rows, keys, "left_semi", "key")
     sets = cut_lineage(_sets(texts, size).withColumn("cid", F.monotonically_increasing_id()))
     found = components(_links(sets, share)).withColumnRenamed("node", "cid")
     named = sets.join(found, "cid").select("class", F.col("component").alias("_c"))

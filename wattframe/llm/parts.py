@@ -20,5 +20,14 @@ def n_parts(total: int) -> int:
     return n
 
 
+#: So many keys may be broadcast, 16 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def with_keys(rows: DataFrame, keys: DataFrame, how: str, key: str = "row_key") -> DataFrame:
+    """Rows joined with a written table of keys; their texts stay where they are if the keys are few."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, how)
+
+
 def part_of(key: Column, parts: int) -> Column:
     return F.pmod(key, F.lit(parts)).cast("int")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, mixing, ngram_join, sharding, substring, suffixes, token_counts, topk
+from . import ann, bpe, language, mixing, ngram_join, sharding, substring, suffixes, token_counts, topk
 from .common import table, word_count
 
 
@@ -51,6 +51,13 @@ def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every page, by a model of the documents' languages."""
+    model = language.fit(table(spark, folder, "documents"))
+    rows = language.identify(language.page_rows(table(spark, folder, "pages")), model)
+    return rows.withColumnRenamed("key", "page_id").withColumn("probability", F.round("probability", 6))
+
+
 def op6_substring(spark: SparkSession, folder: str) -> DataFrame:
     """Words that stay when windows of 13 words that an earlier document has are removed."""
     rows = substring.remove_repeats(table(spark, folder, "documents"))

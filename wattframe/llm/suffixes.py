@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage
 from .batches import slices
@@ -278,8 +279,10 @@ def _counted_windows(rest: DataFrame, length: int) -> DataFrame:
     return every.join(again, "digest").select("key", "start", (F.col("start") + length).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row_key, <id>, n_bytes, n_removed, n_spans, kept, text`` for each row.
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """``row_key, <id>, n_bytes, n_removed, n_spans, kept, text, carried`` for each row.
 
     A text is its UTF-8 bytes. Every byte in a string of ``length`` bytes that also starts at any other place, in
     the same or another row, is removed, all occurrences alike; overlaps count and strings are judged on the input.
@@ -287,10 +290,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     characters that lost some of their bytes. ``row_key`` is a hash of id and text.
 
     A null counts as empty; shorter texts keep all. Repeated rows repeat each other, whatever their id, and stay
-    repeated; a row without an id takes part. An empty table gives no rows; other columns are left out.
+    repeated; a row without an id takes part. An empty table gives no rows. The columns named in ``carry`` come
+    along in the struct ``carried``; others are left out.
     """
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    carried = F.struct(F.lit(True).alias("_row"), *(F.col(c) for c in carry)).alias("carried")
+    every = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"),
+                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), carried)
+    rows = every.drop("carried")
     parts = n_parts(text_bytes(rows))
     places = cut_lineage(_anchored(rows, length))
     again = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
@@ -318,10 +324,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             out.append((len(data), len(data) - len(kept), len(new), kept, kept.decode("utf-8", "ignore")))
         columns = list(zip(*out)) if out else [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-        names = ["n_bytes", "n_removed", "n_spans", "kept", "text"]
-        return pa.table([left["key"], left["id"], *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["row_key", id_col, *names])
+        names = ["row_key", "id", "carried", "n_bytes", "n_removed", "n_spans", "kept", "text"]
+        return pa.table([left["key"], left["id"], left["carried"], *(pa.array(c, t) for c, t in zip(columns, kinds))], names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kinds = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept": "binary", "text": "string"}
+    schema = StructType([StructField("row_key", LongType()), StructField("id", docs.schema[id_col].dataType), every.schema["carried"]])
+    for name, kind in kinds.items():
+        schema = schema.add(name, kind)
     part = lambda df: df.withColumn("part", part_of(F.col("key"), parts)).groupBy("part")
-    return part(rows).cogroup(part(spans)).applyInArrow(
-        apply, f"row_key bigint, {id_col} {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text string")
+    return part(every).cogroup(part(spans)).applyInArrow(apply, schema).withColumnRenamed("id", id_col)
