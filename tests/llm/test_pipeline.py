@@ -17,7 +17,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def docs(spark):
     given = spark.read.parquet(f"{SF}/documents.parquet")
     odd = [(None, "the and of the " * 20, "en", None, 1), (9001, None, None, "src1", None), (9002, "", "en", "src1", 0), (9003, "%% 12 !!", "en", "src2", 8),
-           (9004, "漢字仮名交じり文の例文です。" * 30, "en", "src2", 1), (9005, "the and in that was this " * 400, "en", "src3", 1)]
+           (9004, "漢字仮名交じり文の例文です。" * 30, None, "src2", 1), (9005, "the and in that was this " * 400, "en", "src3", 1)]
     return given.unionByName(spark.createDataFrame([*odd, odd[-1], odd[0]], SCHEMA)).cache()
 
 

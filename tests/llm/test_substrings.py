@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from wattframe.llm import substring, suffixes
 from wattframe.llm.suffixes import common, multikey_order, repeated
@@ -113,26 +112,8 @@ def test_repeated_bytes(spark, length):
 def test_overfull_grams(spark):
     """Counting windows gives what sorting gives."""
     rows = [r for r in strings(7) if len(r[1] or "") < 1000]
-    df = frame(spark, rows).select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    places = suffixes._anchored(df, 24)
-    segments = suffixes._segments(df, places.drop("gram"), 24, 3)
-
-    sorted_ = {}
-    for name, full in (("held", False), ("passed", True)):
-        whole = segments.select(F.explode(F.sequence(F.lit(1), (F.length("starts") / 4).cast("int"))).alias("i"), "*") if full else segments
-        if full:
-            place = lambda c, n: F.conv(F.hex(F.reverse(F.substring(c, F.lit(1), F.lit(n)))), 16, 10)  # noqa: E731, F841
-            rows_ = [(k, s, r.content) for r in segments.collect()
-                     for k, s in zip(np.frombuffer(r["keys"], "<i8").tolist(), np.frombuffer(r["starts"], "<i4").tolist())]
-            spans = suffixes._counted_windows(spark.createDataFrame(rows_, "key long, start int, content binary"), 24)
-        else:
-            spans = suffixes._judged(segments, 24, 3)
-        found = collections.defaultdict(set)
-        for r in spans.select("key", "start", "end").collect():
-            found[r.key].update(range(r.start, r.end))
-        sorted_[name] = found
-        del whole
-    assert sorted_["held"] == sorted_["passed"] and limit > 0
+    for most in (1, 3):
+        assert taken(suffixes.remove_repeats(frame(spark, rows), 24, group_segments=most)) == without_repeated_bytes(rows, 24)
 
 
 def test_documents(spark):

@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ..session import cut_lineage
 from .batches import slices
@@ -211,8 +211,8 @@ def _segments(rows: DataFrame, found: DataFrame, length: int, parts: int) -> Dat
     return part(rows.select("key", "text")).cogroup(part(found)).applyInArrow(cut, SEGMENT)
 
 
-def _judged(segments: DataFrame, length: int, n_ranges: int) -> DataFrame:
-    """``key, start, end`` of repeated intervals; the segments of overfull grams come out as they are, with ``content``."""
+def _judged(segments: DataFrame, length: int, n_ranges: int, most: int) -> DataFrame:
+    """``key, start, end`` of repeated intervals; the segments of grams with more than ``most`` come out as they are, with ``content``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, held, full = None, [], False
@@ -247,7 +247,7 @@ def _judged(segments: DataFrame, length: int, n_ranges: int) -> DataFrame:
                 if row["lead"] != lead:
                     close()
                     lead, held, full = row["lead"], [], False
-                if not full and len(held) == GROUP_SEGMENTS:
+                if not full and len(held) == most:
                     for r in held:
                         passed(r)
                     held, full = [], True
@@ -280,7 +280,8 @@ def _counted_windows(rest: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+    carry: tuple[str, ...] = (), group_segments: int = GROUP_SEGMENTS,
 ) -> DataFrame:
     """``row_key, <id>, n_bytes, n_removed, n_spans, kept, text, carried`` for each row.
 
@@ -291,7 +292,7 @@ def remove_repeats(
 
     A null counts as empty; shorter texts keep all. Repeated rows repeat each other, whatever their id, and stay
     repeated; a row without an id takes part. An empty table gives no rows. The columns named in ``carry`` come
-    along in the struct ``carried``; others are left out.
+    along in the struct ``carried``; others are left out. A task holds ``group_segments`` segments of a gram at most.
     """
     carried = F.struct(F.lit(True).alias("_row"), *(F.col(c) for c in carry)).alias("carried")
     every = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"),
@@ -302,7 +303,7 @@ def remove_repeats(
     again = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     found = places.join(again, "gram", "left_semi").select("key", "first", "last", "anchor")
     ranges = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    judged = cut_lineage(_judged(_segments(rows, found, length, parts), length, ranges))
+    judged = cut_lineage(_judged(_segments(rows, found, length, parts), length, ranges, group_segments))
     spans = judged.where("content IS NULL").select("key", "start", "end")
     spans = spans.unionByName(_counted_windows(judged.where("content IS NOT NULL"), length))
 
@@ -327,9 +328,9 @@ def remove_repeats(
         names = ["row_key", "id", "carried", "n_bytes", "n_removed", "n_spans", "kept", "text"]
         return pa.table([left["key"], left["id"], left["carried"], *(pa.array(c, t) for c, t in zip(columns, kinds))], names=names)
 
-    kinds = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept": "binary", "text": "string"}
     schema = StructType([StructField("row_key", LongType()), StructField("id", docs.schema[id_col].dataType), every.schema["carried"]])
-    for name, kind in kinds.items():
-        schema = schema.add(name, kind)
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(name, LongType())
+    schema = schema.add("kept", BinaryType()).add("text", StringType())
     part = lambda df: df.withColumn("part", part_of(F.col("key"), parts)).groupBy("part")
     return part(every).cogroup(part(spans)).applyInArrow(apply, schema).withColumnRenamed("id", id_col)
