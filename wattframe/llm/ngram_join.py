@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .batches import slices
@@ -281,11 +281,13 @@ def _block_links(entries: DataFrame, sets: DataFrame, share: tuple[int, int]) ->
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first, n = TaskContext.get().partitionId() << 32, 0
+        task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            blocks = first + (n + np.arange(batch.num_rows)) // BLOCK_ROWS
+            places = n + np.arange(batch.num_rows)
             n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("component"), pa.array(blocks)], ["cid", "component", "block"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cid"), batch.column("component"), pa.array(np.full(len(places), task)), pa.array(places)],
+                ["cid", "component", "task", "place"])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = left.to_pydict(), right.rename_columns(left.column_names).to_pydict()
@@ -317,7 +319,12 @@ def _block_links(entries: DataFrame, sets: DataFrame, share: tuple[int, int]) ->
     places = entries.groupBy("cid", "component").agg(F.min("entry").alias("_least"))
     n_parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = places.repartitionByRange(n_parts, "_least", "cid").sortWithinPartitions("_least", "cid").select("cid", "component")
-    blocks = cut_lineage(ordered.mapInArrow(number, "cid bigint, component bigint, block bigint"))
+    numbered = cut_lineage(ordered.mapInArrow(number, "cid bigint, component bigint, task bigint, place bigint"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task
+    sizes = numbered.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    block = F.floor((F.col("_start") + F.col("place")) / BLOCK_ROWS)
+    blocks = cut_lineage(numbered.join(starts, "task").select("cid", "component", block.alias("block")))
     met = entries.join(blocks.select("cid", "block"), "cid").select("entry", "block").distinct()
     cells = met.join(met.withColumnRenamed("block", "other"), "entry").where("block <= other").select("block", "other").distinct()
     full = blocks.join(sets.select("cid", "shingles"), "cid")
