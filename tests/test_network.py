@@ -83,8 +83,6 @@ def test_regression_equals_lstsq(readings):
     wide = np.column_stack([data["x"], data["y"]]).astype(float)
     design = np.stack([np.concatenate([[1], wide[i : i + 3].ravel()]) for i in range(197)])
     np.testing.assert_allclose(beta, np.linalg.lstsq(design, wide[3:], rcond=None)[0], rtol=1e-6, atol=1e-9)
-    with pytest.raises(ValueError):
-        regressor.fit_window_regressor(blocks, 5_000, 3)
 
 
 def test_training_step_equals_single_machine(readings):
@@ -94,7 +92,8 @@ def test_training_step_equals_single_machine(readings):
     wide = np.column_stack([data["x"], data["y"]]).astype(float)
     x, y = np.stack([wide[i : i + 5] for i in range(55)]), wide[5:]
     loss, grad = network.loss_and_gradient(weights, x, y)
-    got_loss, got_grad = network._batch_sums(blocks, weights, 5, 8, False, True)
+    got_loss, got_grad, dropped = network._batch_sums(blocks, weights, 5, 8, False, True)
+    assert dropped == 0
     assert got_loss == pytest.approx(loss / y.size)
     np.testing.assert_allclose(got_grad, network.pack(grad) / y.size, rtol=1e-8)
 
@@ -134,5 +133,40 @@ def test_windows_with_missing_cells_are_not_trained_on(readings):
     data = {k: [float(v) for v in s] for k, s in two_series(60).items()}
     data["x"][30] = None
     blocks = windows.sequence_blocks(readings(data), 5, 1, 3600, 16)
-    loss, grad = network._batch_sums(blocks, network.initial_weights(2, 2, 2), 5, 16, False, True)
+    weights = network.initial_weights(2, 2, 2)
+    loss, grad, dropped = network._batch_sums(blocks, weights, 5, 16, False, True, "drop")
+    assert dropped == 6
     assert np.isfinite(loss) and np.isfinite(grad).all()
+    _, history = network.train(blocks, blocks, weights, 5, 1, size=16, on_null="drop")
+    assert [r.dropped_windows for r in history.collect()] == [6]
+    with pytest.raises(Exception, match="missing cells"):
+        network.train(blocks, blocks, weights, 5, 1, size=16)
+
+
+def test_each_batch_reads_its_own_folder(readings, monkeypatch):
+    plans = []
+    sums = network._batch_sums
+
+    def seen(blocks, *args, **how):
+        plans.append(blocks._jdf.queryExecution().executedPlan().toString())
+        return sums(blocks, *args, **how)
+
+    monkeypatch.setattr(network, "_batch_sums", seen)
+    blocks = windows.sequence_blocks(readings(two_series(80)), 5, 1, 3600, 8)
+    network.train(blocks, blocks, network.initial_weights(2, 2, 2), 5, 1, n_batches=4, size=8)
+    assert len(plans) > 2 and all("PartitionFilters: [isnotnull(batch" in p for p in plans[:-1])
+
+
+def test_unequal_areas_are_refused(readings):
+    df = readings(two_series(40)).union(readings({"z": [1.0] * 40}, area="b"))
+    weights = network.initial_weights(2, 2, 2)
+    cut = windows.windows(df, 4, 1, 1)
+    with pytest.raises(Exception, match="area b has 1 series"):
+        network.n_step_forecast(cut, lambda x: network.predict(weights, x), ["x", "y"], 2, 3600).collect()
+
+
+def test_many_columns_are_solved_step_by_step(readings):
+    blocks = windows.sequence_blocks(readings(two_series(120)), 6, 1, 3600, 16)
+    direct = regressor.fit_window_regressor(blocks, 2, 6, ridge=0.1, size=16)
+    steps = regressor.fit_window_regressor(blocks, 2, 6, ridge=0.1, size=16, direct_columns=0)
+    np.testing.assert_allclose(steps, direct, atol=1e-6)

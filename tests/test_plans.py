@@ -5,8 +5,8 @@ import os
 import numpy as np
 import pytest
 
-import __spark_entry__ as entry
 from wattframe.checks import queries
+from wattframe.checks.oracles import all_oracles
 from wattframe.operators import align, lags, prepare, profile
 
 SF = "/root/testdata/sf0.001"
@@ -20,22 +20,24 @@ def final_plan(df):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["a01_downsample", "w01_profile", "w01_profile_orders", "d01_persistence"])
+@pytest.mark.parametrize("name", [
+    "a01_downsample", "w01_profile", "w01_profile_orders", "d01_persistence", "f01_align", "f02_interpolate", "prepared_dataset",
+])
 def test_the_table_is_scanned_once(spark, name):
-    assert final_plan(entry.queries()[name](spark, SF)).count("FileScan") == 1
+    assert final_plan(queries.all_queries()[name](spark, SF)).count("FileScan") == 1
 
 
 @needs_tables
 @pytest.mark.parametrize("name", ["a02_scaler", "a06_dates", "w03_last_days"])
 def test_only_needed_columns_are_read(spark, name):
-    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = queries.all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "l_orderkey" not in plan
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_oracles()))
 def test_no_cross_join(spark, name):
-    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = queries.all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 

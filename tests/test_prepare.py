@@ -143,3 +143,11 @@ def test_partitioning_does_not_change_results(spark, readings):
         got = prepare.interpolate_time(df.repartition(n), 7 * 3_600).orderBy("series", "ts").collect()
         seen.add(tuple((r.series, r.ts, r.value) for r in got))
     assert len(seen) == 1
+
+
+def test_two_readings_for_a_cell_are_refused(readings):
+    df = readings([("2024-01-01 00:00:00", 1.0), ("2024-01-01 00:00:00", 9.0)])
+    with pytest.raises(Exception, match="(?i)duplicate"):
+        align.align(df).collect()
+    with pytest.raises(Exception, match="two readings"):
+        align.to_wide(df, ["x"]).collect()

@@ -178,12 +178,13 @@ def test_future_profiles(readings):
     days = {r.d: r.v for r in got.groupBy(F.to_date("ts").alias("d")).agg(F.avg("pslp").alias("v")).collect()}
     assert days == {dt.date(2024, 2, 1): 29, dt.date(2024, 2, 3): pytest.approx(19), dt.date(2024, 2, 4): pytest.approx(20)}
     assert profile.profile_for_date(df, "20240201").count() == 24
-    with pytest.raises(IndexError, match="too far"):
-        profile.profile_for_date(df, "20240202")
-    with pytest.raises(IndexError, match="before the data"):
-        profile.profile_for_date(df, "20231231")
-    with pytest.raises(IndexError, match="fewer than"):
-        profile.profile_for_date(df, "20240106")
+    for date, reason in (("20240202", "too far"), ("20231231", "before the data"), ("20240106", "fewer than")):
+        with pytest.raises(Exception, match=f"no profile of a: .*{reason}"):
+            profile.profile_for_date(df, date).collect()
+        row, = profile.profile_for_date(df, date, on_missing="status").collect()
+        assert reason in row.status and row.pslp is None
+    with pytest.raises(ValueError, match="on_missing"):
+        profile.profile_for_date(df, "20240101", on_missing="skip")
     single = profile.profile_for_date(df, "20240130")
     both = profile.profiles(df).where("to_date(ts) = date'2024-01-30'")
     assert {(r.ts, r.pslp) for r in single.collect()} == {(r.ts, r.pslp) for r in both.collect()}
@@ -218,5 +219,59 @@ def test_profile_of_scaled_is_scaled_profile(readings):
 
 
 def test_partial_days(readings):
-    got = profile.partial_days(partial(readings), 3600).collect()
-    assert [(str(r.date), r.n_slots) for r in got] == [("2024-01-08", 1)]
+    got = profile.partial_days(partial(readings), 24).collect()
+    assert [(str(r.date), r.least_rows, r.most_rows) for r in got] == [("2024-01-08", 1, 1)]
+
+
+def test_days_of_92_96_and_100_rows(readings):
+    """The clock changes: an hour left out, and one that comes twice."""
+    rows = [(dt.datetime(2024, 3, 30) + dt.timedelta(minutes=15 * i), 1.0) for i in range(3 * 96)]
+    rows = [r for r in rows if not (r[0].day == 31 and r[0].hour == 2)]
+    rows += [(r[0], 2.0) for r in rows if r[0].day == 1 and r[0].hour == 2]
+    df = readings(rows)
+    got = profile.partial_days(df).orderBy("date").collect()
+    assert [(str(r.date), r.least_rows, r.most_rows) for r in got] == [("2024-03-31", 92, 92), ("2024-04-01", 100, 100)]
+    assert [r.full for r in profile.day_table(df, 900).orderBy("date").collect()] == [True, False, False]
+
+
+def test_a_step_that_is_not_the_data_raises(readings):
+    df = readings([1.0] * 96 * 20, step=900)
+    with pytest.raises(Exception, match="not a full day"):
+        profile.profiles(df, step=3_600).collect()
+    assert profile.profiles(df, step=900).where("pslp is not null").count() > 0
+
+
+def test_areas_are_judged_by_their_own_dates(readings):
+    long, short = readings([1.0] * 24 * 31), readings([2.0] * 24 * 20, area="b")
+    got = profile.profile_for_date(long.union(short), "20240201", on_missing="status").collect()
+    assert {(r.area, r.status) for r in got} == {("a", "ok"), ("b", "20240201 lies too far after the data")}
+    assert sum(r.area == "a" for r in got) == 24
+    with pytest.raises(Exception, match="no profile of b"):
+        profile.profile_for_date(long.union(short), "20240201").collect()
+
+
+def test_easter_in_any_year(spark):
+    def easter(year):  # the anonymous Gregorian computus
+        a, b, c = year % 19, year // 100, year % 100
+        h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
+        w = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
+        m = (a + 11 * h + 22 * w) // 451
+        return (h + w - 7 * m + 114) // 31, (h + w - 7 * m + 114) % 31 + 1
+
+    years = spark.range(1583, 9990).select(F.col("id").cast("int").alias("y"))
+    for r in years.select("y", daytype.easter_sunday(F.col("y")).alias("d")).collect():
+        assert (r.d.month, r.d.day) == easter(r.y)
+    assert daytype.holiday_table(spark, 2501, 2501).count() == 9
+    with pytest.raises(Exception, match="no Easter rule before 1583: 1582"):
+        daytype.holiday_table(spark, 1582, 1582).collect()
+    with pytest.raises(ValueError, match="holiday table"):
+        daytype.holiday_table(spark, 2024, 2024, "FR")
+
+
+def test_next_dates_with_a_table(spark):
+    dates = spark.sql("select explode(sequence(date'2024-04-01', date'2024-06-01', interval 1 day)) date")
+    table = daytype.holiday_table(spark, 2024, 2024)
+    assert set(daytype.next_dates(dates, table).collect()) == set(daytype.next_dates(dates).collect())
+    closed = spark.createDataFrame([("FR", dt.date(2024, 5, 8), "x")], "country string, date date, name string")
+    got = {r.date: r.next_date for r in daytype.next_dates(dates, closed, "FR").collect()}
+    assert got[dt.date(2024, 5, 7)] == dt.date(2024, 5, 9) and got[dt.date(2024, 5, 5)] == dt.date(2024, 5, 8)

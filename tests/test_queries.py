@@ -6,6 +6,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from wattframe.checks.oracles import all_oracles
+from wattframe.checks.queries import all_queries
 
 duckdb = pytest.importorskip("duckdb")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -37,16 +39,16 @@ def _rows(rows, names, order):
     return sorted((tuple(_key(r[i]) for i in at) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_oracles()))
 def test_same_as_sql(spark, tables, name):
-    got = entry.queries()[name](spark, SF)
-    want = tables.execute(entry.oracle_sql()[name])
+    got = all_queries()[name](spark, SF)
+    want = tables.execute(all_oracles()[name])
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     order = sorted(columns)
     assert _rows(got.collect(), got.columns, order) == _rows(want.fetchall(), columns, order)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(all_queries()) - set(all_oracles())))
 def test_runs(spark, name):
-    assert entry.queries()[name](spark, SF).count() > 0
+    assert all_queries()[name](spark, SF).count() > 0

@@ -66,3 +66,37 @@ def test_lineage_is_cut_in_the_named_folder(spark, tmp_path):
     cut = cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
     assert cut.agg(F.sum("x")).first()[0] == 20
     assert "FileScan" in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_platform_files_go_by_name(spark, tmp_path):
+    for name, lines in {
+        "a.csv": ["Area,MTU,Biomass  - Actual Aggregated [MW],Solar  - Actual Aggregated [MW]", "DE,01.01.2023 00:00 - 01.01.2023 00:15,1,2"],
+        "b.csv": ["Area,MTU,Solar  - Actual Aggregated [MW],Biomass  - Actual Aggregated [MW],Waste  - Actual Aggregated [MW]",
+                  "DE,01.01.2024 00:00 - 01.01.2024 00:15,2,1,3"],
+        "c.csv": ["Area,MTU,Biomass  - Actual Aggregated [MW],Solar  - Actual Aggregated [MW]", "DE,01.01.2025 00:00 - 01.01.2025 00:15,1,n/e"],
+    }.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    got = {(r.ts.year, r.series.split()[0]): r.value for r in source.read_platform_csv(spark, str(tmp_path)).collect()}
+    assert got == {(2023, "Biomass"): 1, (2023, "Solar"): 2, (2023, "Waste"): None, (2024, "Biomass"): 1, (2024, "Solar"): 2,
+                   (2024, "Waste"): 3, (2025, "Biomass"): 1, (2025, "Solar"): None, (2025, "Waste"): None}
+
+
+def test_latest_of_two_runs_in_a_second(spark, tmp_path):
+    path = str(tmp_path / "models")
+    for i in range(4):
+        results.save_models(spark.range(i, i + 1), path, "zyxw"[i])
+    assert results.load_models(spark, path).first().id == 3
+
+
+def test_owned_cuts_are_removed(spark):
+    import os
+    import urllib.parse
+
+    from wattframe.session import owned_cuts
+
+    folder = urllib.parse.urlparse(shared_folder(spark)).path
+    before = set(os.listdir(folder))
+    with owned_cuts(spark):
+        assert cut_lineage(spark.range(3)).count() == 3
+        assert set(os.listdir(folder)) - before
+    assert set(os.listdir(folder)) == before

@@ -27,7 +27,7 @@ def test_windows_equal_slices_for_any_block(readings, size, stride):
         np.testing.assert_array_equal(np.array(r.sample, dtype="float32"), data[i : i + tw])
         np.testing.assert_array_equal(np.array(r.target, dtype="float32"), data[i + tw : i + tw + pw])
         assert r.target_ts[0] == dt.datetime(2024, 1, 1) + dt.timedelta(hours=i + tw)
-    one = windows.window_at(windows.windows(df, tw, pw, stride, size=size), 2)
+    one = windows.window_at(df, 2, tw, pw, stride)
     assert one.count() == 2 if stride == 1 else one.count() == 1
 
 
@@ -48,12 +48,18 @@ def test_split(readings):
     assert [r.part for r in got] == ["train"] * 6 + ["valid"] * 2 + ["test"] * 2
 
 
-def test_feature_limit(readings, monkeypatch):
-    df = readings({"x": [1.0], "y": [1.0]})
-    assert windows.feature_names(df) == ["x", "y"]
-    monkeypatch.setattr(windows, "MAX_FEATURES", 1)
-    with pytest.raises(ValueError):
-        windows.feature_names(df)
+def test_feature_names(readings):
+    assert windows.feature_names(readings({"y": [1.0], "x": [1.0]})) == ["x", "y"]
+
+
+def test_one_window(readings):
+    df = readings({"x": [float(i) for i in range(40)], "y": [float(-i) for i in range(40)]})
+    every = {r.window_id: r for r in windows.windows(df, 5, 2, 3).collect()}
+    for i in (0, 4, max(every)):
+        assert windows.window_at(df, i, 5, 2, 3).collect() == [every[i]]
+    assert windows.window_at(df, max(every) + 1, 5, 2, 3).count() == 0
+    with pytest.raises(Exception, match="gaps"):
+        windows.window_at(df.where("hour(ts) <> 3"), 0, 5, 2, 1).collect()
 
 
 def losses(spark, values, run="r"):

@@ -194,6 +194,108 @@ def kpss(source: str, name: str, lags: int = 7) -> str:
   FROM {name}_w GROUP BY area, series, d)"""
 
 
+SCALED = COMPLETE + """,
+s AS (SELECT area, ts, series, (value - (SELECT min(value) FROM complete)) /
+  ((SELECT max(value) FROM complete) - (SELECT min(value) FROM complete)) AS value FROM complete)"""
+
+# Two lags, solved from covariances.
+LAG_MODEL = SCALED + """,
+z AS (SELECT *, lag(value, 1) OVER w AS x1, lag(value, 24) OVER w AS x2 FROM s WINDOW w AS (PARTITION BY area, series ORDER BY ts)),
+c AS (SELECT area, series, count(*) AS n, avg(value) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(value) AS cyy, var_pop(x1) AS c11,
+    var_pop(x2) AS c22, covar_pop(x1, x2) AS c12, covar_pop(x1, value) AS c1y, covar_pop(x2, value) AS c2y
+  FROM z WHERE value + x1 + x2 IS NOT NULL GROUP BY ALL),
+b AS (SELECT *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2 FROM c),
+model AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, cyy - b1 * c1y - b2 * c2y AS sigma2 FROM b)"""
+
+SERIES = ["click", "error", "purchase", "signup", "view"]
+
+
+def _weights() -> dict:
+    from ..operators.network import initial_weights
+
+    return {name: w.tolist() for name, w in initial_weights(len(SERIES), 1, len(SERIES)).items()}
+
+
+def _cell(source: str, name: str, inputs: str, before: str | None) -> str:
+    """One step of the cell with a single hidden unit: adds ``<name>_c`` and ``<name>_h``."""
+    w = _weights()
+    gates = []
+    for k in range(4):
+        parts = [f"({w['w_input'][k][j]!r}) * {inputs}{j}" for j in range(len(SERIES))] + [f"({w['b_gate'][k]!r})"]
+        if before:
+            parts.append(f"({w['w_hidden'][k][0]!r}) * {before}_h")
+        gates.append(" + ".join(parts))
+    sig = lambda x: f"(0.5 * (1 + tanh(0.5 * {x})))"
+    kept = f"{sig('gf')} * {before}_c + " if before else ""
+    cells = ", ".join(f"{g} AS {n}" for g, n in zip(gates, ("gi", "gf", "gg", "go")))
+    return f"""{name}_g AS (SELECT *, {cells} FROM {source}),
+{name} AS (SELECT * EXCLUDE (gi, gf, gg, go, cell), cell AS {name}_c, {sig('go')} * tanh(cell) AS {name}_h
+  FROM (SELECT *, {kept}{sig('gi')} * tanh(gg) AS cell FROM {name}_g))"""
+
+
+def _outputs(hidden: str, prefix: str) -> str:
+    w = _weights()
+    return ", ".join(f"({w['w_out'][j][0]!r}) * {hidden}_h + ({w['b_out'][j]!r}) AS {prefix}{j}" for j in range(len(SERIES)))
+
+
+def _vectors() -> str:
+    """One row per hour: the hour's own values ``y``, those two hours (``a``) and one hour before (``b``)."""
+    cells = ", ".join(f"max(CASE WHEN series = '{s}' THEN CAST(CAST(value AS FLOAT) AS DOUBLE) END) AS y{j}" for j, s in enumerate(SERIES))
+    lags = ", ".join(f"lag(y{j}, 2) OVER w AS a{j}, lag(y{j}, 1) OVER w AS b{j}" for j in range(len(SERIES)))
+    return f"""v AS (SELECT ts, {cells} FROM s GROUP BY ts),
+x AS (SELECT *, {lags}, row_number() OVER w - 1 AS pos, count(*) OVER () AS n FROM v WINDOW w AS (ORDER BY ts))"""
+
+
+def _scored() -> str:
+    return _with(SCALED, _vectors(), _cell("x", "one", "a", None), _cell("one", "two", "b", "one"),
+                 f"scored AS (SELECT *, {_outputs('two', 'p')} FROM two WHERE pos >= 2)")
+
+
+def _long(columns: str, source: str) -> str:
+    return "\nUNION ALL\n".join(f"SELECT 'k' AS area, '{s}' AS series, {columns.format(j=j)} FROM {source}" for j, s in enumerate(SERIES))
+
+
+def _small_models(out: dict[str, str]) -> None:
+    model = _with(LAG_MODEL) + f"""SELECT model.area, model.series, CAST(1 AS INTEGER) AS p, CAST(0 AS INTEGER) AS q, CAST(1 AS INTEGER) AS sp,
+  CAST(0 AS INTEGER) AS sq, n, l.i AS last_idx, {r6('b0')} AS intercept, {r6('b1')} AS lag_1, {r6('b2')} AS lag_24, {r6('sigma2 * 100')} AS sigma2
+FROM model JOIN (SELECT area, series, CAST(epoch(max(ts)) AS BIGINT) // 3600 AS i FROM s WHERE value IS NOT NULL GROUP BY ALL) l USING (area, series)"""
+    out["m04_lag_model"] = out["m05_lag_refit"] = out["m06_lag_update"] = out["s04_stored_models"] = model
+    out["m08_lag_fitted"] = _with(LAG_MODEL) + f"""SELECT z.area, z.ts, z.series, {r6('value')} AS value,
+  {r6('b0 + b1 * x1 + b2 * x2')} AS predicted FROM z JOIN model USING (area, series) WHERE value IS NOT NULL"""
+    out["m07_lag_forecast"] = "WITH RECURSIVE " + LAG_MODEL + f""",
+t AS (SELECT area, series, max(ts) AS ts, list(value ORDER BY ts DESC)[:24] AS last FROM s GROUP BY ALL),
+f AS (
+  SELECT area, series, ts, 0 AS h, last, CAST(NULL AS DOUBLE) AS y FROM t
+  UNION ALL
+  SELECT f.area, f.series, f.ts + INTERVAL 1 HOUR, h + 1, list_prepend(b0 + b1 * last[1] + b2 * last[24], last[:23]), b0 + b1 * last[1] + b2 * last[24]
+  FROM f JOIN model ON model.area = f.area AND model.series = f.series WHERE h < 48)
+SELECT area, ts, series, {r6('y')} AS predicted FROM f WHERE h > 0"""
+    out["m09_cell"] = _scored() + _long(f"ts, {r6('y{j}')} AS value, {r6('p{j}')} AS predicted", "scored")
+    out["m11_cell_errors"] = _scored() + f"""SELECT series, {r6('avg(abs(y - p))')} AS mae, {r6('avg((y - p) * (y - p))')} AS mse, count(*) AS n FROM (
+{_long('y{j} AS y, p{j} AS p', 'scored')}) WHERE y - p IS NOT NULL GROUP BY series"""
+    again = ", ".join(f"p{j} AS q{j}" for j in range(len(SERIES)))
+    out["m10_two_steps"] = _with(
+        SCALED, _vectors(), _cell("x", "one", "a", None), _cell("one", "two", "b", "one"),
+        f"scored AS (SELECT *, {_outputs('two', 'p')} FROM two WHERE pos >= 2)",
+        f"moved AS (SELECT ts, pos, " + ", ".join(f"b{j}" for j in range(len(SERIES))) + f", {again} FROM scored)",
+        _cell("moved", "three", "b", None), _cell("three", "four", "q", "three"),
+        f"further AS (SELECT *, {_outputs('four', 'r')} FROM four)",
+    ) + _long(f"pos - 2 AS window_id, CAST(1 AS INTEGER) AS horizon, ts, {r6('p{j}')} AS predicted", "scored") + "\nUNION ALL\n" + _long(
+        f"pos - 2 AS window_id, CAST(2 AS INTEGER) AS horizon, ts + INTERVAL 1 HOUR AS ts, {r6('r{j}')} AS predicted", "further")
+    squares = " + ".join(f"(y{j} - p{j}) * (y{j} - p{j})" for j in range(len(SERIES)))
+    out["m13_first_loss"] = _scored() + f"""SELECT CAST(0 AS INTEGER) AS epoch, {r6(f'sum({squares}) / (5 * count({squares}))')} AS train_loss
+FROM scored WHERE pos < floor(n * 0.6)"""
+    out["m12_one_lag"] = _with(
+        SCALED, "v AS (SELECT area, ts, series, CAST(CAST(value AS FLOAT) AS DOUBLE) AS y FROM s WHERE series = 'view')",
+        "x AS (SELECT *, lag(y) OVER w AS x, row_number() OVER w AS pos FROM v WINDOW w AS (PARTITION BY area ORDER BY ts))",
+        "b AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM x)",
+    ) + f"SELECT area, ts, series, {r6('y')} AS value, {r6('b0 + b1 * x')} AS predicted FROM x, b WHERE pos > 1"
+    w = _weights()
+    flat = {n: [c for row in v for c in (row if isinstance(row, list) else [row])] for n, v in w.items()}
+    rows = ", ".join(f"('{n}', {i}, {c!r})" for n, cells in flat.items() for i, c in enumerate(cells))
+    out["s05_stored_weights"] = f"SELECT 'first' AS run_id, name, CAST(pos AS INTEGER) AS pos, {r6('value')} AS value FROM (VALUES {rows}) t(name, pos, value)"
+
+
 def all_oracles() -> dict[str, str]:
     out: dict[str, str] = {}
     cells = f"area, ts, series, {r6('value')} AS value"
@@ -250,9 +352,9 @@ LEFT JOIN days b ON b.date > a.date AND b.date <= a.date + 7 AND b.day_type = a.
     out["a03_scale"] = _with(binned(), grid(), "b AS (SELECT min(value) AS lo, max(value) AS hi FROM hourly)") + \
         f"SELECT area, ts, series, {r6('(value - lo) / (hi - lo)')} AS value FROM hourly, b"
     out["a04_unscale"] = out["f01_align"]
-    out["a05_partial_days"] = """SELECT 'k' AS area, CAST(ts AS DATE) AS date,
-  CAST(count(DISTINCT CAST(epoch(ts) AS BIGINT) // 900) AS INTEGER) AS n_slots FROM (SELECT date_trunc('second', ts) AS ts FROM events)
-GROUP BY ALL HAVING n_slots <> 96"""
+    out["a05_partial_days"] = """SELECT area, date, min(n) AS least_rows, max(n) AS most_rows FROM (
+  SELECT substr(props, 3, 1) AS area, event_type, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY ALL)
+GROUP BY ALL HAVING min(n) <> 24 OR max(n) <> 24"""
     out["a06_dates"] = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem"
     out["a07_errors"] = _with(COMPLETE, profile("complete", 3)) + f"""SELECT series,
   {r6('avg(abs(value - pslp))')} AS mae,
@@ -271,7 +373,7 @@ FROM profiled WHERE value - pslp IS NOT NULL GROUP BY series"""
     out["w01_profile_orders"] = _with(DAILY_ORDERS, profile("daily", 3)) + \
         f"SELECT area, ts, series, day_type, {r6('pslp')} AS pslp FROM profiled"
     out["w02_single_date"] = _with(COMPLETE, profile("complete", 3)) + \
-        f"SELECT area, ts, series, day_type, {r6('pslp')} AS pslp FROM profiled WHERE CAST(ts AS DATE) = DATE '2024-01-27'"
+        f"SELECT area, ts, series, day_type, {r6('pslp')} AS pslp, 'ok' AS status FROM profiled WHERE CAST(ts AS DATE) = DATE '2024-01-27'"
     future = _with(
         COMPLETE, HOLIDAYS,
         "seen AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM complete)",
@@ -386,4 +488,20 @@ FROM complete WINDOW w AS (PARTITION BY area, series ORDER BY ts)"""
         "FROM hourly)",
         filled("zeroed", "f"), grouped("f", "g"), spine("g", 10800, "three"),
     ) + f"SELECT {cells} FROM three"
+    _small_models(out)
+    # All areas of the orders, by their own dates; 1 August 2001 is a Wednesday.
+    day = "DATE '2001-08-01'"
+    out["w02_date_of_areas"] = _with(
+        DAILY_ORDERS, HOLIDAYS, "d0 AS (SELECT DISTINCT area, CAST(ts AS DATE) AS date FROM daily)", day_types("d0", "kinds"),
+        "span AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2001-07-01', TIMESTAMP '2001-08-08', INTERVAL 1 DAY)) AS DATE) AS date)",
+        day_types("span", "near"), "ends AS (SELECT area, max(date) AS hi FROM d0 GROUP BY area)",
+        f"far AS (SELECT DISTINCT area FROM ends JOIN near ON near.date > hi AND near.date < {day} AND day_type = 0)",
+        f"""chosen AS (SELECT area, date FROM (
+    SELECT area, date, row_number() OVER (PARTITION BY area ORDER BY date DESC) AS r FROM d0 JOIN kinds USING (date)
+    WHERE day_type = 0 AND date < {day}) WHERE r <= 3)""",
+        """means AS (SELECT s.area, s.series, CASE WHEN count(s.value) = 3 THEN avg(s.value) END AS pslp
+  FROM chosen c JOIN daily s ON s.area = c.area AND CAST(s.ts AS DATE) = c.date GROUP BY ALL)""",
+    ) + f"""SELECT area, CAST({day} AS TIMESTAMP) AS ts, series, CAST(0 AS INTEGER) AS day_type, {r6('pslp')} AS pslp, 'ok' AS status
+FROM means WHERE area NOT IN (SELECT area FROM far)
+UNION ALL SELECT area, NULL, NULL, NULL, NULL, '20010801 lies too far after the data' FROM far"""
     return out

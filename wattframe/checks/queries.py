@@ -22,6 +22,8 @@ from ..sources import results
 HOUR, DAY = 3_600, 86_400
 # How the event types play raw production types.
 EVENT_CATEGORIES = {"browse": ["click", "view"], "convert": ["signup", "purchase"]}
+
+
 def r6(value) -> F.Column:
     """Rounding that agrees between engines: never on an exact tie."""
     value = F.col(value) if isinstance(value, str) else value
@@ -105,6 +107,7 @@ def s01_range(spark, sf):
 
 
 def s02_platform(spark, sf):
+    """The hourly events as the platform's files, odd days with other columns in another order, and back."""
     names = {c: f"{c}  - Actual Aggregated [MW]" for c in ("click", "error", "purchase", "signup", "view")}
     wide = align.to_wide(binned_events(spark, sf), list(names))
     text = F.date_format("ts", "dd.MM.yyyy HH:mm")
@@ -113,8 +116,13 @@ def s02_platform(spark, sf):
         F.col("area").alias("Area"),
         F.concat(text, F.lit(" - "), until).alias("MTU"),
         *[F.coalesce(F.col(c).cast("string"), F.lit("n/e")).alias(n) for c, n in names.items()],
+        (F.dayofmonth("ts") % 2).alias("odd"),
     )
-    return _rounded(source.platform_readings(raw), "value")
+    path = f"{shared_folder(spark)}/{results.run_name('platform')}"
+    types = list(names.values())
+    for odd, columns in ((0, types), (1, [c for c in reversed(types) if "error" not in c])):
+        raw.where(F.col("odd") == odd).select("Area", "MTU", *columns).write.csv(f"{path}/{odd}", header=True)
+    return _rounded(source.read_platform_csv(spark, [f"{path}/0", f"{path}/1"]), "value")
 
 
 def s03_results(spark, sf):
@@ -256,7 +264,7 @@ def a04_unscale(spark, sf):
 
 
 def a05_partial_days(spark, sf):
-    return profile.partial_days(raw_events(spark, sf), 900)
+    return profile.partial_days(raw_events(spark, sf), 24)
 
 
 def a06_dates(spark, sf):
@@ -312,7 +320,12 @@ def w01_profile_orders(spark, sf):
 
 
 def w02_single_date(spark, sf):
-    return _rounded(profile.profile_for_date(cut_lineage(complete(spark, sf)), "20240127"), "pslp")
+    return _rounded(profile.profile_for_date(complete(spark, sf), "20240127"), "pslp")
+
+
+def w02_date_of_areas(spark, sf):
+    """The areas of the orders end on different dates; one of them may lack the date."""
+    return _rounded(profile.profile_for_date(daily_orders(spark, sf), "20010801", step=DAY, on_missing="status"), "pslp")
 
 
 def w02_future(spark, sf):
@@ -362,7 +375,7 @@ def w06_windows(spark, sf):
 
 
 def w07_one_window(spark, sf):
-    return _window_sums(windows.window_at(windows.windows(complete(spark, sf), 168, 1, 1, HOUR), 100))
+    return _window_sums(windows.window_at(complete(spark, sf), 100, 168, 1, 1, HOUR))
 
 
 def w07_window_count(spark, sf):
@@ -549,7 +562,7 @@ def m12_regression(spark, sf):
     rows = _scaled(spark, sf)
     names = windows.feature_names(rows)
     blocks = cut_lineage(windows.sequence_blocks(rows, 24, 1, HOUR, 256))
-    beta = regressor.fit_window_regressor(blocks, len(names), 24, ridge=1e-6, size=256)
+    beta = regressor.fit_window_regressor(blocks, len(names), 24, ridge=1e-6, size=256, on_null="drop")
     return network.next_step_forecast(blocks, regressor.linear_scorer(beta), names, 24, HOUR, size=256)
 
 
@@ -561,7 +574,7 @@ def _trained(spark, sf, n_epochs):
         for part in ("train", "valid")
     }
     weights = network.initial_weights(len(names), 8, len(names))
-    return network.train(blocks["train"], blocks["valid"], weights, 24, n_epochs=n_epochs, size=64)
+    return network.train(blocks["train"], blocks["valid"], weights, 24, n_epochs=n_epochs, size=64, on_null="drop")
 
 
 def m13_training(spark, sf):
@@ -575,6 +588,119 @@ def s05_weights(spark, sf):
     return spark.read.parquet(path)
 
 
+# ---------------------------------------------------------------- models small enough for SQL
+
+#: One lag and one seasonal lag: three coefficients.
+SMALL = lagmodel.Search(m=24, step=HOUR, max_p=1, min_q=0, max_q=0, max_sp=1, min_sq=0, max_sq=0, max_d=0, max_sd=0, long_lags=24, block=256)
+SMALL_HIDDEN, SMALL_WINDOW = 1, 2
+
+
+def _small_model(spark, sf):
+    rows = _scaled(spark, sf)
+    return rows, cut_lineage(lagmodel.fit_new(rows, _constant_orders(rows), SMALL))
+
+
+def _coefficients(models):
+    names = ["p", "q", "sp", "sq", "n", "last_idx"]
+    cells = [r6("intercept").alias("intercept"), r6(F.col("ar_coef")[0]).alias("lag_1"), r6(F.col("ar_coef")[1]).alias("lag_24")]
+    return models.select("area", "series", *names, *cells, r6(F.col("sigma2") * 100).alias("sigma2"))
+
+
+def m04_lag_model(spark, sf):
+    return _coefficients(_small_model(spark, sf)[1])
+
+
+def m05_lag_refit(spark, sf):
+    rows, models = _small_model(spark, sf)
+    return _coefficients(lagmodel.refit(rows, models, SMALL))
+
+
+def m06_lag_update(spark, sf):
+    """Fitted on the first 80 %, then the rest is added: the same sums as of all rows."""
+    rows = cut_lineage(windows.chronological_split(_scaled(spark, sf), (0.8, 0.0), HOUR))
+    old = rows.where("part = 'train'").drop("part")
+    models = cut_lineage(lagmodel.fit_new(old, _constant_orders(old), SMALL))
+    return _coefficients(lagmodel.update(rows.drop("part"), models, SMALL))
+
+
+def m07_lag_forecast(spark, sf):
+    rows, models = _small_model(spark, sf)
+    last = rows.agg(F.max("ts")).first()[0]
+    start, end = last + dt.timedelta(hours=1), last + dt.timedelta(hours=48)
+    return _rounded(lagmodel.forecast(rows, models, str(start), str(end), SMALL), "predicted")
+
+
+def m08_lag_fitted(spark, sf):
+    rows, models = _small_model(spark, sf)
+    return _rounded(lagmodel.fitted_values(rows, models, SMALL), "value", "predicted")
+
+
+def s04_stored_models(spark, sf):
+    _, models = _small_model(spark, sf)
+    path = f"{shared_folder(spark)}/{results.run_name('models')}"
+    results.save_models(models.withColumn("intercept", F.lit(0.0)), path, "older")
+    results.save_models(models, path, "newer")
+    return _coefficients(results.load_models(spark, path))
+
+
+def _small_weights(names):
+    return network.initial_weights(len(names), SMALL_HIDDEN, len(names))
+
+
+def m09_cell(spark, sf):
+    """One hidden cell over windows of two hours, from fixed weights."""
+    rows = _scaled(spark, sf)
+    names = windows.feature_names(rows)
+    weights = _small_weights(names)
+    blocks = windows.sequence_blocks(rows, SMALL_WINDOW, 1, HOUR, 256)
+    scored = network.next_step_forecast(blocks, lambda x: network.predict(weights, x), names, SMALL_WINDOW, HOUR, size=256)
+    return _rounded(scored, "value", "predicted")
+
+
+def m10_two_steps(spark, sf):
+    rows = _scaled(spark, sf)
+    names = windows.feature_names(rows)
+    weights = _small_weights(names)
+    cut = windows.windows(rows, SMALL_WINDOW, 1, 1, HOUR)
+    return _rounded(network.n_step_forecast(cut, lambda x: network.predict(weights, x), names, 2, HOUR), "predicted")
+
+
+def m11_cell_errors(spark, sf):
+    rows = _scaled(spark, sf)
+    names = windows.feature_names(rows)
+    weights = _small_weights(names)
+    blocks = windows.sequence_blocks(rows, SMALL_WINDOW, 1, HOUR, 256)
+    scored = network.next_step_forecast(blocks, lambda x: network.predict(weights, x), names, SMALL_WINDOW, HOUR, size=256)
+    pairs = scored.select("series", F.col("value").alias("actual"), "predicted")
+    return _rounded(compare.error_metrics(pairs, on_null="drop"), "mae", "mse").drop("mape")
+
+
+def m12_one_lag(spark, sf):
+    """A line through each hour's value and the next one's."""
+    rows = _scaled(spark, sf).where("series = 'view'")
+    blocks = cut_lineage(windows.sequence_blocks(rows, 1, 1, HOUR, 256))
+    beta = regressor.fit_window_regressor(blocks, 1, 1, size=256, on_null="drop")
+    return _rounded(network.next_step_forecast(blocks, regressor.linear_scorer(beta), ["view"], 1, HOUR, size=256), "value", "predicted")
+
+
+def m13_first_loss(spark, sf):
+    """Loss of the first epoch, which fixed weights give before any step."""
+    rows = windows.chronological_split(_scaled(spark, sf), step=HOUR)
+    names = windows.feature_names(rows)
+    part = lambda name: cut_lineage(
+        windows.sequence_blocks(rows.where(F.col("part") == name).drop("part"), SMALL_WINDOW, 1, HOUR, 64))
+    _, history = network.train(part("train"), part("valid"), _small_weights(names), SMALL_WINDOW, 1, n_batches=1, size=64, on_null="drop")
+    return _rounded(history.select("epoch", "train_loss"), "train_loss")
+
+
+def s05_stored_weights(spark, sf):
+    """Weights for as many series as the table has, written and read back."""
+    names = windows.feature_names(raw_events(spark, sf))
+    path = f"{shared_folder(spark)}/{results.run_name('weights')}"
+    results.save_weights(network.weights_table(spark, _small_weights(names), "first"), path)
+    return _rounded(spark.read.parquet(path).select("run_id", "name", F.posexplode("values").alias("pos", "value")), "value")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         s01_range, s02_platform, s03_results,
@@ -591,5 +717,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         prepared_dataset,
         m02_seasonal_order, m04_cross_products, m04_fit, m05_refit, m06_update, m07_forecast, m08_fitted,
         m09_network_scores, m10_n_steps, m11_next_step_errors, m12_regression, m13_training, s04_models, s05_weights,
+        m04_lag_model, m05_lag_refit, m06_lag_update, m07_lag_forecast, m08_lag_fitted, s04_stored_models,
+        m09_cell, m10_two_steps, m11_cell_errors, m12_one_lag, m13_first_loss, s05_stored_weights,
+        w02_date_of_areas,
     ]
     return {f.__name__: f for f in named}

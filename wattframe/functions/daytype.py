@@ -34,37 +34,36 @@ EASTER_HOLIDAYS = {
 SINGLE_HOLIDAYS = {"DE": [("2017-10-31", "Reformation Day")]}
 
 
-# First and last year of the holiday rules (Gregorian calendar).
-FIRST_YEAR, LAST_YEAR = 1583, 2500
+# First year of the Gregorian calendar's Easter rule.
+FIRST_YEAR = 1583
 
 
-def _easter_offset(year: int) -> int:
-    """Days from 22 March to Easter Sunday by Gauss's rule with its century terms."""
-    century = year // 100
-    moon = (15 + century - century // 4 - (13 + 8 * century) // 25) % 30
-    sun = (4 + century - century // 4) % 7
-    golden = year % 19
-    d = (19 * golden + moon) % 30
-    e = (2 * (year % 4) + 4 * (year % 7) + 6 * d + sun) % 7
-    late = e == 6 and (d == 29 or (d == 28 and golden > 10))
-    return d + e - (7 if late else 0)
+def _whole(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b))
 
 
-# Two digits per year, written by the rule above.
-_EASTER_TEXT = "".join(f"{_easter_offset(y):02d}" for y in range(FIRST_YEAR, LAST_YEAR + 1))
+def easter_sunday(year: Column) -> Column:
+    """Easter Sunday of any year of the Gregorian calendar, by Gauss's rule with its century terms; earlier years raise."""
+    message = F.concat(F.lit(f"no Easter rule before {FIRST_YEAR}: "), year.cast("string"))
+    year = F.when(year >= FIRST_YEAR, year).when(year.isNotNull(), F.raise_error(message).cast("int")).cast("bigint")
+    century, golden = _whole(year, 100), year % 19
+    moon = (15 + century - _whole(century, 4) - _whole(13 + 8 * century, 25)) % 30
+    sun = (4 + century - _whole(century, 4)) % 7
+    d = (19 * golden + moon) % 30
+    e = (2 * (year % 4) + 4 * (year % 7) + 6 * d + sun) % 7
+    late = (e == 6) & ((d == 29) | ((d == 28) & (golden > 10)))
+    days = d + e - F.when(late, 7).otherwise(0)
+    return F.date_add(F.make_date(year.cast("int"), F.lit(3), F.lit(22)), days.cast("int"))
 
 
-def easter_sunday(year: Column) -> Column:
-    """Easter Sunday of ``year``: one look-up in a text constant, so plans and generated code stay small."""
-    place = (year - FIRST_YEAR) * 2 + 1
-    days = F.lit(_EASTER_TEXT).substr(place.cast("int"), F.lit(2)).try_cast("int")
-    return F.date_add(F.make_date(year, F.lit(3), F.lit(22)), days)
+def _check_country(country: str) -> None:
+    if country not in FIXED_HOLIDAYS:
+        raise ValueError(f"no built-in holidays for {country!r}; pass a holiday table instead")
 
 
 def is_holiday(date: Column, country: str = "DE") -> Column:
     """True if ``date`` is a nationwide public holiday of ``country`` (P-08)."""
-    if country not in FIXED_HOLIDAYS:
-        raise ValueError(f"no built-in holidays for {country!r}; pass a holiday table instead")
+    _check_country(country)
     month_day = F.month(date) * 100 + F.dayofmonth(date)
     after_easter = F.datediff(date, easter_sunday(F.year(date)))
     single = [F.lit(day).cast("date") for day, _ in SINGLE_HOLIDAYS[country]]
@@ -101,8 +100,23 @@ def next_same_type(date: Column, kind: Column | None = None, country: str = "DE"
     return F.array_min(F.filter(week, lambda d: day_type(d, country=country) == kind))
 
 
+def next_dates(dates: DataFrame, holidays: DataFrame | None = None, country: str = "DE") -> DataFrame:
+    """``(date, next_date)`` for the distinct dates of ``dates.date``, with the holidays of a table (P-10)."""
+    if holidays is None:
+        return dates.select("date").distinct().select("date", next_same_type(F.col("date"), country=country).alias("next_date"))
+    week = F.explode(F.sequence(F.col("date"), F.date_add("date", 7)))
+    days = dates.select(F.col("date").alias("_from")).distinct().select("_from", F.col("_from").alias("date")).select("_from", week.alias("date"))
+    listed = holidays.where(F.col("country") == country).select("date", F.lit(True).alias("_holiday")).distinct()
+    kinds = days.join(listed, "date", "left").select("_from", "date", day_type(F.col("date"), F.coalesce("_holiday", F.lit(False))).alias("_kind"))
+    own = F.max(F.when(F.col("date") == F.col("_from"), F.col("_kind")))
+    rows = kinds.groupBy("_from").agg(own.alias("_own"), F.collect_list(F.struct("date", "_kind")).alias("_week"))
+    later = F.filter("_week", lambda x: (x["date"] > F.col("_from")) & (x["_kind"] == F.col("_own")))
+    return rows.select(F.col("_from").alias("date"), F.array_min(F.transform(later, lambda x: x["date"])).alias("next_date"))
+
+
 def holiday_table(spark: SparkSession, first_year: int, last_year: int, country: str = "DE") -> DataFrame:
     """``holidays(country, date, name)`` generated for a range of years (P-08)."""
+    _check_country(country)
     years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
     fixed = [
         F.struct(F.make_date(F.col("year"), F.lit(m), F.lit(d)).alias("date"), F.lit(name).alias("name"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.timegrid import block_of, grid_index, grid_time
+from ..functions.timegrid import block_of, epoch_second, grid_index, grid_time
 from .blocks import BLOCK_ROWS, TIME_BLOCK, join_per_key, keyed, never_null, time_blocks
 
 KEY = ["area", "ts", "series"]
+# Seconds of a block of time.
+BLOCK_SECONDS = 30 * 86_400
 
 
 def combine(load: DataFrame, generation: DataFrame) -> DataFrame:
@@ -21,27 +23,27 @@ def combine(load: DataFrame, generation: DataFrame) -> DataFrame:
 def align(readings: DataFrame, block_seconds: int | None = None) -> DataFrame:
     """Every series of an area gets a row for every timestamp seen in that area (F-01).
 
-    Needs one reading per (area, ts, series). The empty cells are united with
-    the readings and folded by one aggregation, so there is a single shuffle on
-    the cell key and no join against the readings. The list of series is small
-    per area; where it is too large for the planner to broadcast, it is salted,
-    so one large area is spread over all tasks.
+    The readings are shuffled once, by area and block of time; the cells of a
+    timestamp are gathered there, and the names of an area come from the same
+    exchange, so the source is read once. A timestamp's cells are a map by
+    series, bounded by the area's number of series: two readings for one
+    (area, ts, series) raise. A row without area, time or series has no cell.
 
-    With ``block_seconds`` the shuffle is by ``(area, series, block of time)``
-    and the block stays in the result, for ``interpolate_time`` to go on from
-    without another shuffle.
+    With ``block_seconds`` the result is shuffled once more, by ``(area,
+    series, block of time)``, and the block stays in the result, for
+    ``interpolate_time`` to go on from.
     """
-    salts = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    instants = readings.select("area", "ts").distinct()
-    names = readings.select("area", "series").distinct()
-    cells = join_per_key(instants, names, ["area"], F.col("ts"), salts)
-    empty = cells.select(*KEY, F.lit(None).cast("double").alias("value"))
-    rows = readings.select(*KEY, "value").unionByName(empty)
-    if block_seconds is None:
-        return rows.groupBy(*KEY).agg(F.max("value").alias("value"))
-    return time_blocks(rows, block_seconds).groupBy("area", "series", TIME_BLOCK, "ts").agg(
-        F.max("value").alias("value")
-    )
+    rows = keyed(readings, "area", "series", "ts").select("area", "series", "ts", F.col("value").cast("double").alias("value"))
+    block = never_null(block_of(epoch_second("ts"), block_seconds or BLOCK_SECONDS))
+    rows = rows.withColumn(TIME_BLOCK, block).repartition("area", TIME_BLOCK)
+    cells = F.map_from_entries(F.collect_list(F.struct("series", "value")))
+    stamps = rows.groupBy("area", TIME_BLOCK, "ts").agg(cells.alias("_cells"))
+    seen = stamps.select("area", F.explode(F.map_keys("_cells")).alias("series")).distinct()
+    names = seen.groupBy("area").agg(F.collect_list("series").alias("_names"))
+    full = join_per_key(stamps, names, ["area"], F.col("ts"))
+    grid = full.select("area", "ts", "_cells", F.explode("_names").alias("series"))
+    grid = grid.select(*KEY, F.try_element_at("_cells", F.col("series")).alias("value"))
+    return grid if block_seconds is None else time_blocks(grid, block_seconds)
 
 
 def _spread_bins(spans: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
@@ -79,16 +81,18 @@ def downsample(readings: DataFrame, seconds: int = 3_600) -> DataFrame:
     spans = cells.groupBy("area", "series").agg(
         F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"), F.count("value").alias("_n")
     ).where("_n >= 0")
-    area = Window.partitionBy("area")
-    spine = _spread_bins(spans.withColumns({"_lo": F.min("_lo").over(area), "_hi": F.max("_hi").over(area)}))
+    bounds = spans.groupBy("area").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    spine = _spread_bins(join_per_key(spans.select("area", "series"), bounds, ["area"], F.col("series")))
     return spine.join(cells, keys, "left").select(
         "area", grid_time(F.col("_bin"), seconds).alias("ts"), "series", "value"
     )
 
 
 def to_wide(df: DataFrame, series: list[str]) -> DataFrame:
-    """Long -> one column per listed series."""
-    return df.groupBy("area", "ts").pivot("series", series).agg(F.max("value"))
+    """Long -> one column per listed series; two readings for one cell raise."""
+    message = F.concat(F.lit("two readings for one cell at "), F.col("ts").cast("string"))
+    one = F.when(F.count("value") <= 1, F.max("value")).otherwise(F.raise_error(F.max(message)).cast("double"))
+    return df.groupBy("area", "ts").pivot("series", series).agg(one)
 
 
 def to_long(df: DataFrame, ids: list[str], series: list[str] | None = None) -> DataFrame:

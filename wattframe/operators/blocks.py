@@ -8,7 +8,7 @@ crosses a block border in one of two ways:
 * ``with_halo``: a row is also sent to the neighbouring blocks that look at it.
   Copies per row: about ``1 + (back + ahead) / size``.
 * a per-block summary, scanned over the few blocks of each series, joined back
-  on the block key (see ``fill.interpolate_time`` and ``stationarity.kpss``).
+  on the block key (see ``prepare.interpolate_time`` and ``lags.kpss``).
 """
 
 from __future__ import annotations
@@ -66,30 +66,28 @@ def with_halo(df: DataFrame, index: str, size: int, back: int = 0, ahead: int =
     )
 
 
-def join_per_key(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 32) -> DataFrame:
+def join_per_key(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int | None = None) -> DataFrame:
     """Inner equi-join of many rows per key with one row per key.
 
     No broadcast hint: the adaptive planner broadcasts ``small`` when its
     measured size allows. For the other case both sides are salted, so a key
-    that holds a third of all rows is still spread over ``salts`` tasks.
+    that holds a third of all rows is still spread over ``salts`` tasks, by
+    default as many as a shuffle has.
     """
+    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.hash(spread), F.lit(salts))
     return rows.withColumn("_salt", salt).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
-def sum_arrays(df: DataFrame, keys: list[str], column: str, groups: int = 64) -> DataFrame:
-    """Element-wise sum of equally long arrays per key, in two steps.
+def sum_arrays(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Element-wise sum of equally long arrays per key.
 
-    ``df`` holds partial sums, at most a few per task and key. The first step
-    adds them in ``groups`` groups, so no task holds the partial sums of all
-    others.
+    The arrays are taken apart into ``(key, position, value)``: tasks add what they have before the shuffle, and
+    no task holds the arrays of all others. Only the sums of a key are put together again.
     """
-
-    def added(name: str) -> Column:
-        arrays = F.collect_list(name)
-        rest = F.slice(arrays, F.lit(2), F.size(arrays))
-        return F.aggregate(rest, F.get(arrays, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(column)
-
-    salted = df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
-    return salted.groupBy(*keys, "_group").agg(added(column)).groupBy(*keys).agg(added(column))
+    cells = df.select(*keys, F.posexplode(column).alias("_pos", "_x"))
+    sums = cells.groupBy(*keys, "_pos").agg(F.sum("_x").alias("_x"))
+    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_x")))
+    total = sums.groupBy(*keys).agg(ordered.alias("_all"))
+    return total.select(*keys, F.when(F.size("_all") > 0, F.transform("_all", lambda c: c["_x"])).alias(column))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.timegrid import grid_index, grid_time
 from .blocks import BLOCK_ROWS, join_per_key, sum_arrays, with_halo
+from .lags import difference_weights
 
 SERIES_KEY = ["area", "series"]
 FLUSH_SERIES = 512
@@ -118,7 +119,10 @@ def cross_products(z: np.ndarray) -> tuple[np.ndarray, int]:
 def solve(products: np.ndarray, columns: list[int]) -> tuple[np.ndarray, float]:
     """Least squares of the last column on ``columns``: coefficients and residual sum of squares."""
     xx, xy = products[np.ix_(columns, columns)], products[columns, -1]
-    beta = np.linalg.lstsq(xx, xy, rcond=1e-12)[0]
+    # Columns of very different size would otherwise be cut off as if they were dependent.
+    size = np.sqrt(np.diag(xx))
+    size[size == 0] = 1
+    beta = np.linalg.lstsq(xx / np.outer(size, size), xy / size, rcond=1e-12)[0] / size
     rss = products[-1, -1] - 2 * beta @ xy + beta @ xx @ beta
     return beta, max(float(rss), 0.0)
 
@@ -242,7 +246,9 @@ def long_autoregression(blocks: DataFrame, orders: DataFrame, search: Search) ->
             yield batch[SERIES_KEY].assign(long_coef=fitted)
 
     fitted = sums.mapInPandas(coefficients, "area string, series string, long_coef array<double>")
-    return orders.join(fitted, SERIES_KEY)
+    message = F.concat(F.lit("no rows to fit a model of "), F.col("area"), F.lit("/"), F.col("series"))
+    known = F.when(F.col("long_coef").isNull(), F.raise_error(message).cast("array<double>")).otherwise(F.col("long_coef"))
+    return orders.join(fitted, SERIES_KEY, "left").withColumn("long_coef", known)
 
 
 def second_stage(blocks: DataFrame, first: DataFrame, search: Search) -> DataFrame:
@@ -275,7 +281,9 @@ def _model_row(row, candidates, search: Search) -> dict:
         ar, ma = lag_set(p, sp, search.m), lag_set(q, sq, search.m)
         columns = [0, *(1 + x_ar.index(k) for k in ar), *(1 + len(x_ar) + x_ma.index(k) for k in ma)]
         beta, rss = solve(gram, columns)
-        n = max(int(row.n), 1)
+        n = int(row.n)
+        if n <= len(columns):
+            continue
         sigma2 = rss / n
         aic = n * float(np.log(max(sigma2, 1e-300))) + 2 * (len(beta) + 1)
         if best is None or aic < best["aic"]:
@@ -286,6 +294,8 @@ def _model_row(row, candidates, search: Search) -> dict:
                 "ma_lags": ma, "ma_coef": beta[1 + len(ar) :],
                 "sigma2": sigma2, "aic": aic,
             }
+    if best is None:
+        raise ValueError(f"too few values for a model of {row.area}/{row.series}: {int(row.n)} rows")
     return {
         "area": row.area, "series": row.series, "d": int(row.d), "sd": int(row.sd),
         "m": search.m, "step": search.step, "long_coef": row.long_coef,
@@ -376,12 +386,7 @@ def _predict_path(model, y: np.ndarray, steps: int) -> np.ndarray:
     w = differenced(y, model.d, model.sd, model.m)
     e = long_residual(w, np.asarray(model.long_coef, dtype=float))
     w, e = list(w), list(np.concatenate([e, np.zeros(steps)]))
-    weights = {0: 1.0}
-    for lag in [1] * int(model.d) + [int(model.m)] * int(model.sd):
-        longer = dict(weights)
-        for k, c in weights.items():
-            longer[k + lag] = longer.get(k + lag, 0.0) - c
-        weights = longer
+    weights = difference_weights(int(model.d), int(model.sd), int(model.m))
     path, n = list(y), len(y)
     for t in range(n, n + steps):
         step = model.intercept
@@ -414,10 +419,14 @@ def forecast(
         if model.empty:
             return empty
         own = next(model.itertuples(index=False))
+        if tail.empty:
+            raise ValueError(f"no data for the model of {own.area}/{own.series}")
         if not any_start and first != own.last_idx + 1:
             raise ValueError(f"the forecast of {own.series} must start right after its data")
         y = _dense(tail["idx"].to_numpy(), tail["value"].to_numpy(), own.last_idx - back + 1, back)
         path = _predict_path(own, y, steps)
+        if not np.isfinite(path).all():
+            raise ValueError(f"a gap in the last {back} steps of {own.area}/{own.series}; fill it before forecasting")
         return pd.DataFrame(
             {"area": own.area, "series": own.series, "idx": first + np.arange(steps), "predicted": path}
         )
@@ -452,7 +461,7 @@ def fitted_values(df: DataFrame, models: DataFrame, search: Search) -> DataFrame
                 at = at[np.isfinite(y[at])]
                 yield pd.DataFrame(
                     {"area": row.area, "series": row.series, "idx": start + at, "value": y[at],
-                     "predicted": [v if np.isfinite(v) else None for v in fitted[at]]}
+                     "predicted": fitted[at]}
                 )
 
     joined = join_per_key(blocks, needed, SERIES_KEY, F.col("block"))
@@ -464,17 +473,29 @@ def fitted_values(df: DataFrame, models: DataFrame, search: Search) -> DataFrame
 # ---------------------------------------------------------------- seasonal differencing order
 
 
+def ocsb_critical(m: int) -> float:
+    """Critical value of the test at 5 % for a season of ``m``.
+
+    The smooth formula in m that the open-source forecast package for R publishes (``calcOCSBCritVal``).
+    """
+    # Coefficients of that formula.
+    scale, slope, square, centre, limit = -0.2937411, -0.2850853, -0.05983644, 0.7656451, -1.652202
+    x = np.log(m) - centre
+    return float(scale * np.exp(slope * x + square * x * x) + limit)
+
+
 def seasonal_order(
-    df: DataFrame, m: int, critical: float, step: int = 3_600, lags: int = 0, size: int = BLOCK_ROWS
+    df: DataFrame, m: int, critical: float | None = None, step: int = 3_600, lags: int = 0, size: int = BLOCK_ROWS
 ) -> DataFrame:
     """``(area, series, t_stat, sd)``: is a seasonal difference of lag ``m`` needed? (M-02)
 
     The regression of Osborn, Chui, Smith and Birchenhall (1988): the first and
     seasonal difference on ``lags`` of itself, on the seasonal difference one
     step back and on the first difference ``m`` steps back. ``sd`` is 1 where
-    the t-statistic of the last one lies above ``critical``. The critical value
-    belongs to the test's tables and has to be given.
+    the t-statistic of the last one lies above ``critical``, by default that of
+    :func:`ocsb_critical`.
     """
+    critical = ocsb_critical(m) if critical is None else critical
     back = 2 * m + lags + 2
 
     def design(row, y, start):

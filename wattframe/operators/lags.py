@@ -35,7 +35,7 @@ def persistence(df: DataFrame, step: int = 3_600, size: int = BLOCK_ROWS) -> Dat
                        F.col("lag_1").alias("predicted"))
 
 
-def _polynomial(order: int, seasonal: int, m: int) -> dict[int, int]:
+def difference_weights(order: int, seasonal: int, m: int) -> dict[int, int]:
     """Coefficients of ``(1 - B)^order (1 - B^m)^seasonal`` by lag."""
     poly = {0: 1}
     for lag in [1] * order + [m] * seasonal:
@@ -50,7 +50,7 @@ def difference(
     df: DataFrame, order: int = 1, seasonal: int = 0, m: int = 24, step: int = 3_600, size: int = BLOCK_ROWS
 ) -> DataFrame:
     """First differences of ``order`` and seasonal ones of lag ``m``; null where a term is missing (M-03)."""
-    poly = _polynomial(order, seasonal, m)
+    poly = difference_weights(order, seasonal, m)
     lags = [k for k in poly if k > 0]
     rows = indexed(df, step)
     total: Column = F.col("value")
@@ -125,7 +125,7 @@ def differencing_order(
     names = []
     for d in range(max_d + 1):
         total: Column = F.col("value")
-        for k, c in _polynomial(d, 0, 1).items():
+        for k, c in difference_weights(d, 0, 1).items():
             if k:
                 total = total + c * F.col(f"lag_{k}")
         rows = rows.withColumn(f"x{d}", total)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.timegrid import grid_time
+from ..session import cut_lineage
 from .blocks import sum_arrays
 from .windows import WINDOW_BLOCK
 
@@ -130,12 +131,13 @@ def block_windows(row, training_window: int, stride: int, size: int):
         yield x, values[part + training_window], part + training_window + row.base
 
 
-def complete_windows(row, training_window: int, size: int):
-    """The windows of a block in which no cell is missing: (x, y)."""
-    for x, y, _ in block_windows(row, training_window, 1, size):
+def complete_windows(row, training_window: int, size: int, on_null: str = "error"):
+    """The windows of a block in which no cell is missing, and how many were left out: (x, y, dropped)."""
+    for x, y, at in block_windows(row, training_window, 1, size):
         known = np.isfinite(x).all(axis=(1, 2)) & np.isfinite(y).all(axis=1)
-        if known.any():
-            yield x[known], y[known]
+        if on_null == "error" and not known.all():
+            raise ValueError(f"area {row.area} has windows with missing cells; fill them or pass on_null='drop'")
+        yield x[known], y[known], int((~known).sum())
 
 
 def next_step_forecast(
@@ -156,6 +158,8 @@ def next_step_forecast(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
+                if row.width != len(series):
+                    raise ValueError(f"area {row.area} has {row.width} series, the scorer {len(series)}")
                 for x, y, at in block_windows(row, training_window, stride, size):
                     yield pd.DataFrame({
                         "area": row.area,
@@ -181,6 +185,9 @@ def n_step_forecast(
         for batch in batches:
             for k in range(0, len(batch), BATCH):
                 part = batch.iloc[k : k + BATCH]
+                for area, width in zip(part["area"], part["width"]):
+                    if width != len(series):
+                        raise ValueError(f"area {area} has {width} series, the scorer {len(series)}")
                 x = np.stack(part["cells"].to_numpy()).astype(float)
                 x = x.reshape(len(part), -1, len(series))
                 for h in range(n):
@@ -197,7 +204,8 @@ def n_step_forecast(
 
     schema = "area string, window_id bigint, horizon int, origin timestamp_ntz, series string, predicted double"
     source = cut.select(
-        "area", "window_id", F.flatten("sample").alias("cells"), F.col("target_ts")[0].alias("origin")
+        "area", "window_id", F.size(F.col("sample")[0]).alias("width"), F.flatten("sample").alias("cells"),
+        F.col("target_ts")[0].alias("origin"),
     )
     ahead = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.col("horizon") - 1) * step).cast("decimal(18,6)"))
     return source.mapInPandas(run, schema).select(
@@ -208,33 +216,37 @@ def n_step_forecast(
 # ---------------------------------------------------------------- training
 
 
-def _batch_sums(blocks: DataFrame, weights: Weights, training_window: int, size: int, activation: bool, train: bool):
+def _batch_sums(
+    blocks: DataFrame, weights: Weights, training_window: int, size: int, activation: bool, train: bool,
+    on_null: str = "error",
+):
     """Spark adds loss, cell count and gradient over all windows; one vector of model size comes back."""
     broadcast = blocks.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = broadcast.value
-        loss, cells, total = 0.0, 0, 0.0
+        loss, cells, dropped, total = 0.0, 0, 0, 0.0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                for x, y in complete_windows(row, training_window, size):
+                for x, y, left_out in complete_windows(row, training_window, size, on_null):
                     if train:
                         part, grad = loss_and_gradient(current, x, y, activation)
                         total = total + pack(grad)
                     else:
                         part = float(((predict(current, x, activation) - y) ** 2).sum())
-                    loss, cells = loss + part, cells + y.size
-        if cells:
-            sums = np.concatenate([[loss, cells], total if train else []])
+                    loss, cells, dropped = loss + part, cells + y.size, dropped + left_out
+        if cells or dropped:
+            grad = total if np.ndim(total) else np.zeros(len(pack(current)))
+            sums = np.concatenate([[loss, cells, dropped], grad if train else []])
             yield pd.DataFrame({"sums": [sums]})
 
     partial = flat_blocks(blocks).mapInPandas(run, "sums array<double>")
-    total = sum_arrays(partial, [], "sums").first().sums
+    total = sum_arrays(partial, [], "sums").first()
     broadcast.destroy()
-    if total is None:
-        raise ValueError("no windows: the series are shorter than one window")
-    flat = np.array(total)
-    return flat[0] / flat[1], flat[2:] / flat[1]
+    if total is None or total.sums is None or not total.sums[1]:
+        return None
+    flat = np.array(total.sums)
+    return flat[0] / flat[1], flat[3:] / flat[1], int(flat[2])
 
 
 def train(
@@ -244,17 +256,20 @@ def train(
     training_window: int,
     n_epochs: int,
     learning_rate: float = 0.01,
-    n_batches: int = 1,
+    n_batches: int = 8,
     activation: bool = False,
     scheduler: Callable[[float], float] | None = None,
     size: int = WINDOW_BLOCK,
+    on_null: str = "error",
 ) -> tuple[Weights, DataFrame]:
     """Data-parallel training on the mean squared error (M-13, A-09).
 
     Per batch one Spark job adds the gradients of all windows; the driver holds
     only the weights and takes one step of the Adam rule (Kingma and Ba 2015).
-    Batches are disjoint sets of blocks; the loss of an epoch is the mean of its
-    batch losses. Windows with a missing cell are left out. Training stops after ``PATIENCE`` epochs without improvement;
+    Batches are disjoint sets of blocks, written once as one folder each, so a
+    step reads its own batch only; the loss of an epoch is the mean of its batch
+    losses. A window with a missing cell raises; with
+    ``on_null='drop'`` it is left out and counted in ``dropped_windows``. Training stops after ``PATIENCE`` epochs without improvement;
     the last weights are returned. ``scheduler(valid_loss)`` may set the
     learning rate of the next epoch. Pass checkpointed blocks.
     """
@@ -262,21 +277,32 @@ def train(
     flat = pack(weights)
     mean, square, ticks = np.zeros_like(flat), np.zeros_like(flat), 0
     best, waited, history = None, 0, []
-    batch_of = F.pmod(F.hash("area", "block"), F.lit(n_batches))
+    parts = [train_blocks]
+    if n_batches > 1:
+        batch = F.pmod(F.hash("area", "block"), F.lit(n_batches))
+        dealt = cut_lineage(train_blocks.withColumn("batch", batch), "batch")
+        filled = sorted(r.batch for r in dealt.select("batch").distinct().collect())
+        parts = [dealt.where(F.col("batch") == b) for b in filled]
+        if not parts:
+            raise ValueError("no windows: the series are shorter than one window")
     for epoch in range(n_epochs):
-        losses = []
-        for b in range(n_batches):
-            part = train_blocks if n_batches == 1 else train_blocks.where(batch_of == b)
-            if n_batches > 1 and part.isEmpty():
+        losses, dropped = [], 0
+        for part in parts:
+            sums = _batch_sums(part, unpack(flat, weights), training_window, size, activation, True, on_null)
+            if sums is None:  # a batch of blocks without a whole window
                 continue
-            loss, grad = _batch_sums(part, unpack(flat, weights), training_window, size, activation, True)
+            loss, grad, left_out = sums
+            dropped += left_out
             ticks += 1
             mean = 0.9 * mean + 0.1 * grad
             square = 0.999 * square + 0.001 * grad**2
             flat = flat - learning_rate * (mean / (1 - 0.9**ticks)) / (np.sqrt(square / (1 - 0.999**ticks)) + 1e-8)
             losses.append(loss)
-        valid, _ = _batch_sums(valid_blocks, unpack(flat, weights), training_window, size, activation, False)
-        history.append((epoch, float(np.mean(losses)), float(valid)))
+        sums = _batch_sums(valid_blocks, unpack(flat, weights), training_window, size, activation, False, on_null)
+        if sums is None or not losses:
+            raise ValueError("no windows: the series are shorter than one window")
+        valid = sums[0]
+        history.append((epoch, float(np.mean(losses)), float(valid), dropped))
         if best is None or valid <= best:
             best, waited = valid, 0
         else:
@@ -285,7 +311,7 @@ def train(
                 break
         if scheduler is not None:
             learning_rate = scheduler(valid)
-    losses = spark.createDataFrame(history, "epoch int, train_loss double, valid_loss double")
+    losses = spark.createDataFrame(history, "epoch int, train_loss double, valid_loss double, dropped_windows bigint")
     return unpack(flat, weights), losses
 
 

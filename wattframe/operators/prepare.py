@@ -8,36 +8,35 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import clean_double
 from ..functions.timegrid import epoch_exact
+from .align import BLOCK_SECONDS
 from .blocks import TIME_BLOCK, time_blocks
 
-AGGREGATED = " Actual Aggregated"
-
 # Raw production types of each category.
 CATEGORIES = {
     "actual_load": ["Actual Load"],
-    "hard_coal": ["Fossil Hard coal" + AGGREGATED],
-    "lignite": ["Fossil Brown coal/Lignite" + AGGREGATED],
-    "gas": ["Fossil Gas" + AGGREGATED],
+    "hard_coal": ["Fossil Hard coal Actual Aggregated"],
+    "lignite": ["Fossil Brown coal/Lignite Actual Aggregated"],
+    "gas": ["Fossil Gas Actual Aggregated"],
     "other_fossil": [
-        "Fossil Coal-derived gas" + AGGREGATED,
-        "Fossil Oil" + AGGREGATED,
-        "Other" + AGGREGATED,
+        "Fossil Coal-derived gas Actual Aggregated",
+        "Fossil Oil Actual Aggregated",
+        "Other Actual Aggregated",
     ],
-    "nuclear": ["Nuclear" + AGGREGATED],
-    "biomass": ["Biomass" + AGGREGATED],
-    "waste": ["Waste" + AGGREGATED],
-    "other_renewable": ["Geothermal" + AGGREGATED, "Other renewable" + AGGREGATED],
+    "nuclear": ["Nuclear Actual Aggregated"],
+    "biomass": ["Biomass Actual Aggregated"],
+    "waste": ["Waste Actual Aggregated"],
+    "other_renewable": ["Geothermal Actual Aggregated", "Other renewable Actual Aggregated"],
     "hydro": [
-        "Hydro Pumped Storage" + AGGREGATED,
-        "Hydro Run-of-river and poundage" + AGGREGATED,
-        "Hydro Water Reservoir" + AGGREGATED,
+        "Hydro Pumped Storage Actual Aggregated",
+        "Hydro Run-of-river and poundage Actual Aggregated",
+        "Hydro Water Reservoir Actual Aggregated",
     ],
-    "solar": ["Solar" + AGGREGATED],
-    "wind_onshore": ["Wind Onshore" + AGGREGATED],
-    "wind_offshore": ["Wind Offshore" + AGGREGATED],
+    "solar": ["Solar Actual Aggregated"],
+    "wind_onshore": ["Wind Onshore Actual Aggregated"],
+    "wind_offshore": ["Wind Offshore Actual Aggregated"],
 }
 # Nulls of these series become a constant before interpolation.
-CONSTANT_FILL = {"Nuclear" + AGGREGATED: 0.0}
+CONSTANT_FILL = {"Nuclear Actual Aggregated": 0.0}
 CONSUMPTION = "Consumption"
 
 
@@ -59,9 +58,6 @@ def drop_matching(df: DataFrame, pattern: str = CONSUMPTION) -> DataFrame:
     return df.where(~F.col("series").rlike(pattern))
 
 
-BLOCK_SECONDS = 30 * 86_400
-
-
 def interpolate_time(df: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Fill nulls linearly by elapsed time (F-02).
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.daytype import day_type, next_same_type
 from ..functions.timegrid import DAY_SECONDS, grid_time, slot_of_day
-from ..session import cut_lineage
 
 PARTIAL_MODES = ("error", "skip", "null")
 
@@ -22,22 +21,35 @@ def _kind(holidays: DataFrame | None, country: str) -> Column:
     return day_type(F.col("date"), flag, country)
 
 
+def _day_rows(df: DataFrame) -> DataFrame:
+    """Least and most rows that a series of the area has on a date."""
+    rows = df.groupBy("area", "series", _date().alias("date")).agg(F.count(F.lit(1)).alias("_n"))
+    return rows.groupBy("area", "date").agg(F.min("_n").alias("least_rows"), F.max("_n").alias("most_rows"))
+
+
+def _with_holidays(days: DataFrame, holidays: DataFrame | None, country: str) -> DataFrame:
+    if holidays is None:
+        return days
+    listed = holidays.where(F.col("country") == country).select("date", F.lit(True).alias("_holiday")).distinct()
+    return days.join(listed, "date", "left")
+
+
 def day_table(df: DataFrame, step: int, country: str = "DE", holidays: DataFrame | None = None) -> DataFrame:
-    """One row per (area, date): day type, number of slots, full-day flag (A-06, P-09, W-05)."""
-    # A set of slots is at most one day long.
-    slots = F.collect_set(slot_of_day("ts", step))
-    days = df.select("area", "ts").distinct().groupBy("area", _date().alias("date")).agg(
-        F.size(slots).alias("n_slots")
-    )
-    if holidays is not None:
-        listed = holidays.where(F.col("country") == country).select("date", F.lit(True).alias("_holiday")).distinct()
-        days = days.join(listed, "date", "left")
+    """One row per (area, date): day type, rows of its series, full-day flag (A-06, P-09, W-05).
+
+    A day is full if every series has as many rows as a day has steps, neither
+    fewer nor more: a repeated hour, or a ``step`` that is not that of the data,
+    makes days that are not full.
+    """
+    days = _with_holidays(_day_rows(df), holidays, country)
+    usual = DAY_SECONDS // step
     return days.select(
         "area",
         "date",
         _kind(holidays, country).alias("day_type"),
-        "n_slots",
-        (F.col("n_slots") == DAY_SECONDS // step).alias("full"),
+        "least_rows",
+        "most_rows",
+        ((F.col("least_rows") == usual) & (F.col("most_rows") == usual)).alias("full"),
     )
 
 
@@ -57,10 +69,10 @@ def last_days(days: DataFrame, k: int) -> DataFrame:
     return days.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= k)
 
 
-def partial_days(df: DataFrame, step: int) -> DataFrame:
-    """Days whose number of rows differs from the usual length (A-05, W-05)."""
-    days = day_table(df, step)
-    return days.where(~F.col("full")).select("area", "date", "n_slots")
+def partial_days(df: DataFrame, usual_length: int = 96) -> DataFrame:
+    """Dates on which a series has fewer or more rows than ``usual_length``, as time shifts leave them (A-05, W-05)."""
+    usual = (F.col("least_rows") == usual_length) & (F.col("most_rows") == usual_length)
+    return _day_rows(df).where(~usual).select("area", "date", "least_rows", "most_rows")
 
 
 def _check_mode(on_partial: str) -> None:
@@ -155,11 +167,8 @@ def _future_targets(days: DataFrame, country: str, holidays: DataFrame | None) -
     week = ends.select(
         "area", F.explode(F.sequence(F.date_add("data_end", 1), F.date_add("data_end", 7))).alias("date")
     )
-    if holidays is not None:
-        listed = holidays.where(F.col("country") == country).select("date", F.lit(True).alias("_holiday")).distinct()
-        week = week.join(listed, "date", "left")
     return (
-        week.select("area", "date", _kind(holidays, country).alias("day_type"))
+        _with_holidays(week, holidays, country).select("area", "date", _kind(holidays, country).alias("day_type"))
         .groupBy("area", "day_type")
         .agg(F.min("date").alias("target_date"))
     )
@@ -188,33 +197,41 @@ def profile_for_date(
     country: str = "DE",
     holidays: DataFrame | None = None,
     on_partial: str = "error",
+    on_missing: str = "error",
 ) -> DataFrame:
-    """Profile of one date ``YYYYMMDD``, in the data or just after it (W-02).
+    """Profile of one date ``YYYYMMDD``, in the data or just after it: ``(area, ts, series, day_type, pslp, status)`` (W-02).
 
-    Only the lookback days are read past the day table. Raises ``IndexError``
-    for a date before the data, too far after it, or with too few earlier days.
+    Every area is judged by its own dates, in the plan: no job runs before the
+    result. Where the date lies before an area's data or too far after it, or
+    fewer than ``lookback`` days of its type come before, ``on_missing`` says
+    whether that raises (``"error"``) or the area gets a single row with the
+    reason in ``status`` and nulls (``"status"``). ``status`` is ``"ok"`` otherwise.
     """
     _check_mode(on_partial)
-    day = dt.datetime.strptime(date, "%Y%m%d").date()
-    days = cut_lineage(day_table(df, step, country, holidays))
-    first, last = days.agg(F.min("date"), F.max("date")).first()
-    if first is None or day < first:
-        raise IndexError(f"no profile: {date} lies before the data")
-    if day > last:
-        targets = _future_targets(days, country, holidays).where(F.col("target_date") == F.lit(day))
-        if targets.isEmpty():
-            raise IndexError(f"no profile: {date} lies too far after the data")
-        return _future_means(df, days, targets, lookback, step, on_partial, strict=True)
-    target = days.where(F.col("date") == F.lit(day)).select("area", "day_type", F.col("date").alias("target_date"))
-    usable = days.where("full") if on_partial == "skip" else days
-    earlier = usable.where(F.col("date") < F.lit(day))
-    chosen = last_days(earlier, lookback).join(target, ["area", "day_type"])
-    counts = chosen.groupBy("area").count()
-    enough = counts.where(F.col("count") == lookback).select("area")
-    if enough.isEmpty():
-        raise IndexError(f"no profile: fewer than {lookback} days of the same day type before {date}")
-    chosen = chosen.join(enough, "area", "left_semi")
-    return _mean_of(df, chosen.select("area", "date", "target_date", "day_type", "full"), lookback, step, on_partial)
+    if on_missing not in ("error", "status"):
+        raise ValueError("on_missing must be 'error' or 'status'")
+    day = F.lit(dt.datetime.strptime(date, "%Y%m%d").date())
+    days = day_table(df, step, country, holidays)
+    ends = days.groupBy("area").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
+    asked = _with_holidays(ends.withColumn("date", day), holidays, country)
+    asked = asked.select("area", "_first", "_last", day.alias("target_date"), _kind(holidays, country).alias("day_type"))
+    ahead = _future_targets(days, country, holidays).where(F.col("target_date") == day).select("area", F.lit(True).alias("_ahead"))
+    earlier = (days.where("full") if on_partial == "skip" else days).where(F.col("date") < day)
+    chosen = last_days(earlier, lookback).join(asked.select("area", "day_type", "target_date"), ["area", "day_type"])
+    counts = chosen.groupBy("area").agg(F.count(F.lit(1)).alias("_n"))
+    reason = (
+        F.when(day < F.col("_first"), f"{date} lies before the data")
+        .when((day > F.col("_last")) & F.col("_ahead").isNull(), f"{date} lies too far after the data")
+        .when(F.coalesce("_n", F.lit(0)) < lookback, f"fewer than {lookback} days of the same day type before {date}")
+        .otherwise("ok")
+    )
+    judged = asked.join(ahead, "area", "left").join(counts, "area", "left").select("area", reason.alias("status"))
+    if on_missing == "error":
+        message = F.concat(F.lit("no profile of "), F.col("area"), F.lit(": "), F.col("status"))
+        judged = judged.withColumn("status", F.when(F.col("status") == "ok", "ok").otherwise(F.raise_error(message).cast("string")))
+    usable = chosen.join(judged.where("status = 'ok'"), "area", "left_semi")
+    means = _mean_of(df, usable.select("area", "date", "target_date", "day_type", "full"), lookback, step, on_partial)
+    return judged.join(means, "area", "left").select("area", "ts", "series", "day_type", "pslp", "status")
 
 
 def residuals(profiled: DataFrame) -> DataFrame:

@@ -12,45 +12,69 @@ from .blocks import sum_arrays
 from .network import complete_windows, flat_blocks
 from .windows import WINDOW_BLOCK
 
-MAX_COLUMNS = 4_096
+# Up to so many columns the normal equations are solved at once; beyond, step by step.
+DIRECT_COLUMNS = 2_048
 
 
 def _design(x: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(x), 1)), x.reshape(len(x), -1)])
 
 
-def fit_window_regressor(
-    blocks: DataFrame, n_features: int, training_window: int, ridge: float = 0.0, size: int = WINDOW_BLOCK
-) -> np.ndarray:
-    """Coefficients float[1 + tw * F][F] by normal equations: one pass for all outputs.
-
-    Tasks add their cross products before anything is sent; the driver sees one
-    matrix whose size depends on the model alone. Windows with a missing cell
-    are left out.
-    """
-    k = 1 + training_window * n_features
-    if k > MAX_COLUMNS:
-        raise ValueError(f"{k} columns; at most {MAX_COLUMNS} are solved by normal equations")
+def _summed(blocks: DataFrame, part: Callable, shape: tuple[int, int], training_window: int, size: int, on_null: str) -> np.ndarray | None:
+    """Sum of ``part(z, y)`` over all windows; tasks add theirs before anything is sent."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k + n_features))
-        seen = 0
+        total, seen = np.zeros(shape), 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                for x, y in complete_windows(row, training_window, size):
-                    z = _design(x)
-                    total += z.T @ np.hstack([z, y])
-                    seen += len(z)
+                for x, y, _ in complete_windows(row, training_window, size, on_null):
+                    if len(x):
+                        total += part(_design(x), y)
+                        seen += len(x)
         if seen:
-            yield pd.DataFrame({"line": np.arange(k), "sums": list(total)})
+            yield pd.DataFrame({"line": np.arange(shape[0]), "sums": list(total)})
 
     partial = flat_blocks(blocks).mapInPandas(run, "line int, sums array<double>")
-    lines = sum_arrays(partial, ["line"], "sums")
-    rows = lines.orderBy("line").collect()
-    if not rows:
-        raise ValueError("no windows: the series are shorter than one window")
-    matrix = np.array([r.sums for r in rows])
-    return np.linalg.lstsq(matrix[:, :k] + ridge * np.eye(k), matrix[:, k:], rcond=1e-12)[0]
+    lines = sum_arrays(partial, ["line"], "sums").orderBy("line").toArrow()
+    return lines["sums"].combine_chunks().flatten().to_numpy().reshape(shape) if lines.num_rows else None
+
+
+def fit_window_regressor(
+    blocks: DataFrame, n_features: int, training_window: int, ridge: float = 0.0, size: int = WINDOW_BLOCK,
+    on_null: str = "error", direct_columns: int = DIRECT_COLUMNS, tolerance: float = 1e-10, max_steps: int = 1_000,
+) -> np.ndarray:
+    """Coefficients float[1 + tw * F][F] of least squares.
+
+    Up to ``direct_columns`` columns one pass sums the normal equations for all
+    outputs. With more, conjugate gradients need only the product of the
+    equations with the current direction, one pass per step, until residuals
+    have shrunk by ``tolerance``; what reaches the driver has the size of the
+    coefficients. A window with a missing cell raises, or is left out with
+    ``on_null='drop'``.
+    """
+    k = 1 + training_window * n_features
+
+    def summed(part: Callable, width: int) -> np.ndarray:
+        total = _summed(blocks, part, (k, width), training_window, size, on_null)
+        if total is None:
+            raise ValueError("no windows: the series are shorter than one window")
+        return total
+
+    if k <= direct_columns:
+        matrix = summed(lambda z, y: z.T @ np.hstack([z, y]), k + n_features)
+        return np.linalg.lstsq(matrix[:, :k] + ridge * np.eye(k), matrix[:, k:], rcond=1e-12)[0]
+    residual = summed(lambda z, y: z.T @ y, n_features)
+    beta, direction = np.zeros_like(residual), residual.copy()
+    now = first = (residual**2).sum(0)
+    for _ in range(max_steps):
+        if (now <= tolerance**2 * np.maximum(first, 1e-300)).all():
+            return beta
+        image = summed(lambda z, y, d=direction: z.T @ (z @ d), n_features) + ridge * direction
+        step = now / np.maximum((direction * image).sum(0), 1e-300)
+        beta, residual = beta + step * direction, residual - step * image
+        before, now = now, (residual**2).sum(0)
+        direction = residual + now / np.maximum(before, 1e-300) * direction
+    raise ValueError(f"no solution after {max_steps} steps; raise max_steps or the ridge")
 
 
 def linear_scorer(beta: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:

@@ -4,19 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.timegrid import grid_index
+from ..functions.timegrid import block_of, grid_index
 from .blocks import join_per_key, with_halo
 
 WINDOW_BLOCK = 1_024
-MAX_FEATURES = 10_000
 
 
 def feature_names(df: DataFrame) -> list[str]:
-    """Series names in the order of the feature vector; one name per model input."""
-    names = [r.series for r in df.select("series").distinct().orderBy("series").limit(MAX_FEATURES + 1).collect()]
-    if len(names) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} series cannot be the features of one model")
-    return names
+    """Series names in the order of the feature vector, for a model that has one input for each."""
+    return [r.series for r in df.select("series").distinct().orderBy("series").collect()]
 
 
 def feature_rows(df: DataFrame, step: int) -> DataFrame:
@@ -92,7 +88,7 @@ def windows(
     target = F.slice("rows", at + 1 + training_window, F.lit(prediction_window))
     return starts.select(
         "area",
-        ((F.col("_start") - F.col("first")) / stride).cast("bigint").alias("window_id"),
+        block_of(F.col("_start") - F.col("first"), stride).alias("window_id"),
         F.transform(sample, lambda r: r["values"]).alias("sample"),
         F.transform(target, lambda r: r["values"]).alias("target"),
         F.transform(target, lambda r: r["ts"]).alias("target_ts"),
@@ -108,9 +104,34 @@ def window_count(
     return indexed_bounds(df, step).select("area", count.alias("n_windows"))
 
 
-def window_at(cut: DataFrame, index: int) -> DataFrame:
-    """The window number ``index`` (W-07)."""
-    return cut.where(F.col("window_id") == index)
+def window_at(
+    df: DataFrame, index: int, training_window: int = 168, prediction_window: int = 1, stride: int = 1, step: int = 3_600
+) -> DataFrame:
+    """The window number ``index`` of each area, as :func:`windows` gives it (W-07).
+
+    Only the rows of that window leave the scan's tasks; an area with fewer
+    windows has none. Gaps and uneven series raise as they do there.
+    """
+    length = training_window + prediction_window
+    bounds = indexed_bounds(df, step).withColumn("_from", F.col("first") + index * stride)
+    bounds = bounds.where(F.col("_from") + length - 1 <= F.col("last")).select("area", "_from")
+    rows = join_per_key(df.withColumn("_idx", grid_index("ts", step)), bounds, ["area"], F.col("_idx"))
+    near = rows.where((F.col("_idx") >= F.col("_from")) & (F.col("_idx") < F.col("_from") + length))
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "ts", "values")))
+    sizes = [F.min(F.size("values")).alias("_least"), F.max(F.size("values")).alias("_most")]
+    one = feature_rows(near.select("area", "ts", "series", "value"), step).groupBy("area").agg(ordered.alias("rows"), *sizes)
+    gap = F.raise_error(F.lit("the time grid has gaps; downsample before cutting windows")).cast("boolean")
+    uneven = F.raise_error(F.lit("a series lacks some timestamps; align before cutting windows")).cast("boolean")
+    whole = F.when(F.size("rows") != length, gap).when(F.col("_least") != F.col("_most"), uneven).otherwise(True)
+    sample = F.slice("rows", 1, training_window)
+    target = F.slice("rows", training_window + 1, prediction_window)
+    return one.where(whole).select(
+        "area",
+        F.lit(index).cast("bigint").alias("window_id"),
+        F.transform(sample, lambda r: r["values"]).alias("sample"),
+        F.transform(target, lambda r: r["values"]).alias("target"),
+        F.transform(target, lambda r: r["ts"]).alias("target_ts"),
+    )
 
 
 def chronological_split(df: DataFrame, shares: tuple[float, float] = (0.6, 0.2), step: int = 3_600) -> DataFrame:

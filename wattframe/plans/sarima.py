@@ -12,13 +12,12 @@ from ..sources.results import load_models, save_models
 NEW, REFIT, UPDATE = 2, 1, 0
 
 
-def differencing(df: DataFrame, search: Search, seasonal_critical: float | None, kpss_lags: int = 7) -> DataFrame:
-    """``orders(area, series, d, sd)``; without a seasonal critical value ``sd`` is 0."""
+def differencing(df: DataFrame, search: Search, seasonal_critical: float | None = None, kpss_lags: int = 7) -> DataFrame:
+    """``orders(area, series, d, sd)``; the seasonal test runs with its documented critical value unless one is given."""
     orders = lags.differencing_order(df, search.step, search.max_d, kpss_lags, size=search.block)
-    if seasonal_critical is None:
-        return orders.withColumn("sd", F.lit(0))
     seasonal = lagmodel.seasonal_order(df, search.m, seasonal_critical, search.step, size=search.block)
-    return orders.join(seasonal.select(*SERIES_KEY, "sd"), SERIES_KEY)
+    joined = orders.join(seasonal.select(*SERIES_KEY, "sd"), SERIES_KEY, "left")
+    return joined.withColumn("sd", F.least(F.coalesce("sd", F.lit(0)), F.lit(search.max_sd)))
 
 
 def fit(
@@ -38,6 +37,7 @@ def fit(
         raise ValueError("update_level must be 0, 1 or 2")
     if update_level != NEW and checkpoint is None:
         raise ValueError("update levels 0 and 1 need a checkpoint of models")
+    df = cut_lineage(df)  # read by both tests, both stages and the last index
     known = load_models(df.sparkSession, checkpoint) if checkpoint and update_level != NEW else None
     if known is None:
         models = lagmodel.fit_new(df, differencing(df, search, seasonal_critical), search)

@@ -15,7 +15,7 @@ def train_forecaster(
     n_epochs: int = 20,
     step: int = 3_600,
     learning_rate: float = 0.01,
-    n_batches: int = 1,
+    n_batches: int = 8,
     activation: bool = False,
     seed: int = 0,
     size: int = windows.WINDOW_BLOCK,

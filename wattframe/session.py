@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +43,36 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+_owned: list[list[str]] = []
+
+
+def cut_lineage(df: DataFrame, partition: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
     Unlike an eager ``checkpoint()`` the last stage runs only once, and later
-    steps read just the columns they need and know the size of the table.
+    steps read just the columns they need and know the size of the table. With
+    ``partition`` each value of that column gets a folder. Inside
+    :func:`owned_cuts` the table is removed at the end.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if _owned:
+        _owned[-1].append(path)
+    writer = df.write.partitionBy(partition) if partition else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def owned_cuts(spark: SparkSession) -> Iterator[None]:
+    """Remove every table that :func:`cut_lineage` writes inside the block.
+
+    Write or collect results before the block ends: what depends on a removed
+    table can't be computed after it.
+    """
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for path in _owned.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -58,21 +58,42 @@ def platform_start(mtu: Column, pattern: str = "dd.MM.yyyy HH:mm") -> Column:
     return F.to_timestamp_ntz(F.trim(F.split_part(mtu, F.lit(" - "), F.lit(1))), F.lit(pattern))
 
 
+def _named(raw: DataFrame, pattern: str) -> DataFrame:
+    """Area, start of the time unit, and one double per type under its plain name."""
+    area, mtu, *types = raw.columns
+    return raw.select(
+        F.col(f"`{area}`").alias("area"),
+        platform_start(F.col(f"`{mtu}`"), pattern).alias("ts"),
+        *[F.expr(f"try_cast(`{c}` as double)").alias(platform_name(c)) for c in types],
+    )
+
+
 def platform_readings(raw: DataFrame, pattern: str = "dd.MM.yyyy HH:mm") -> DataFrame:
     """Area, time unit and one text column per type -> long readings (S-02).
 
     Values that are no number (such as ``n/e``) become null. ``ts`` is the
     start of the unit on the file's own clock.
     """
-    area, mtu, *types = raw.columns
-    named = raw.select(
-        F.col(f"`{area}`").alias("area"),
-        platform_start(F.col(f"`{mtu}`"), pattern).alias("ts"),
-        *[F.expr(f"try_cast(`{c}` as double)").alias(platform_name(c)) for c in types],
-    )
-    return to_long(named, ["area", "ts"])
+    return to_long(_named(raw, pattern), ["area", "ts"])
+
 
+def read_platform_csv(spark: SparkSession, path: str | list[str], pattern: str = "dd.MM.yyyy HH:mm") -> DataFrame:
+    """The platform's CSV files as long readings (S-02).
 
-def read_platform_csv(spark: SparkSession, path: str, pattern: str = "dd.MM.yyyy HH:mm") -> DataFrame:
-    """The platform's CSV files as long readings (S-02)."""
-    return platform_readings(spark.read.csv(path, header=True), pattern)
+    Columns go by name: files are grouped by their header line, each group is
+    read by its own header, and a type that a group lacks is null there. Area
+    and time unit are the first two columns of every file.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("n"))
+    headers = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in headers.orderBy("file").collect():  # one row per file
+        groups.setdefault(row.header, []).append(row.file)
+    if not groups:
+        raise ValueError(f"no CSV files in {path}")
+    first, *others = (_named(spark.read.csv(files, header=True), pattern) for files in groups.values())
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return to_long(first, ["area", "ts"])

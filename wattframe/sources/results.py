@@ -29,9 +29,15 @@ def write_results(df: DataFrame, path: str, name: str = "", experiment_id: str =
 
 
 def save_models(models: DataFrame, path: str, name: str = "models") -> str:
-    """Append one row per model to the models table and return its ``run_id`` (S-04)."""
+    """Append one row per model to the models table and return its ``run_id`` (S-04).
+
+    Runs are folders of their own; ``created_at`` has microseconds, so the
+    latest of two runs within a second is known.
+    """
+    now = dt.datetime.now(dt.timezone.utc)
     run_id = run_name(name)
-    models.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)
+    tagged = models.withColumn("created_at", F.lit(now)).withColumn("run_id", F.lit(run_id))
+    tagged.write.mode("append").partitionBy("run_id").parquet(path)
     return run_id
 
 
@@ -44,8 +50,8 @@ def load_models(spark: SparkSession, path: str, run_id: str | None = None) -> Da
             raise
         return None
     if run_id is None:
-        run_id = table.agg(F.max("run_id")).first()[0]
-    return table.where(F.col("run_id") == run_id).drop("run_id")
+        run_id = table.agg(F.max_by("run_id", "created_at")).first()[0]
+    return table.where(F.col("run_id") == run_id).drop("run_id", "created_at")
 
 
 def save_weights(weights: DataFrame, path: str) -> None:
