@@ -107,7 +107,7 @@ def s01_range(spark, sf):
 
 
 def s02_platform(spark, sf):
-    """The hourly events as the platform's files, odd days with other columns in another order, and back."""
+    """The hourly events as the platform's files, on odd days with the columns in another order, and back."""
     names = {c: f"{c}  - Actual Aggregated [MW]" for c in ("click", "error", "purchase", "signup", "view")}
     wide = align.to_wide(binned_events(spark, sf), list(names))
     text = F.date_format("ts", "dd.MM.yyyy HH:mm")
@@ -120,7 +120,7 @@ def s02_platform(spark, sf):
     )
     path = f"{shared_folder(spark)}/{results.run_name('platform')}"
     types = list(names.values())
-    for odd, columns in ((0, types), (1, [c for c in reversed(types) if "error" not in c])):
+    for odd, columns in ((0, types), (1, types[::-1])):
         raw.where(F.col("odd") == odd).select("Area", "MTU", *columns).write.csv(f"{path}/{odd}", header=True)
     return _rounded(source.read_platform_csv(spark, [f"{path}/0", f"{path}/1"]), "value")
 

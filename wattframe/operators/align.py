@@ -82,7 +82,9 @@ def downsample(readings: DataFrame, seconds: int = 3_600) -> DataFrame:
         F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"), F.count("value").alias("_n")
     ).where("_n >= 0")
     bounds = spans.groupBy("area").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    spine = _spread_bins(join_per_key(spans.select("area", "series"), bounds, ["area"], F.col("series")))
+    own = spans.select("area", "series", F.col("_lo").alias("_l"), F.col("_hi").alias("_h"))
+    spread = join_per_key(own, bounds, ["area"], F.col("series")).where("_l >= _lo AND _h <= _hi")
+    spine = _spread_bins(spread)
     return spine.join(cells, keys, "left").select(
         "area", grid_time(F.col("_bin"), seconds).alias("ts"), "series", "value"
     )

@@ -76,7 +76,7 @@ def join_per_key(rows: DataFrame, small: DataFrame, keys: list[str], spread: Col
     """
     salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.hash(spread), F.lit(salts))
+    salt = F.coalesce(F.pmod(F.hash(spread), F.lit(salts)), F.lit(0))  # never null, see never_null
     return rows.withColumn("_salt", salt).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
