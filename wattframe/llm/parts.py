@@ -29,5 +29,18 @@ def with_keys(rows: DataFrame, keys: DataFrame, how: str, key: str = "row_key")
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, how)
 
 
+#: A key with more than this share of all rows is joined by a broadcast; there are 10,000 of them at most.
+HOT_SHARE = 10_000
+
+
+def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of a written table whose ``key`` occurs again. Hot keys don't meet in one task."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    limit = rows.count() // HOT_SHARE
+    hot = F.broadcast(counts.where(F.col("_n") > limit).select(key))
+    rest = rows.join(hot, key, "left_anti").join(counts.where(F.col("_n") <= limit).select(key), key, "left_semi")
+    return rows.join(hot, key, "left_semi").unionByName(rest)
+
+
 def part_of(key: Column, parts: int) -> Column:
     return F.pmod(key, F.lit(parts)).cast("int")

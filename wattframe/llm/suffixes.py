@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from ..session import cut_lineage
 from .batches import slices
 from .ngram_join import row_key
-from .parts import n_parts, part_of, text_bytes
+from .parts import n_parts, part_of, repeated_keys, text_bytes
 from .words import _value, column_bytes, mixed, powers
 
 LENGTH = 400
@@ -300,8 +300,7 @@ def remove_repeats(
     rows = every.drop("carried")
     parts = n_parts(text_bytes(rows))
     places = cut_lineage(_anchored(rows, length))
-    again = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    found = places.join(again, "gram", "left_semi").select("key", "first", "last", "anchor")
+    found = repeated_keys(places, "gram").select("key", "first", "last", "anchor")
     ranges = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     judged = cut_lineage(_judged(_segments(rows, found, length, parts), length, ranges, group_segments))
     spans = judged.where("content IS NULL").select("key", "start", "end")
