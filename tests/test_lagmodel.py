@@ -230,3 +230,35 @@ def test_seasonal_order_equals_regression(readings):
         se = np.sqrt(np.linalg.inv(x[ok].T @ x[ok])[-1, -1] * rss / (n - x.shape[1]))
         assert got.t_stat == pytest.approx(beta[-1] / se, rel=1e-6)
         assert got.sd == int(got.t_stat > -1.8)
+
+
+def test_truncation_grows_with_the_series(readings):
+    rng = np.random.default_rng(21)
+    slow = np.zeros(2000)
+    for i in range(1, 2000):
+        slow[i] = 0.97 * slow[i - 1] + rng.normal()
+    short = rng.normal(size=90)
+    assert (lags.truncation(2000), lags.truncation(90)) == (25, 11)
+    rows = lags.indexed(readings({"slow": slow, "short": short}), 3600).withColumnRenamed("value", "x")
+    got = {r.series: r.kpss for r in lags.kpss(rows, None, ["area", "series"], 300).collect()}
+    assert got["slow"] == pytest.approx(kpss_whole(slow, 25), rel=1e-9) and got["slow"] < kpss_whole(slow, 7)
+    assert got["short"] == pytest.approx(kpss_whole(short, 11), rel=1e-9)
+
+
+def test_too_few_values_are_refused(readings):
+    df = readings(seasonal(20))
+    with pytest.raises(Exception, match="a/x"):
+        lagmodel.fit_new(df, zero_orders(df), SMALL).collect()
+
+
+def test_forecast_refuses_gaps_and_missing_data(readings):
+    data = [float(v) for v in seasonal(300)]
+    df = readings(data)
+    models = lagmodel.fit_new(df, zero_orders(df), SMALL).persist()
+    at = lambda h: str(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h))
+    assert lagmodel.forecast(df, models, at(300), at(303), SMALL).count() == 4
+    gap = readings(data[:290] + [None] + data[291:])
+    with pytest.raises(Exception, match="a gap in the last"):
+        lagmodel.forecast(gap, models, at(300), at(303), SMALL).collect()
+    with pytest.raises(Exception, match="no data for the model of a/x"):
+        lagmodel.forecast(df.where("series = 'other'"), models, at(300), at(303), SMALL).collect()

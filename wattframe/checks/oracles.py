@@ -296,6 +296,23 @@ FROM scored WHERE pos < floor(n * 0.6)"""
     out["s05_stored_weights"] = f"SELECT 'first' AS run_id, name, CAST(pos AS INTEGER) AS pos, {r6('value')} AS value FROM (VALUES {rows}) t(name, pos, value)"
 
 
+def kpss_by_length(source: str, name: str, most: int = 60) -> str:
+    """As ``kpss``, with 12 (n / 100)^(1/4) lags for a series of ``n`` values; ``most`` covers them."""
+    pairs = "\n    + ".join(f"2 * sum(greatest(0, 1 - {j} / (l + 1.0)) * e * lag{j})" for j in range(1, most + 1))
+    lagged = ", ".join(f"coalesce(lag(e, {j}) OVER w, 0) AS lag{j}" for j in range(1, most + 1))
+    return f"""{name}_e AS (SELECT *, x - avg(x) OVER p AS e, floor(12 * pow(count(*) OVER p / 100.0, 0.25)) AS l
+  FROM {source} WINDOW p AS (PARTITION BY area, series, d)),
+{name}_w AS (SELECT *, sum(e) OVER (PARTITION BY area, series, d ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s, {lagged}
+  FROM {name}_e WINDOW w AS (PARTITION BY area, series, d ORDER BY ts)),
+{name} AS (SELECT area, series, d, count(*) AS n,
+    sum(s * s) / (count(*) * count(*)) / ((sum(e * e) + {pairs}) / count(*)) AS kpss
+  FROM {name}_w GROUP BY area, series, d)"""
+
+
+# Fixed value: critical value of the seasonal test for a season of 24, from the formula named in the lag models.
+SEASONAL_24 = -1.756445
+
+
 def all_oracles() -> dict[str, str]:
     out: dict[str, str] = {}
     cells = f"area, ts, series, {r6('value')} AS value"
@@ -426,7 +443,7 @@ FROM epochs JOIN stops USING (run_id) WHERE stop_epoch IS NULL OR epoch <= stop_
 
     out["m01_kpss"] = _with(DAILY_ORDERS, "x0 AS (SELECT area, series, 0 AS d, ts, value AS x FROM daily)", kpss("x0", "k")) + \
         f"SELECT area, series, n, {r6('kpss')} AS kpss FROM k"
-    out["m02_seasonal_order"] = _with(
+    seasonal = _with(
         COMPLETE,
         """lagged AS (SELECT area, series, value AS y, lag(value, 1) OVER w AS l1, lag(value, 24) OVER w AS l24,
     lag(value, 25) OVER w AS l25 FROM complete WINDOW w AS (PARTITION BY area, series ORDER BY ts))""",
@@ -437,7 +454,18 @@ FROM epochs JOIN stops USING (run_id) WHERE stop_epoch IS NULL OR epoch <= stop_
         """beta AS (SELECT *, aa * bb - ab * ab AS det, (bb * ad - ab * bd) / (aa * bb - ab * ab) AS ba,
     (aa * bd - ab * ad) / (aa * bb - ab * ab) AS bs FROM sums)""",
         "stat AS (SELECT area, series, bs / sqrt((dd - ba * ad - bs * bd) / (n - 2) * aa / det) AS t FROM beta)",
-    ) + f"SELECT area, series, {r6('t')} AS t_stat, CAST(t > -1.8 AS INTEGER) AS sd FROM stat"
+    )
+    out["m02_seasonal_order"] = seasonal + f"SELECT area, series, {r6('t')} AS t_stat, CAST(t > -1.8 AS INTEGER) AS sd FROM stat"
+    out["m01_differencing"] = seasonal.rstrip() + """,
+diffs AS (SELECT area, series, ts, value, lag(value, 1) OVER w AS k1, lag(value, 2) OVER w AS k2
+  FROM complete WHERE value IS NOT NULL WINDOW w AS (PARTITION BY area, series ORDER BY ts)),
+xs AS (SELECT area, series, 0 AS d, ts, value AS x FROM diffs
+  UNION ALL SELECT area, series, 1, ts, value - k1 FROM diffs WHERE k1 IS NOT NULL
+  UNION ALL SELECT area, series, 2, ts, value - 2 * k1 + k2 FROM diffs WHERE k2 IS NOT NULL),
+""" + kpss_by_length("xs", "k") + f"""
+SELECT area, series, CAST(coalesce(min(CASE WHEN kpss <= 0.463 THEN d END), 2) AS INTEGER) AS d,
+  CAST(any_value(t) > {SEASONAL_24} AS INTEGER) AS sd
+FROM k JOIN stat USING (area, series) GROUP BY area, series"""
     columns = ["1.0", "lag(value, 1) OVER w", "lag(value, 2) OVER w", "lag(value, 24) OVER w", "value"]
     pairs = [(i, j) for i in range(5) for j in range(i, 5)]
     out["m04_cross_products"] = _with(

@@ -427,7 +427,12 @@ def m01_kpss(spark, sf):
 
 
 def m01_differencing_order(spark, sf):
-    return lags.differencing_order(daily_orders(spark, sf), DAY, size=512)
+    return lags.differencing_order(daily_orders(spark, sf), DAY, lags=7, size=512)
+
+
+def m01_differencing(spark, sf):
+    """Both orders as the seasonal workflow finds them, with its defaults."""
+    return sarima.differencing(complete(spark, sf), lagmodel.Search(m=24, step=HOUR, block=256))
 
 
 def m03_difference(spark, sf):
@@ -719,6 +724,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         m09_network_scores, m10_n_steps, m11_next_step_errors, m12_regression, m13_training, s04_models, s05_weights,
         m04_lag_model, m05_lag_refit, m06_lag_update, m07_lag_forecast, m08_lag_fitted, s04_stored_models,
         m09_cell, m10_two_steps, m11_cell_errors, m12_one_lag, m13_first_loss, s05_stored_weights,
-        w02_date_of_areas,
+        w02_date_of_areas, m01_differencing,
     ]
     return {f.__name__: f for f in named}

@@ -61,17 +61,28 @@ def difference(
     return rows.select("area", grid_time(F.col("idx"), step).alias("ts"), "series", total.alias("value"))
 
 
-def kpss(df: DataFrame, lags: int, keys: list[str], size: int = BLOCK_ROWS) -> DataFrame:
+def truncation(n: int) -> int:
+    """Lags of the long-run variance of ``n`` values: 12 (n / 100)^(1/4), as in KPSS (1992)."""
+    return int(12 * (n / 100) ** 0.25)
+
+
+def kpss(df: DataFrame, lags: int | None, keys: list[str], size: int = BLOCK_ROWS) -> DataFrame:
     """Level-stationarity statistic per key: ``(*keys, n, kpss)`` (M-01).
 
+    Without a number of ``lags`` each key has its own, by :func:`truncation`;
+    one job then counts the longest key, as a halo's length is part of the plan.
+
     ``df`` has ``keys``, ``idx`` and ``x`` without nulls. The partial sums run
     over the whole series; each block reports its own sums, and the offset of a
     block - the sum of all blocks before - enters by algebra:
     ``sum((C + s)^2) = n C^2 + 2 C sum(s) + sum(s^2)``. Nothing is carried back
     to the rows.
     """
-    means = df.groupBy(*keys).agg(F.avg("x").alias("_mean"))
-    centred = join_per_key(df, means, keys, F.col("idx")).select(*keys, "idx", (F.col("x") - F.col("_mean")).alias("e"))
+    own_lags = F.floor(12 * F.pow(F.count("x") / 100, F.lit(0.25))) if lags is None else F.lit(lags)
+    means = df.groupBy(*keys).agg(F.avg("x").alias("_mean"), own_lags.cast("int").alias("_l"))
+    if lags is None:
+        lags = means.agg(F.max("_l")).first()[0] or 0
+    centred = join_per_key(df, means, keys, F.col("idx")).select(*keys, "idx", "_l", (F.col("x") - F.col("_mean")).alias("e"))
     halo = with_halo(centred, "idx", size, back=lags)
     order = Window.partitionBy(*keys, "block").orderBy("idx")
     own = F.when(F.col("core"), F.col("e"))
@@ -79,7 +90,7 @@ def kpss(df: DataFrame, lags: int, keys: list[str], size: int = BLOCK_ROWS) -> D
     weighted = F.lit(0.0)
     for j in range(1, lags + 1):
         earlier = F.coalesce(F.first("e").over(order.rangeBetween(-j, -j)), F.lit(0.0))
-        weighted = weighted + (1 - j / (lags + 1)) * F.col("e") * earlier
+        weighted = weighted + F.greatest(F.lit(0.0), 1 - j / (F.col("_l") + 1)) * F.col("e") * earlier
     blocks = (
         halo.withColumn("_s", partial)
         .withColumn("_w", weighted)
@@ -111,7 +122,7 @@ def differencing_order(
     df: DataFrame,
     step: int = 3_600,
     max_d: int = 2,
-    lags: int = 7,
+    lags: int | None = None,
     critical: float = KPSS_CRITICAL_5,
     size: int = BLOCK_ROWS,
 ) -> DataFrame:

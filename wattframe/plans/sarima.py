@@ -12,8 +12,8 @@ from ..sources.results import load_models, save_models
 NEW, REFIT, UPDATE = 2, 1, 0
 
 
-def differencing(df: DataFrame, search: Search, seasonal_critical: float | None = None, kpss_lags: int = 7) -> DataFrame:
-    """``orders(area, series, d, sd)``; the seasonal test runs with its documented critical value unless one is given."""
+def differencing(df: DataFrame, search: Search, seasonal_critical: float | None = None, kpss_lags: int | None = None) -> DataFrame:
+    """``orders(area, series, d, sd)``; by default the truncation grows with a series' length, and the seasonal test has its documented critical value."""
     orders = lags.differencing_order(df, search.step, search.max_d, kpss_lags, size=search.block)
     seasonal = lagmodel.seasonal_order(df, search.m, seasonal_critical, search.step, size=search.block)
     joined = orders.join(seasonal.select(*SERIES_KEY, "sd"), SERIES_KEY, "left")
