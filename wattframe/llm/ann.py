@@ -42,8 +42,8 @@ def axes(x: np.ndarray, n: int) -> np.ndarray:
     return 2 * order + (np.take_along_axis(x, order, 1) > 0)
 
 
-def _hashed(rows: DataFrame, dim: int, tables: int, probes: int, seed: int) -> DataFrame:
-    """``key, id, data``: a row for each table and probed axis."""
+def _hashed(rows: DataFrame, dim: int, tables: int, probes: int, seed: int, number: str) -> DataFrame:
+    """``key, id, data``: a row for each table and probed axis; components are packed as they came, 4 or 8 bytes each."""
     width = 1 << max(0, dim - 1).bit_length()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +55,7 @@ def _hashed(rows: DataFrame, dim: int, tables: int, probes: int, seed: int) -> D
                 largest = np.abs(data).max(1, keepdims=True)
                 unit[:, :dim] = data / largest  # so that no square is out of range
                 unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-                packed = pa.array([row.tobytes() for row in np.ascontiguousarray(data, "<f8")], pa.binary())
+                packed = pa.array([row.tobytes() for row in np.ascontiguousarray(data, number)], pa.binary())
                 for table in range(tables):
                     found = axes(rotated(unit, table, seed), probes)
                     for j in range(found.shape[1]):
@@ -86,12 +86,14 @@ def nearest(
     Rows that share an id count as one (see ``one_per_id``); shorter vectors are filled with zeros. An empty table
     gives no rows; other columns are left out.
     """
+    kinds = {df.schema[vector_col].dataType.simpleString() for df in (queries, candidates)}
+    number = "<f4" if kinds == {"array<float>"} else "<f8"
     nonzero = F.exists("vector", lambda x: x != 0)
     queries = one_per_id(queries, id_col, vector_col).where(nonzero)
     candidates = one_per_id(candidates, id_col, vector_col).where(nonzero)
     dim = max(*(df.agg(F.max(F.size("vector"))).first()[0] or 0 for df in (queries, candidates)), 1)
-    filed = _hashed(first_of_equals(candidates, k + 1), dim, tables, 1, seed)
-    asked = _hashed(queries, dim, tables, probes, seed)
+    filed = _hashed(first_of_equals(candidates, k + 1), dim, tables, 1, seed, number)
+    asked = _hashed(queries, dim, tables, probes, seed, number)
     cells = lambda df, out: df.groupBy("key").agg((F.floor(F.count(F.lit(1)) / CELL_ROWS) + 1).alias(out))
     cut = cells(filed, "c_cells").join(cells(asked, "q_cells"), "key")  # one row per axis and table
 
@@ -106,8 +108,8 @@ def nearest(
         if not left.num_rows or not right.num_rows:
             return none
         ids, q_ids = left["id"].to_numpy(), right["id"].to_numpy()
-        c = np.frombuffer(b"".join(left["data"].to_pylist()), "<f8").reshape(len(ids), -1)
-        q = np.frombuffer(b"".join(right["data"].to_pylist()), "<f8").reshape(len(q_ids), -1)
+        c = np.frombuffer(b"".join(left["data"].to_pylist()), number).reshape(len(ids), -1).astype("f8")
+        q = np.frombuffer(b"".join(right["data"].to_pylist()), number).reshape(len(q_ids), -1).astype("f8")
         scale = lambda m: (u := m / np.abs(m).max(1, keepdims=True)) / np.sqrt((u * u).sum(1, keepdims=True))
         c_unit, q_unit = scale(c), scale(q)
         rows = []
