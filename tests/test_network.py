@@ -62,8 +62,10 @@ def test_next_step_for_every_window(readings):
 
 def test_n_steps_equal_repeated_single_steps(readings):
     weights = network.initial_weights(2, 4, 2, 3)
-    cut = windows.windows(readings(two_series(40)), 10, 1, 10, size=16)
-    got = network.n_step_forecast(cut, lambda x: network.predict(weights, x), ["x", "y"], 4, 3600)
+    df = readings(two_series(40))
+    cut = windows.windows(df, 10, 1, 10, size=16)
+    blocks = windows.sequence_blocks(df, 10, 1, 3600, 16)
+    got = network.n_step_forecast(blocks, lambda x: network.predict(weights, x), ["x", "y"], 10, 4, 3600, 10, 16)
     sample = np.array(cut.where("window_id = 1").first().sample, dtype=float)[None]
     first = cut.where("window_id = 1").first().target_ts[0]
     for h in range(1, 5):
@@ -160,9 +162,11 @@ def test_each_batch_reads_its_own_folder(readings, monkeypatch):
 def test_unequal_areas_are_refused(readings):
     df = readings(two_series(40)).union(readings({"z": [1.0] * 40}, area="b"))
     weights = network.initial_weights(2, 2, 2)
-    cut = windows.windows(df, 4, 1, 1)
+    blocks = windows.sequence_blocks(df, 4, 1, 3600)
     with pytest.raises(Exception, match="area b has 1 series"):
-        network.n_step_forecast(cut, lambda x: network.predict(weights, x), ["x", "y"], 2, 3600).collect()
+        network.n_step_forecast(blocks, lambda x: network.predict(weights, x), ["x", "y"], 4, 2, 3600).collect()
+    with pytest.raises(Exception, match="area b has 1 series"):
+        network.next_step_forecast(blocks, lambda x: network.predict(weights, x), ["x", "y"], 4, 3600).collect()
 
 
 def test_many_columns_are_solved_step_by_step(readings):

@@ -559,8 +559,8 @@ def m10_n_steps(spark, sf):
     rows = _scaled(spark, sf)
     names = windows.feature_names(rows)
     weights = network.initial_weights(len(names), 16, len(names))
-    cut = windows.windows(rows, 24, 1, 24, HOUR)
-    return network.n_step_forecast(cut, lambda x: network.predict(weights, x), names, 24, HOUR)
+    blocks = windows.sequence_blocks(rows, 24, 1, HOUR, 256)
+    return network.n_step_forecast(blocks, lambda x: network.predict(weights, x), names, 24, 24, HOUR, 24, 256)
 
 
 def m12_regression(spark, sf):
@@ -666,8 +666,9 @@ def m10_two_steps(spark, sf):
     rows = _scaled(spark, sf)
     names = windows.feature_names(rows)
     weights = _small_weights(names)
-    cut = windows.windows(rows, SMALL_WINDOW, 1, 1, HOUR)
-    return _rounded(network.n_step_forecast(cut, lambda x: network.predict(weights, x), names, 2, HOUR), "predicted")
+    blocks = windows.sequence_blocks(rows, SMALL_WINDOW, 1, HOUR, 256)
+    scored = network.n_step_forecast(blocks, lambda x: network.predict(weights, x), names, SMALL_WINDOW, 2, HOUR, size=256)
+    return _rounded(scored, "predicted")
 
 
 def m11_cell_errors(spark, sf):

@@ -174,43 +174,42 @@ def next_step_forecast(
 
 
 def n_step_forecast(
-    cut: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], series: list[str], n: int, step: int
+    blocks: DataFrame,
+    scorer: Callable[[np.ndarray], np.ndarray],
+    series: list[str],
+    training_window: int,
+    n: int,
+    step: int,
+    stride: int = 1,
+    size: int = WINDOW_BLOCK,
 ) -> DataFrame:
     """``n`` recursive predictions per window: ``(area, window_id, horizon, ts, series, predicted)`` (M-10).
 
-    After each step the oldest row leaves the sample and the prediction joins it.
+    ``blocks`` come from ``sequence_blocks(..., prediction_window=1)``; windows are cut inside the task. After each
+    step the oldest row leaves the sample and the prediction joins it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k in range(0, len(batch), BATCH):
-                part = batch.iloc[k : k + BATCH]
-                for area, width in zip(part["area"], part["width"]):
-                    if width != len(series):
-                        raise ValueError(f"area {area} has {width} series, the scorer {len(series)}")
-                x = np.stack(part["cells"].to_numpy()).astype(float)
-                x = x.reshape(len(part), -1, len(series))
-                for h in range(n):
-                    out = scorer(x)
-                    x = np.concatenate([x[:, 1:], out[:, None, :]], axis=1)
-                    yield pd.DataFrame({
-                        "area": np.repeat(part["area"].to_numpy(), len(series)),
-                        "window_id": np.repeat(part["window_id"].to_numpy(), len(series)),
-                        "horizon": h + 1,
-                        "origin": np.repeat(part["origin"].to_numpy(), len(series)),
-                        "series": np.tile(series, len(part)),
-                        "predicted": out.ravel(),
-                    })
-
-    schema = "area string, window_id bigint, horizon int, origin timestamp_ntz, series string, predicted double"
-    source = cut.select(
-        "area", "window_id", F.size(F.col("sample")[0]).alias("width"), F.flatten("sample").alias("cells"),
-        F.col("target_ts")[0].alias("origin"),
-    )
-    ahead = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.col("horizon") - 1) * step).cast("decimal(18,6)"))
-    return source.mapInPandas(run, schema).select(
-        "area", "window_id", "horizon", (F.col("origin") + ahead).alias("ts"), "series", "predicted"
-    )
+            for row in batch.itertuples(index=False):
+                if row.width != len(series):
+                    raise ValueError(f"area {row.area} has {row.width} series, the scorer {len(series)}")
+                for x, _, at in block_windows(row, training_window, stride, size):
+                    for h in range(n):
+                        out = scorer(x)
+                        x = np.concatenate([x[:, 1:], out[:, None, :]], axis=1)
+                        yield pd.DataFrame({
+                            "area": row.area,
+                            "window_id": np.repeat((at - training_window - row.first) // stride, len(series)),
+                            "horizon": h + 1,
+                            "idx": np.repeat(at + h, len(series)),
+                            "series": np.tile(series, len(at)),
+                            "predicted": out.ravel(),
+                        })
+
+    schema = "area string, window_id bigint, horizon int, idx bigint, series string, predicted double"
+    scored = flat_blocks(blocks).mapInPandas(run, schema)
+    return scored.select("area", "window_id", "horizon", grid_time(F.col("idx"), step).alias("ts"), "series", "predicted")
 
 
 # ---------------------------------------------------------------- training
