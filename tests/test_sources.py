@@ -98,5 +98,21 @@ def test_owned_cuts_are_removed(spark):
     before = set(os.listdir(folder))
     with owned_cuts(spark):
         assert cut_lineage(spark.range(3)).count() == 3
-        assert set(os.listdir(folder)) - before
+        kept = cut_lineage(spark.range(4), owned=False)
+        assert len(set(os.listdir(folder)) - before) == 2
+    assert len(set(os.listdir(folder)) - before) == 1 and kept.count() == 4
+
+
+def test_residual_workflow_leaves_nothing(spark, readings):
+    import os
+    import urllib.parse
+
+    from wattframe.plans.residual import Preparation, prepared, residual_dataset
+    from wattframe.session import owned_cuts
+
+    folder = urllib.parse.urlparse(shared_folder(spark)).path
+    before = set(os.listdir(folder))
+    with owned_cuts(spark):
+        rows = prepared(readings([float(i % 24) for i in range(24 * 30)]), Preparation({}, {}, False, None, None))
+        assert residual_dataset(rows).where("residual = 0").count() > 0
     assert set(os.listdir(folder)) == before

@@ -46,16 +46,16 @@ def shared_folder(spark: SparkSession) -> str:
 _owned: list[list[str]] = []
 
 
-def cut_lineage(df: DataFrame, partition: str | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame, partition: str | None = None, owned: bool = True) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
     Unlike an eager ``checkpoint()`` the last stage runs only once, and later
     steps read just the columns they need and know the size of the table. With
     ``partition`` each value of that column gets a folder. Inside
-    :func:`owned_cuts` the table is removed at the end.
+    :func:`owned_cuts` the table is removed at the end, unless ``owned`` is false.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    if _owned:
+    if _owned and owned:
         _owned[-1].append(path)
     writer = df.write.partitionBy(partition) if partition else df.write
     writer.parquet(path)
