@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wattframe.llm import bpe, language, mixing, ngram_join, suffixes
 from wattframe.llm.common import table, word_count
 from wattframe.llm.parts import with_keys
-from wattframe.session import cut_lineage
+from wattframe.session import cut_lineage, owned_cuts
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -81,8 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage on all that the one before it kept; each result is written and read again."""
+    """Every stage on all that the one before it kept; each result is written and read again.
+
+    What a stage writes on its way is removed when its result is there.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        with owned_cuts(spark):
+            docs = cut_lineage(stage(spark, docs, sf_dir), owned=False)
     return docs
