@@ -40,11 +40,14 @@ def _hashes(texts: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def _pack(bucket: int, docs: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> tuple:
-    """Sorted hashes in 6 bytes each; the upper 2 bytes are counts per value, from ``first_top`` on."""
+    """Sorted hashes in 6 bytes each; the upper 2 bytes are counts per value, from ``first_top`` on.
+
+    Ids are kept as steps, which neighbouring ids make small and alike: the shuffle's compression then removes them.
+    """
     tops = (hashes >> np.uint64(48)).astype(np.int64)
     counts = np.bincount(tops - tops[0]).astype("<u4")
     low = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return bucket, docs.tobytes(), places.astype("<u2").tobytes(), counts.tobytes(), int(tops[0]), low.tobytes()
+    return bucket, np.diff(docs, prepend=0).astype("<i8").tobytes(), places.astype("<u2").tobytes(), counts.tobytes(), int(tops[0]), low.tobytes()
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +57,7 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     hashes[:, :6] = low
     counts = np.frombuffer(row["tops"], "<u4")
     tops = np.repeat(np.arange(row["first_top"], row["first_top"] + len(counts)), counts).astype(np.uint64)
-    ids = np.frombuffer(row["docs"], "<i8")[np.frombuffer(row["places"], "<u2")]
+    ids = np.cumsum(np.frombuffer(row["docs"], "<i8"))[np.frombuffer(row["places"], "<u2")]
     return hashes.view("<u8")[:, 0] | tops << np.uint64(48), ids
 
 
@@ -114,7 +117,7 @@ def _verdicts(docs: DataFrame, size: int, n_buckets: int, parts: int) -> DataFra
             least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.r_[first, len(ids)]))
             hashes, ids = hashes[ids > least], ids[ids > least]
         part = np.mod(ids, parts)
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((ids, part))
         part, hashes, ids = part[order], hashes[order], ids[order]
         cuts = np.r_[_groups(part), len(part)] if len(part) else np.zeros(1, int)
         pieces = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
