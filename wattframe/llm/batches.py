@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 #: Bytes of text that a task handles at a time, about.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 #: Between two word characters a single blank starts a new token: the pre-tokenizers used here join a blank to
 #: the word after it or drop it, and never join a word to the blank after it.

@@ -39,7 +39,7 @@ PER_CLASS = 8
 SMALL_ENTRY = 16
 BLOCK_ROWS = 512
 #: Shingles that a task compares at a time in step 1, and numbers it deals to a bucket, about.
-BATCH_SHINGLES = 2_000_000
+BATCH_SHINGLES = 1_000_000
 BUCKET_SHINGLES = 1_000_000
 
 
@@ -224,16 +224,12 @@ def _index(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
             lists = batch.column("found")
             starts, flat = lists.offsets.to_numpy(), lists.values
             counts, shingles = flat.field("count").to_numpy(), flat.field("shingle").to_numpy().view("<u8")
-            owners, found = [], []
             for i, (cid, n) in enumerate(zip(batch.column("cid").to_pylist(), batch.column("n").to_pylist())):
                 part = slice(starts[i], starts[i + 1])
                 order = np.lexsort((shingles[part], counts[part]))
-                made = prefix_entries(n, counts[part][order], shingles[part][order], share)
-                found += made
-                owners += [(cid, n)] * len(made)
-            hashes = mixed(np.array(found, np.uint64)).view("<i8")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes, pa.int64()), *(pa.array([o[j] for o in owners], pa.int64()) for j in (0, 1))], ["entry", "cid", "n"])
+                found = np.array(prefix_entries(n, counts[part][order], shingles[part][order], share), np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mixed(found).view("<i8")), *(pa.array(np.full(len(found), x, "<i8")) for x in (cid, n))], ["entry", "cid", "n"])
 
     rows = sets.select("cid", "shingles").mapInArrow(spread, "shingle bigint, cid bigint")
     counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("count")).where("count > 1")

@@ -34,7 +34,7 @@ LENGTH = 400
 #: Bytes of a gram, at most; a quarter of the window in short ones.
 GRAM = 64
 #: Positions hashed at a time; below 2 ** 24, as a position shares a number with 40 bits of hash.
-SPAN = 1 << 21
+SPAN = 1 << 20
 #: Segments of a gram that a task holds.
 GROUP_SEGMENTS = 100_000
 #: Bytes compared at a time by the sort.
@@ -55,7 +55,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     np.add.at(valid, starts[some], 1)
     np.add.at(valid, ends[some], -1)
     valid = np.cumsum(valid)[:-1] > 0
-    up, down = powers(SPAN + length)
+    up, down = powers(min(SPAN, len(data)) + length)
     out = []
     for low in range(0, len(data), SPAN):
         part = data[low : low + SPAN + length - 1]

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes whose powers are kept at hand; longer columns are hashed in spans of about this size.
-SPAN = 1 << 21
+SPAN = 1 << 19
 #: Words of more bytes are hashed by BLAKE2b: a polynomial modulo 2^64 is weak on long regular strings.
 LONG_WORD = 256
 
