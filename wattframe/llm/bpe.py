@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import safe_parts, slices
+from .batches import bounded, safe_parts, slices
 
 #: Pieces a worker remembers; beyond that it starts anew.
 CACHE_PIECES = 400_000
@@ -140,7 +140,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
@@ -156,5 +156,5 @@ def decode(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids
                     [part.column("id"), part.column("ids"), pa.array(data, pa.binary())], ["id", "ids", "data"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    rows = rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    rows = bounded(rows).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, f"id {kind}, ids binary, data binary").withColumnRenamed("id", id_col)

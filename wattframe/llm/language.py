@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .batches import slices
+from .batches import bounded, slices
 from .words import column_bytes
 
 #: The model is fitted on so many labelled texts of each language at most, those with the smallest hashed ids.
@@ -73,7 +73,7 @@ def fit(labelled: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, id_col: str
     """
     from pyspark.sql import Window
 
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    known = bounded(labelled).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     place = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
     chosen = known.select(id_col, lang_col).withColumn("_place", place).where(F.col("_place") <= per_language)
     chosen = chosen.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).distinct()
@@ -103,7 +103,7 @@ def fit(labelled: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, id_col: str
 
 def _text_scores(rows: DataFrame, model: Model) -> DataFrame:
     """``key, declared, suffix, domain, host, n_features, scores``; scores of the languages, then of none of them."""
-    shared = rows.sparkSession.sparkContext.broadcast(model.scores)  # FEATURES numbers for each language
+    shared = bounded(rows).sparkSession.sparkContext.broadcast(model.scores)  # FEATURES numbers for each language
     flat = round(math.log(1 / FEATURES) / UNIT)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

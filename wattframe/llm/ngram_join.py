@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .batches import slices
+from .batches import bounded, slices
 from .components import components
 from .parts import with_keys
 from .words import mixed, windows, words
@@ -365,7 +365,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
     Rows with equal sets are linked; repeated rows stay repeated; a row without an id takes part, and a group of
     such rows only has no ``component_id``. An empty table gives no rows; other columns are left out.
     """
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     classes = cut_lineage(_classes(rows, size))
     one = classes.where("n > 0").groupBy("class", "owner").agg(F.min("key").alias("key"), F.max("n").alias("n"))
     total = classes.agg(F.sum("n")).first()[0] or 0

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import slices
+from .batches import bounded, slices
 from .parts import n_parts, part_of, text_bytes
 from .words import windows, words
 
@@ -138,7 +138,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     words; one with fewer than ``size`` keeps them all. An empty table gives no rows; other columns are left out.
     """
     ids = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
-    rows = docs.select(ids.alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(ids.alias("id"), F.col(text_col).cast("string").alias("text"))
     total = text_bytes(rows)
     parts = n_parts(total)
     verdicts = _verdicts(rows, size, total // 6 // BUCKET_WINDOWS + 1, parts)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ..session import cut_lineage
-from .batches import slices
+from .batches import bounded, slices
 from .ngram_join import row_key
 from .parts import n_parts, part_of, repeated_keys, text_bytes
 from .words import _value, column_bytes, mixed, powers
@@ -295,7 +295,7 @@ def remove_repeats(
     along in the struct ``carried``; others are left out. A task holds ``group_segments`` segments of a gram at most.
     """
     carried = F.struct(F.lit(True).alias("_row"), *(F.col(c) for c in carry)).alias("carried")
-    every = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"),
+    every = bounded(docs).select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), carried)
     rows = every.drop("carried")
     parts = n_parts(text_bytes(rows))
