@@ -63,6 +63,17 @@ def test_words_of_earlier_documents(spark, monkeypatch):
     assert substring.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_batches_judged_apart(spark, monkeypatch):
+    """Windows judged inside a batch don't meet those of other batches, whatever their tasks."""
+    monkeypatch.setattr(substring, "BATCH_WINDOWS", 200)
+    rows = [(i, " ".join(prose(random.Random(i % 2), 40))) for i in range(90)]
+    docs = frame(spark, rows).repartition(6)
+    packed = substring._packed(docs.selectExpr("doc_id AS id", "text"), 13, 3)
+    assert packed.where("bucket < 0").count() > 6
+    assert packed.where("bucket < 0").groupBy("bucket").count().where("count > 1").count() == 0
+    assert sorted(map(tuple, substring.remove_repeats(docs).collect()), key=str) == without_repeated_words(rows, 13)
+
+
 def without_repeated_bytes(rows, length):
     count = collections.Counter()
     data = [(t or "").encode() for _, t in rows]

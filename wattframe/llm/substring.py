@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import bounded, slices
@@ -65,11 +66,11 @@ def _groups(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
 
 
-def _verdicts(docs: DataFrame, size: int, n_buckets: int, parts: int) -> DataFrame:
-    """``part, ids, hashes``: packed pairs of a document's id and a window hash that a document before it has."""
+def _packed(docs: DataFrame, size: int, n_buckets: int) -> DataFrame:
+    """Windows of a batch per bucket; those judged inside the batch under a negative number that no other batch has."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lists, held, turn = [], [], 0, 0
+        ids, lists, held, turn = [], [], 0, TaskContext.get().partitionId() << 32
 
         def send() -> Iterator[pa.RecordBatch]:
             docs, places = np.unique(np.array(ids, "<i8"), return_inverse=True)
@@ -81,7 +82,7 @@ def _verdicts(docs: DataFrame, size: int, n_buckets: int, parts: int) -> DataFra
             later = places > np.repeat(places[first], np.diff(np.r_[first, len(hashes)]))
             rows = []
             if later.any():  # judged here already; passed on by a bucket
-                rows.append(_pack(-1 - turn % n_buckets, docs, hashes[later], places[later]))
+                rows.append(_pack(-1 - turn, docs, hashes[later], places[later]))
             hashes, places = hashes[first], places[first]
             bucket = ((hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
             cuts = np.r_[_groups(bucket), len(bucket)]
@@ -107,6 +108,12 @@ def _verdicts(docs: DataFrame, size: int, n_buckets: int, parts: int) -> DataFra
         if lists:
             yield from send()
 
+    return docs.select("id", "text").mapInArrow(pack, PACKED)
+
+
+def _verdicts(docs: DataFrame, size: int, n_buckets: int, parts: int) -> DataFrame:
+    """``part, ids, hashes``: packed pairs of a document's id and a window hash that a document before it has."""
+
     def judge(key: tuple, bucket: pa.Table) -> pa.Table:
         unpacked = [_unpack(row) for row in bucket.to_pylist()]
         hashes, ids = (np.concatenate(x) for x in zip(*unpacked))
@@ -125,8 +132,7 @@ def _verdicts(docs: DataFrame, size: int, n_buckets: int, parts: int) -> DataFra
                          "ids": pa.array([ids[p].astype("<i8").tobytes() for p in pieces], pa.binary()),
                          "hashes": pa.array([hashes[p].astype("<u8").tobytes() for p in pieces], pa.binary())})
 
-    packed = docs.select("id", "text").mapInArrow(pack, PACKED)
-    return packed.groupBy("bucket").applyInArrow(judge, "part int, ids binary, hashes binary")
+    return _packed(docs, size, n_buckets).groupBy("bucket").applyInArrow(judge, "part int, ids binary, hashes binary")
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
