@@ -90,6 +90,26 @@ def test_blocks(spark, monkeypatch):
     assert found(spark, rows, size=4, share=(85, 100)) == expected(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("small_entry", [2, 16])
+def test_every_link(spark, monkeypatch, small_entry):
+    """All links between rows, also those of classes that others have joined."""
+    monkeypatch.setattr(ngram_join, "SMALL_ENTRY", small_entry)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 64)
+    rng = random.Random(11)
+    plain = texts("group", rng)
+    rows = [(i, t) for i, t in enumerate(plain + plain[:30] + texts("chain", rng) + ["", None])]
+    sets = sets_of(rows, 4)
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= 85 * len(a | b)}
+    members, pairs = ngram_join.links(spark.createDataFrame(rows, "doc_id int, text string"), 4, (85, 100))
+    members, pairs = members.collect(), [(r["class"], r.other) for r in pairs.collect()]
+    assert len(members) == len(rows) and len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs)
+    kind = {r.doc_id: r["class"] for r in members}
+    known = set(pairs)
+    got = {(i, j) for i in kind for j in range(i) if kind[i] and kind[j] and (kind[i] == kind[j] or (min(kind[i], kind[j]), max(kind[i], kind[j])) in known)}
+    assert got == want
+    assert {r.doc_id: r.n_links for r in members} == {i: sum(i in x for x in want) for i in kind}
+
+
 def test_odd_rows(spark):
     long = "one two three four five six seven eight nine ten"
     rows = [(9, None), (8, ""), (7, " \n\t"), (8, ""), (5, long), (5, long), (4, long.upper()), (None, long), (None, "x y"), (None, None),

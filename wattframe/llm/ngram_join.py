@@ -11,7 +11,10 @@ The tokens of a document are its distinct word shingles. Documents with equal se
 3. Each index entry ties its classes to one of them, chosen at random per entry; these pairs are verified.
    Entries whose classes are not yet in one component have all their other pairs verified: as pairs in small
    entries, as blocks of classes against blocks in large ones. So a group of thousands of near copies is found
-   with few comparisons, and no link between different texts is lost.
+   with few comparisons.
+
+``near_duplicates`` gives groups only: links inside a group that is already joined are neither verified nor returned.
+``links`` verifies every pair of classes that share an entry, gives all links and counts them for each row.
 """
 
 from __future__ import annotations
@@ -267,8 +270,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _block_links(entries: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Links between different components among the classes of large entries ``entry, cid, component``.
+def _block_links(entries: DataFrame, sets: DataFrame, share: tuple[int, int], every: bool = False) -> DataFrame:
+    """Links between different components among the classes of large entries ``entry, cid, component``; or all links.
 
     Classes are put into blocks by their least entry, so that those of a group stand together. Two blocks that
     an entry has in common are compared, every class of one with every class of the other.
@@ -296,6 +299,7 @@ def _block_links(entries: DataFrame, sets: DataFrame, share: tuple[int, int]) ->
             return x
 
         if sets_a and sets_b:
+            same = a["block"][0] == a["other"][0]
             hashes, owner = np.concatenate(sets_b), np.repeat(np.arange(len(sets_b)), [len(s) for s in sets_b])
             order = np.argsort(hashes, kind="stable")
             hashes, owner = hashes[order], owner[order]
@@ -306,6 +310,10 @@ def _block_links(entries: DataFrame, sets: DataFrame, share: tuple[int, int]) ->
                 places = np.arange(n.sum()) + np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n)
                 both = np.bincount(owner[places], minlength=len(sizes))
                 for j in np.flatnonzero(den * both >= num * (len(s) + sizes - both)).tolist():
+                    if every:
+                        if not same or a["cid"][i] < b["cid"][j]:
+                            out.append((a["cid"][i], b["cid"][j]))
+                        continue
                     x, y = top(a["component"][i]), top(b["component"][j])
                     if x != y:
                         root[max(x, y)] = min(x, y)
@@ -353,18 +361,21 @@ def _links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     return first.unionByName(rest).unionByName(_block_links(many.select("entry", "cid", "component"), sets, share))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row_key, <id>, n_shingles, component, component_id`` for each row.
+def _every_link(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """All links ``a, b`` between classes, each once, ``a`` below ``b``."""
+    index = cut_lineage(_index(sets, share).distinct())
+    full = index.groupBy("entry").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = cut_lineage(index.join(full, "entry"))
+    few, many = rows.where(F.col("size") <= SMALL_ENTRY), rows.where(F.col("size") > SMALL_ENTRY)
+    others = few.select("entry", F.col("cid").alias("b"), F.col("n").alias("m"))
+    pairs = few.join(others, "entry").where((F.col("cid") < F.col("b")) & _near_size(share))
+    found = _verified(pairs.select(F.col("cid").alias("a"), "b").distinct(), sets, share)
+    blocks = _block_links(many.select("entry", "cid", F.col("cid").alias("component")), sets, share, every=True)
+    return found.unionByName(blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    Words are runs of bytes without ASCII blanks, with A-Z in lower case; a set holds the distinct shingles of
-    ``size`` words (all words, if fewer). Rows are linked when their sets' intersection is ``share`` (a fraction)
-    of their union or more. ``component`` names the group of rows that links join, ``component_id`` is the smallest
-    id in it, and ``row_key`` is a hash of id and text, to find the row again.
 
-    A text that is null or without words has no shingles, is linked with nothing and has a null ``component``.
-    Rows with equal sets are linked; repeated rows stay repeated; a row without an id takes part, and a group of
-    such rows only has no ``component_id``. An empty table gives no rows; other columns are left out.
-    """
+def _classes_and_sets(docs: DataFrame, size: int, share: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The class of each row, and the sets of the classes that may have links to others."""
     rows = bounded(docs).select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     classes = cut_lineage(_classes(rows, size))
     one = classes.where("n > 0").groupBy("class", "owner").agg(F.min("key").alias("key"), F.max("n").alias("n"))
@@ -375,7 +386,46 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
     kept = one.join(own, "owner", "left").where(F.coalesce("n_own", F.lit(0)) <= can_miss)
     keys = cut_lineage(kept.select("key").distinct())
     texts = with_keys(rows, keys, "left_semi", "key")
-    sets = cut_lineage(_sets(texts, size).withColumn("cid", F.monotonically_increasing_id()))
+    return classes, cut_lineage(_sets(texts, size).withColumn("cid", F.monotonically_increasing_id()))
+
+
+def links(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id",
+          text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: ``row_key, <id>, n_shingles, class, n_links`` for each row, and pairs ``class, other`` of linked classes.
+
+    Sets and links are those of ``near_duplicates``. Rows with equal sets have the same ``class`` and are linked; two
+    rows of different classes are linked if the pair of their classes is given, once, the smaller one first.
+    ``n_links`` counts the other rows that a row is linked with. A row without shingles has a null class and no link.
+    """
+    classes, sets = _classes_and_sets(docs, size, share, id_col, text_col)
+    found = _every_link(sets, share)
+    for side, name in (("a", "_a"), ("b", "_b")):
+        found = found.join(sets.select(F.col("cid").alias(side), F.col("class").alias(name)), side)
+    pairs = cut_lineage(found.select(F.least("_a", "_b").alias("class"), F.greatest("_a", "_b").alias("other")))
+    rows_of = classes.where("class IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("_rows"))
+    both = pairs.unionByName(pairs.select(F.col("other").alias("class"), F.col("class").alias("other")))
+    outside = both.join(rows_of.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("_rows").alias("_outside"))
+    counts = rows_of.join(outside, "class", "left").select(
+        "class", (F.col("_rows") - 1 + F.coalesce("_outside", F.lit(0))).alias("n_links"))
+    members = classes.join(counts, "class", "left").select(
+        F.col("key").alias("row_key"), F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class",
+        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members, pairs
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row_key, <id>, n_shingles, component, component_id`` for each row.
+
+    Words are runs of bytes without ASCII blanks, with A-Z in lower case; a set holds the distinct shingles of
+    ``size`` words (all words, if fewer). Rows are linked when their sets' intersection is ``share`` (a fraction)
+    of their union or more. ``component`` names the group of rows that links join, ``component_id`` is the smallest
+    id in it, and ``row_key`` is a hash of id and text, to find the row again. ``links`` gives the links themselves.
+
+    A text that is null or without words has no shingles, is linked with nothing and has a null ``component``.
+    Rows with equal sets are linked; repeated rows stay repeated; a row without an id takes part, and a group of
+    such rows only has no ``component_id``. An empty table gives no rows; other columns are left out.
+    """
+    classes, sets = _classes_and_sets(docs, size, share, id_col, text_col)
     found = components(_links(sets, share)).withColumnRenamed("node", "cid")
     named = sets.join(found, "cid").select("class", F.col("component").alias("_c"))
     firsts = named.groupBy("_c").agg(F.min("class").alias("component"))
