@@ -110,6 +110,18 @@ def test_every_link(spark, monkeypatch, small_entry):
     assert {r.doc_id: r.n_links for r in members} == {i: sum(i in x for x in want) for i in kind}
 
 
+def test_share_below_half(spark):
+    """Sets of 128 and 64 shingles, one inside the other, share a band."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(131)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[20:87]))]
+    assert found(spark, rows, size=4, share=(40, 100)) == expected(rows, 4, 40, 100) == [(1, 128, 1), (2, 64, 1)]
+    for share in ((1, 2), (80, 100), (85, 100)):
+        for n in range(1, 3000):
+            low = -(-share[0] * n // share[1])
+            assert ngram_join._bands(n, share) == {low.bit_length() - 1, n.bit_length() - 1}
+
+
 def test_odd_rows(spark):
     long = "one two three four five six seven eight nine ten"
     rows = [(9, None), (8, ""), (7, " \n\t"), (8, ""), (5, long), (5, long), (4, long.upper()), (None, long), (None, "x y"), (None, None),

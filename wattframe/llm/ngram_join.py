@@ -185,9 +185,9 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _bands(n: int, share: tuple[int, int]) -> set[int]:
-    """Powers of two at or below a set's own size and the size of its smallest possible partner."""
+    """Powers of two from the one at or below the size of a set's smallest possible partner to that of its own size."""
     num, den = share
-    return {n.bit_length() - 1, (-(-num * n // den)).bit_length() - 1}
+    return set(range((-(-num * n // den)).bit_length() - 1, n.bit_length()))
 
 
 def prefix_entries(n: int, counts: np.ndarray, shingles: np.ndarray, share: tuple[int, int]) -> list[int]:
