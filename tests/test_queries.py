@@ -52,3 +52,8 @@ def test_same_as_sql(spark, tables, name):
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - set(all_oracles())))
 def test_runs(spark, name):
     assert all_queries()[name](spark, SF).count() > 0
+
+
+def test_every_series_has_a_line(spark):
+    got = all_queries()["m12_line_per_series"](spark, SF)
+    assert {r.series for r in got.select("series").distinct().collect()} == {r.event_type for r in spark.read.parquet(f"{SF}/events.parquet").select("event_type").distinct().collect()}

@@ -290,6 +290,13 @@ FROM scored WHERE pos < floor(n * 0.6)"""
         "x AS (SELECT *, lag(y) OVER w AS x, row_number() OVER w AS pos FROM v WINDOW w AS (PARTITION BY area ORDER BY ts))",
         "b AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM x)",
     ) + f"SELECT area, ts, series, {r6('y')} AS value, {r6('b0 + b1 * x')} AS predicted FROM x, b WHERE pos > 1"
+    lines = _with(
+        SCALED, "v AS (SELECT area, ts, series, CAST(CAST(value AS FLOAT) AS DOUBLE) AS y FROM s)",
+        "x AS (SELECT *, lag(y) OVER w AS x, row_number() OVER w AS pos FROM v WINDOW w AS (PARTITION BY area, series ORDER BY ts))",
+        "b AS (SELECT series, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM x GROUP BY series)",
+    )
+    out["m12_line_per_series"] = lines + f"""SELECT area, ts, series, {r6('y')} AS value, {r6('b0 + b1 * x')} AS predicted
+FROM x JOIN b USING (series) WHERE pos > 1"""
     w = _weights()
     flat = {n: [c for row in v for c in (row if isinstance(row, list) else [row])] for n, v in w.items()}
     rows = ", ".join(f"('{n}', {i}, {c!r})" for n, cells in flat.items() for i, c in enumerate(cells))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -689,6 +690,20 @@ def m12_one_lag(spark, sf):
     return _rounded(network.next_step_forecast(blocks, regressor.linear_scorer(beta), ["view"], 1, HOUR, size=256), "value", "predicted")
 
 
+def _lines(rows):
+    """Windows and line of each series: its value as a line of the one an hour before."""
+    for name in windows.feature_names(rows):
+        blocks = cut_lineage(windows.sequence_blocks(rows.where(F.col("series") == name), 1, 1, HOUR, 256))
+        yield name, blocks, regressor.fit_window_regressor(blocks, 1, 1, size=256, on_null="drop")
+
+
+def m12_line_per_series(spark, sf):
+    """Every series scored by a line of its own, none left out."""
+    scored = [network.next_step_forecast(blocks, regressor.linear_scorer(beta), [name], 1, HOUR, size=256)
+              for name, blocks, beta in _lines(_scaled(spark, sf))]
+    return _rounded(reduce(DataFrame.unionByName, scored), "value", "predicted")
+
+
 def m13_first_loss(spark, sf):
     """Loss of the first epoch, which fixed weights give before any step."""
     rows = windows.chronological_split(_scaled(spark, sf), step=HOUR)
@@ -724,7 +739,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         m02_seasonal_order, m04_cross_products, m04_fit, m05_refit, m06_update, m07_forecast, m08_fitted,
         m09_network_scores, m10_n_steps, m11_next_step_errors, m12_regression, m13_training, s04_models, s05_weights,
         m04_lag_model, m05_lag_refit, m06_lag_update, m07_lag_forecast, m08_lag_fitted, s04_stored_models,
-        m09_cell, m10_two_steps, m11_cell_errors, m12_one_lag, m13_first_loss, s05_stored_weights,
+        m09_cell, m10_two_steps, m11_cell_errors, m12_one_lag, m12_line_per_series, m13_first_loss, s05_stored_weights,
         w02_date_of_areas, m01_differencing,
     ]
     return {f.__name__: f for f in named}
