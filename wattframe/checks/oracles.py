@@ -295,6 +295,8 @@ FROM scored WHERE pos < floor(n * 0.6)"""
         "x AS (SELECT *, lag(y) OVER w AS x, row_number() OVER w AS pos FROM v WINDOW w AS (PARTITION BY area, series ORDER BY ts))",
         "b AS (SELECT series, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM x GROUP BY series)",
     )
+    out["s05_stored_lines"] = lines + "\nUNION ALL\n".join(
+        f"SELECT 'lines' AS run_id, series AS name, CAST({i} AS INTEGER) AS pos, {r6(f'b{i}')} AS value FROM b" for i in (0, 1))
     out["m12_line_per_series"] = lines + f"""SELECT area, ts, series, {r6('y')} AS value, {r6('b0 + b1 * x')} AS predicted
 FROM x JOIN b USING (series) WHERE pos > 1"""
     w = _weights()

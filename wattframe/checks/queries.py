@@ -722,6 +722,14 @@ def s05_stored_weights(spark, sf):
     return _rounded(spark.read.parquet(path).select("run_id", "name", F.posexplode("values").alias("pos", "value")), "value")
 
 
+def s05_stored_lines(spark, sf):
+    """Coefficients of each series' line, which the table determines, written and read back as weights."""
+    weights = {name: beta for name, _, beta in _lines(_scaled(spark, sf))}
+    path = f"{shared_folder(spark)}/{results.run_name('weights')}"
+    results.save_weights(network.weights_table(spark, weights, "lines"), path)
+    return _rounded(spark.read.parquet(path).select("run_id", "name", F.posexplode("values").alias("pos", "value")), "value")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         s01_range, s02_platform, s03_results,
@@ -739,7 +747,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         m02_seasonal_order, m04_cross_products, m04_fit, m05_refit, m06_update, m07_forecast, m08_fitted,
         m09_network_scores, m10_n_steps, m11_next_step_errors, m12_regression, m13_training, s04_models, s05_weights,
         m04_lag_model, m05_lag_refit, m06_lag_update, m07_lag_forecast, m08_lag_fitted, s04_stored_models,
-        m09_cell, m10_two_steps, m11_cell_errors, m12_one_lag, m12_line_per_series, m13_first_loss, s05_stored_weights,
+        m09_cell, m10_two_steps, m11_cell_errors, m12_one_lag, m12_line_per_series, m13_first_loss, s05_stored_weights, s05_stored_lines,
         w02_date_of_areas, m01_differencing,
     ]
     return {f.__name__: f for f in named}
