@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licenses
+
 OP1 = """
 WITH v AS (
   SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
@@ -71,5 +73,33 @@ SELECT doc_id, size, source_size, target, CAST(copies AS INTEGER) AS copies, CAS
 """
 
 
+def op11() -> str:
+    """Every phrase at every word, every template against every block."""
+    step = licenses.stride(licenses.TEMPLATES)
+    phrases = ", ".join(f"('{label}', {licenses.split(text)})" for label, text in licenses.PHRASES)
+    sets = [(label, sorted(set(licenses.split(text)))) for label, text in licenses.TEMPLATES]
+    templates = ", ".join(f"('{label}', {words}, {licenses.needed(len(words), licenses.SHARE)})" for label, words in sets)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORD}') AS w FROM documents),
+phrases(label, p) AS (VALUES {phrases}),
+templates(label, t, least) AS (VALUES {templates}),
+x AS (SELECT r, label, i - 1 AS pos FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d), phrases
+  WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+b AS (SELECT r, list_distinct(w[i * {step} + 1:(i + 2) * {step}]) AS b
+  FROM (SELECT r, w, unnest(range(0, (len(w) + {step} - 1) // {step})) AS i FROM d)),
+y AS (SELECT r, label, len(list_intersect(b, t)) AS n, len(t) AS size FROM b, templates WHERE len(list_intersect(b, t)) >= least),
+p AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM x GROUP BY r),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM x UNION SELECT r, label FROM y) GROUP BY r),
+s AS (SELECT r, max(n / size) AS score FROM y GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN p USING (r) LEFT JOIN l USING (r) LEFT JOIN s USING (r)
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op1_topk": OP1, "op4_ngram_join": OP4, "op6_substring": OP6, "op8_mixing": OP8}
+    return {"op1_topk": OP1, "op4_ngram_join": OP4, "op6_substring": OP6, "op8_mixing": OP8, "op11_licenses": op11()}

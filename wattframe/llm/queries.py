@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, language, mixing, ngram_join, sharding, substring, suffixes, token_counts, topk
+from . import ann, bpe, language, licenses, mixing, ngram_join, sharding, substring, suffixes, token_counts, topk
 from .common import table, word_count
 
 
@@ -91,5 +91,19 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Phrases of licenses in every document, and the labels of license notices that its blocks resemble."""
+    rows = licenses.scan(table(spark, folder, "documents"))
+    base = F.array_sort(F.array_distinct(F.col("places.label")))
+    labels = F.array_sort(F.array_distinct(F.concat("places.label", "blocks.label")))
+    share = F.array_max(F.transform("blocks", lambda b: b["shared"] / b["size"]))
+    return rows.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"),
+        F.array_min("places.first_word").alias("first_word"), F.array_max("places.first_word").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(share, F.lit(0.0))).alias("score"),
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
