@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, language, licenses, mixing, ngram_join, sharding, substring, suffixes, token_counts, topk
+from . import ann, bpe, language, licenses, mixing, ngram_join, repair, sharding, substring, suffixes, token_counts, topk
 from .common import table, word_count
 
 
@@ -105,5 +105,10 @@ def op11_licenses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after some of its turns were damaged."""
+    return repair.repair(repair.damage(table(spark, folder, "conversations")))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
