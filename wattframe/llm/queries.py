@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, language, licenses, mixing, ngram_join, repair, sharding, substring, suffixes, token_counts, topk
+from . import ann, bpe, language, licenses, mixing, ngram_join, repair, sharding, substring, suffixes, token_counts, topk, trie
 from .common import table, word_count
 
 
@@ -110,5 +110,10 @@ def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, folder, "conversations")))
 
 
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every beginning that conversations share once they were rebuilt from the first of twenty."""
+    return trie.trie(*trie.rebuilt(table(spark, folder, "conversations"))).drop("said")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
