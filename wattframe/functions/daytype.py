@@ -1,12 +1,15 @@
 """Day types and public holidays as column expressions.
 
 The holiday test is arithmetic on the date, so classifying a frame needs
-neither a join nor a shuffle. Any other country works through a holiday table
+neither a join nor a shuffle; intermediate values are bound, so that the
+expression stays small. Any other country works through a holiday table
 ``holidays(country, date, name)``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WEEKDAY, SATURDAY, SUNDAY_OR_HOLIDAY = 0, 1, 2
@@ -42,18 +45,30 @@ def _whole(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once and written once in the plan, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def easter_sunday(year: Column) -> Column:
     """Easter Sunday of any year of the Gregorian calendar, by Gauss's rule with its century terms; earlier years raise."""
-    message = F.concat(F.lit(f"no Easter rule before {FIRST_YEAR}: "), year.cast("string"))
-    year = F.when(year >= FIRST_YEAR, year).when(year.isNotNull(), F.raise_error(message).cast("int")).cast("bigint")
-    century, golden = _whole(year, 100), year % 19
-    moon = (15 + century - _whole(century, 4) - _whole(13 + 8 * century, 25)) % 30
-    sun = (4 + century - _whole(century, 4)) % 7
-    d = (19 * golden + moon) % 30
-    e = (2 * (year % 4) + 4 * (year % 7) + 6 * d + sun) % 7
-    late = (e == 6) & ((d == 29) | ((d == 28) & (golden > 10)))
-    days = d + e - F.when(late, 7).otherwise(0)
-    return F.date_add(F.make_date(year.cast("int"), F.lit(3), F.lit(22)), days.cast("int"))
+
+    def checked(year: Column) -> Column:
+        message = F.concat(F.lit(f"no Easter rule before {FIRST_YEAR}: "), year.cast("string"))
+        return F.when(year >= FIRST_YEAR, year).when(year.isNotNull(), F.raise_error(message).cast("bigint"))
+
+    def with_century(year: Column, century: Column) -> Column:
+        leap = century - _whole(century, 4)
+        moon = (15 + leap - _whole(13 + 8 * century, 25)) % 30
+        return _bound((19 * (year % 19) + moon) % 30, lambda d: _bound(
+            (2 * (year % 4) + 4 * (year % 7) + 6 * d + (4 + leap) % 7) % 7, lambda e: day(year, d, e)))
+
+    def day(year: Column, d: Column, e: Column) -> Column:
+        late = (e == 6) & ((d == 29) | ((d == 28) & (year % 19 > 10)))
+        days = d + e - F.when(late, 7).otherwise(0)
+        return F.date_add(F.make_date(year.cast("int"), F.lit(3), F.lit(22)), days.cast("int"))
+
+    return _bound(_bound(year.cast("bigint"), checked), lambda y: _bound(_whole(y, 100), lambda c: with_century(y, c)))
 
 
 def _check_country(country: str) -> None:

@@ -37,7 +37,11 @@ MODEL_SCHEMA = (
 
 @dataclass(frozen=True)
 class Search:
-    """Ranges of the orders to try, and the grid they live on."""
+    """Ranges of the orders to try, and the grid they live on.
+
+    ``product`` multiplies the ordinary and the seasonal polynomial (see ``operators.seasonal``), which adds the
+    lags between them; otherwise their lags stand side by side.
+    """
 
     m: int = 24
     step: int = 3_600
@@ -53,12 +57,13 @@ class Search:
     max_sd: int = 1
     long_lags: int | None = None
     block: int = BLOCK_ROWS
+    product: bool = False
 
     def ar_lags(self) -> list[int]:
-        return lag_set(self.max_p, self.max_sp, self.m)
+        return lag_set(self.max_p, self.max_sp, self.m, self.product)
 
     def ma_lags(self) -> list[int]:
-        return lag_set(self.max_q, self.max_sq, self.m)
+        return lag_set(self.max_q, self.max_sq, self.m, self.product)
 
     def long_order(self) -> int:
         """Lags of the first-stage autoregression; by default it covers every lag of the second stage."""
@@ -79,8 +84,9 @@ class Search:
         )
 
 
-def lag_set(order: int, seasonal: int, m: int) -> list[int]:
-    return sorted({*range(1, order + 1), *(m * k for k in range(1, seasonal + 1))})
+def lag_set(order: int, seasonal: int, m: int, product: bool = False) -> list[int]:
+    own, seasons = range(1, order + 1), [m * k for k in range(1, seasonal + 1)]
+    return sorted({*own, *seasons, *(i + s for i in own for s in seasons if product)})
 
 
 # ---------------------------------------------------------------- numpy helpers inside tasks

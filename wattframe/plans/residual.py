@@ -55,10 +55,9 @@ def residual_dataset(
     """
     scaler = scale.fit_scaler(rows) if scaler is None else scaler
     profiled = profile.residuals(profile.profiles(rows, lookback, step, country, holidays, on_partial))
-    low, high = scale._bounds(scaler)
-    width = F.when(high == low, F.lit(1.0)).otherwise(high - low)
-    return profiled.withColumns({
-        "scaled": (F.col("value") - low) / width,
-        "scaled_pslp": (F.col("pslp") - low) / width,
-        "scaled_residual": F.col("residual") / width,
-    })
+    rows = scale.with_scale(profiled, scaler)
+    return rows.withColumns({
+        "scaled": (F.col("value") - F.col("_low")) / F.col("_width"),
+        "scaled_pslp": (F.col("pslp") - F.col("_low")) / F.col("_width"),
+        "scaled_residual": F.col("residual") / F.col("_width"),
+    }).drop("_low", "_width")
