@@ -262,3 +262,39 @@ def test_forecast_refuses_gaps_and_missing_data(readings):
         lagmodel.forecast(gap, models, at(300), at(303), SMALL).collect()
     with pytest.raises(Exception, match="no data for the model of a/x"):
         lagmodel.forecast(df.where("series = 'other'"), models, at(300), at(303), SMALL).collect()
+
+
+def test_stationarity_plan_is_the_same_for_any_length(readings):
+    """No job runs for it, and the truncation is no part of it."""
+    plans = []
+    for n in (60, 3000):
+        rows = lags.indexed(readings(np.arange(n) % 7.0), 3600).withColumnRenamed("value", "x")
+        plans.append(lags.kpss(rows, None, ["area", "series"], 500)._jdf.queryExecution().optimizedPlan().toString())
+    assert len(plans[0].splitlines()) == len(plans[1].splitlines()) < 60 and len(plans[1]) < 12_000
+
+
+@pytest.mark.parametrize("size", [5, 64])
+def test_kpss_with_gaps_and_more_lags_than_a_block(readings, size):
+    """A missing step counts as zero; a block may be shorter than the halo."""
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=200).cumsum()
+    gone = rng.random(200) < 0.3
+    e = np.where(gone, 0, x - x[~gone].mean())
+    s = e.cumsum()[~gone]
+    n = len(s)
+    v = (e @ e + 2 * sum((1 - j / 10) * (e[j:] @ e[:-j]) for j in range(1, 10))) / n
+    rows = lags.indexed(readings([None if g else v for g, v in zip(gone, x)]), 3600).withColumnRenamed("value", "x").where("x is not null")
+    got = lags.kpss(rows, 9, ["area", "series"], size).first()
+    assert got.n == n and got.kpss == pytest.approx(s @ s / n**2 / v, rel=1e-9)
+
+
+def test_product_models_are_the_plan_s_default(readings, tmp_path):
+    path = str(tmp_path / "models")
+    y = seasonal(420, 8)
+    search = Search(m=6, long_lags=14, block=64, product=True, max_p=1, max_q=1, max_sp=1, max_sq=1)
+    new = sarima.fit(readings(y[:300]), search, save_to=path).first()
+    assert list(new.ar_lags) == [1, 6, 7] and len(new.seasonal_ma_factor) == 1
+    updated = sarima.fit(readings(y), search, update_level=0, checkpoint=path).first()
+    refitted = sarima.fit(readings(y), search, update_level=1, checkpoint=path).first()
+    assert updated.n == refitted.n and updated.sigma2 == pytest.approx(refitted.sigma2, rel=1e-7)
+    assert list(updated.ma_coef) == pytest.approx(list(refitted.ma_coef), rel=1e-5)

@@ -207,6 +207,81 @@ c AS (SELECT area, series, count(*) AS n, avg(value) AS my, avg(x1) AS m1, avg(x
 b AS (SELECT *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2 FROM c),
 model AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, cyy - b1 * c1y - b2 * c2y AS sigma2 FROM b)"""
 
+# A lag and a lagged shock; the shock is the error of a line on the value before, on the same rows.
+SHOCK_MODEL = SCALED + """,
+z AS (SELECT *, lag(value, 1) OVER w AS x1, lag(value, 2) OVER w AS x2 FROM s WINDOW w AS (PARTITION BY area, series ORDER BY ts)),
+l AS (SELECT area, series, regr_slope(value, x1) AS a, regr_intercept(value, x1) AS c FROM z WHERE value + x1 + x2 IS NOT NULL GROUP BY ALL),
+ze AS (SELECT z.*, value - c - a * x1 AS e0, x1 - c - a * x2 AS e1 FROM z JOIN l USING (area, series)),
+k AS (SELECT area, series, count(*) AS n, avg(value) AS my, avg(x1) AS m1, avg(e1) AS m2, var_pop(value) AS cyy, var_pop(x1) AS c11,
+    var_pop(e1) AS c22, covar_pop(x1, e1) AS c12, covar_pop(x1, value) AS c1y, covar_pop(e1, value) AS c2y
+  FROM ze WHERE value + e1 IS NOT NULL GROUP BY ALL),
+b AS (SELECT *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2 FROM k),
+model AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, cyy - b1 * c1y - b2 * c2y AS sigma2 FROM b)"""
+
+
+def solved(source: str, size: int, keys: str) -> list[str]:
+    """Elimination of the equations ``a<i>_<j>`` with the right sides ``a<i>_<size>``: ``solution`` has ``keys`` and ``d<i>``."""
+    parts, last = [], source
+    for k in range(size):
+        cells = ", ".join(f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(k + 1, size) for j in range(k + 1, size + 1))
+        kept = ", ".join(f"a{i}_{j}" for i in range(k + 1) for j in range(i, size + 1))
+        parts.append(f"el{k} AS (SELECT {keys}, {kept}{', ' + cells if cells else ''} FROM {last})")
+        last = f"el{k}"
+    for i in reversed(range(size)):
+        known = "".join(f" - a{i}_{j} * d{j}" for j in range(i + 1, size))
+        parts.append(f"back{i} AS (SELECT *, (a{i}_{size}{known}) / a{i}_{i} AS d{i} FROM {last})")
+        last = f"back{i}"
+    return parts + [f"solution AS (SELECT {keys}, {', '.join(f'd{i}' for i in range(size))} FROM {last})"]
+
+
+def product_step(start: list[float], season: int = 24) -> str:
+    """One Gauss-Newton step, row by row: expanded lags, errors, their derivatives, five equations, halved until it helps."""
+    _, f, g, t, u = start
+    lags = [1, 2, season, season + 1, season + 2]
+    x = ", ".join(f"lag(value, {k}) OVER w AS x{k}" for k in lags)
+    shocks = ", ".join(f"x{k} - c - a * x{k + 1} AS e{k}" for k in (1, season, season + 1))
+    one, two = season, season + 1
+    pred = lambda c, f, g, t, u: (
+        f"{c} + {f} * x1 + {g} * x{one} - {f} * {g} * x{two} + {t} * e1 + {u} * e{one} + {t} * {u} * e{two}")
+    slopes = ["1.0", f"x1 - {g} * x{two}", f"x{one} - {f} * x{two}", f"e1 + {u} * e{two}", f"e{one} + {t} * e{two}"]
+    sums = ", ".join(f"sum(j{i} * j{j}) AS a{i}_{j}" for i in range(5) for j in range(5))
+    return _with(
+        SCALED,
+        f"z AS (SELECT *, {x} FROM s WINDOW w AS (PARTITION BY area, series ORDER BY ts))",
+        f"l AS (SELECT area, series, regr_slope(value, x1) AS a, regr_intercept(value, x1) AS c FROM z WHERE x{season + 2} IS NOT NULL GROUP BY ALL)",
+        f"ze AS (SELECT z.*, {shocks} FROM z JOIN l USING (area, series) WHERE x{season + 2} IS NOT NULL)",
+        f"j AS (SELECT *, value - ({pred(*start)}) AS r, {', '.join(f'{s} AS j{i}' for i, s in enumerate(slopes))} FROM ze)",
+        f"eq AS (SELECT area, series, {sums}, {', '.join(f'sum(j{i} * r) AS a{i}_5' for i in range(5))} FROM j GROUP BY ALL)",
+        *solved("eq", 5, "area, series"),
+        "tried AS (SELECT area, series, share, " + ", ".join(f"share * d{i} + {v} AS f{i}" for i, v in enumerate(start))
+        + " FROM solution, (SELECT pow(0.5, unnest(range(0, 20))) AS share))",
+        f"err AS (SELECT area, series, share, f0, f1, f2, f3, f4, count(*) AS n, sum(pow(value - ({pred('f0', 'f1', 'f2', 'f3', 'f4')}), 2)) AS after, "
+        "sum(r * r) AS before FROM j JOIN tried USING (area, series) GROUP BY ALL)",
+    ) + f"""SELECT area, series, n, {r6('f0')} AS intercept, {r6('f1')} AS ar, {r6('f2')} AS seasonal_ar, {r6('f3')} AS ma,
+  {r6('f4')} AS seasonal_ma, {r6('100 * after / n')} AS sigma2
+FROM err WHERE after <= before QUALIFY row_number() OVER (PARTITION BY area, series ORDER BY share DESC) = 1"""
+
+
+def _shock_models(out: dict[str, str]) -> None:
+    out["m04_shock_model"] = out["m05_shock_refit"] = out["m06_shock_update"] = _with(SHOCK_MODEL) + f"""
+SELECT model.area, model.series, CAST(1 AS INTEGER) AS p, CAST(1 AS INTEGER) AS q, CAST(0 AS INTEGER) AS sp,
+  CAST(0 AS INTEGER) AS sq, n, l.i AS last_idx, {r6('b0')} AS intercept, {r6('b1')} AS lag_1, {r6('b2')} AS shock_1, {r6('sigma2 * 100')} AS sigma2
+FROM model JOIN (SELECT area, series, CAST(epoch(max(ts)) AS BIGINT) // 3600 AS i FROM s WHERE value IS NOT NULL GROUP BY ALL) l USING (area, series)"""
+    out["m08_shock_fitted"] = _with(SHOCK_MODEL) + f"""SELECT ze.area, ze.ts, ze.series, {r6('value')} AS value,
+  {r6('b0 + b1 * x1 + b2 * e1')} AS predicted FROM ze JOIN model USING (area, series) WHERE value IS NOT NULL"""
+    out["m07_shock_forecast"] = "WITH RECURSIVE " + SHOCK_MODEL + f""",
+t AS (SELECT area, series, max(ts) AS ts, max_by(value, ts) AS v, max_by(e0, ts) AS e FROM ze GROUP BY ALL),
+f AS (
+  SELECT area, series, ts, 0 AS h, v AS y, e FROM t
+  UNION ALL
+  SELECT f.area, f.series, f.ts + INTERVAL 1 HOUR, h + 1, b0 + b1 * y + b2 * e, 0.0
+  FROM f JOIN model ON model.area = f.area AND model.series = f.series WHERE h < 48)
+SELECT area, ts, series, {r6('y')} AS predicted FROM f WHERE h > 0"""
+    from .queries import PRODUCT_START
+
+    out["m04_product_step"] = product_step(PRODUCT_START)
+
+
 SERIES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -526,6 +601,7 @@ FROM complete WINDOW w AS (PARTITION BY area, series ORDER BY ts)"""
         filled("zeroed", "f"), grouped("f", "g"), spine("g", 10800, "three"),
     ) + f"SELECT {cells} FROM three"
     _small_models(out)
+    _shock_models(out)
     # All areas of the orders, by their own dates; 1 August 2001 is a Wednesday.
     day = "DATE '2001-08-01'"
     out["w02_date_of_areas"] = _with(

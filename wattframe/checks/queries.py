@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import daytype, labels, timegrid
-from ..operators import align, compare, lagmodel, lags, network, prepare, profile, regressor, scale, stopping, windows
+from ..operators import align, compare, lagmodel, lags, network, prepare, profile, regressor, scale, seasonal, stopping, windows
 from ..plans import residual, sarima
 from ..session import cut_lineage, shared_folder
 from ..sources import readings as source
@@ -641,6 +641,71 @@ def m08_lag_fitted(spark, sf):
     return _rounded(lagmodel.fitted_values(rows, models, SMALL), "value", "predicted")
 
 
+#: One lag and one lagged shock, which SQL can solve; and one factor of each kind.
+SHOCK = lagmodel.Search(m=24, step=HOUR, min_p=1, max_p=1, min_q=1, max_q=1, min_sp=0, max_sp=0, min_sq=0, max_sq=0, max_d=0, max_sd=0,
+                        long_lags=1, block=256, product=True)
+PRODUCT = lagmodel.Search(m=24, step=HOUR, max_p=1, max_q=1, max_sp=1, max_sq=1, max_d=0, max_sd=0, long_lags=1, block=256, product=True)
+#: Constant, ordinary and seasonal factor of the values, ordinary and seasonal factor of the shocks.
+PRODUCT_START = [0.1, 0.4, 0.3, 0.2, 0.1]
+
+
+def _shock_model(spark, sf):
+    rows = _scaled(spark, sf)
+    return rows, cut_lineage(seasonal.fit_new(rows, _constant_orders(rows), SHOCK))
+
+
+def _shock_coefficients(models):
+    cells = [r6("intercept").alias("intercept"), r6(F.col("ar_coef")[0]).alias("lag_1"), r6(F.col("ma_coef")[0]).alias("shock_1")]
+    return models.select("area", "series", "p", "q", "sp", "sq", "n", "last_idx", *cells, r6(F.col("sigma2") * 100).alias("sigma2"))
+
+
+def m04_shock_model(spark, sf):
+    return _shock_coefficients(_shock_model(spark, sf)[1])
+
+
+def m05_shock_refit(spark, sf):
+    rows, models = _shock_model(spark, sf)
+    return _shock_coefficients(seasonal.refit(rows, models, SHOCK))
+
+
+def m06_shock_update(spark, sf):
+    """Fitted on the first 80 %, then the rest is added: the model of all rows, its shocks renewed."""
+    rows = cut_lineage(windows.chronological_split(_scaled(spark, sf), (0.8, 0.0), HOUR))
+    old = rows.where("part = 'train'").drop("part")
+    models = cut_lineage(seasonal.fit_new(old, _constant_orders(old), SHOCK))
+    return _shock_coefficients(seasonal.update(rows.drop("part"), models, SHOCK))
+
+
+def m07_shock_forecast(spark, sf):
+    rows, models = _shock_model(spark, sf)
+    last = rows.agg(F.max("ts")).first()[0]
+    start, end = last + dt.timedelta(hours=1), last + dt.timedelta(hours=48)
+    return _rounded(lagmodel.forecast(rows, models, str(start), str(end), SHOCK), "predicted")
+
+
+def m08_shock_fitted(spark, sf):
+    rows, models = _shock_model(spark, sf)
+    return _rounded(lagmodel.fitted_values(rows, models, SHOCK), "value", "predicted")
+
+
+def m04_product_step(spark, sf):
+    """Factors p = q = P = Q = 1 of every series after one Gauss-Newton step from fixed ones."""
+    rows = _scaled(spark, sf)
+    found = seasonal.factors_after(rows, _constant_orders(rows), PRODUCT, PRODUCT_START, 1)
+    cells = [r6(F.col("factors")[k]).alias(name) for k, name in enumerate(["intercept", "ar", "seasonal_ar", "ma", "seasonal_ma"])]
+    return found.select("area", "series", "n", *cells, r6(F.col("sigma2") * 100).alias("sigma2"))
+
+
+def m04_product_gain(spark, sf):
+    """Squared error of multiplied and of added polynomials with p = q = P = Q = 1 on the daily orders of each series, season 7."""
+    how = dict(m=7, step=DAY, max_p=1, max_q=1, max_sp=1, max_sq=1, max_d=0, max_sd=0, long_lags=21, block=256)
+    rows = cut_lineage(daily_orders(spark, sf))
+    both = {name: fit(rows, _constant_orders(rows), lagmodel.Search(**how, product=name == "product"))
+            for name, fit in (("product", seasonal.fit_new), ("added", lagmodel.fit_new))}
+    one = [m.select("area", "series", F.col("sigma2").alias(name)) for name, m in both.items()]
+    return one[0].join(one[1], ["area", "series"])
+
+
 def s04_stored_models(spark, sf):
     _, models = _small_model(spark, sf)
     path = f"{shared_folder(spark)}/{results.run_name('models')}"
@@ -746,6 +811,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         prepared_dataset,
         m02_seasonal_order, m04_cross_products, m04_fit, m05_refit, m06_update, m07_forecast, m08_fitted,
         m09_network_scores, m10_n_steps, m11_next_step_errors, m12_regression, m13_training, s04_models, s05_weights,
+        m04_shock_model, m05_shock_refit, m06_shock_update, m07_shock_forecast, m08_shock_fitted, m04_product_step, m04_product_gain,
         m04_lag_model, m05_lag_refit, m06_lag_update, m07_lag_forecast, m08_lag_fitted, s04_stored_models,
         m09_cell, m10_two_steps, m11_cell_errors, m12_one_lag, m12_line_per_series, m13_first_loss, s05_stored_weights, s05_stored_lines,
         w02_date_of_areas, m01_differencing,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timegrid import grid_index, grid_time
@@ -69,53 +73,52 @@ def truncation(n: int) -> int:
 def kpss(df: DataFrame, lags: int | None, keys: list[str], size: int = BLOCK_ROWS) -> DataFrame:
     """Level-stationarity statistic per key: ``(*keys, n, kpss)`` (M-01).
 
-    Without a number of ``lags`` each key has its own, by :func:`truncation`;
-    one job then counts the longest key, as a halo's length is part of the plan.
+    Without a number of ``lags`` each key has its own, by :func:`truncation`.
 
     ``df`` has ``keys``, ``idx`` and ``x`` without nulls. The partial sums run
     over the whole series; each block reports its own sums, and the offset of a
     block - the sum of all blocks before - enters by algebra:
-    ``sum((C + s)^2) = n C^2 + 2 C sum(s) + sum(s^2)``. Nothing is carried back
-    to the rows.
+    ``sum((C + s)^2) = n C^2 + 2 C sum(s) + sum(s^2)``. The long-run variance
+    weighs the products ``j`` steps apart by ``1 - j / (l + 1)``, which is the
+    sum of squares of all moving sums of ``l + 1`` steps, divided by ``l + 1``:
+    differences of prefix sums, so the plan is the same for any ``l``. A block
+    has the ``l`` steps before it as a halo, and those after a series' last row
+    belong to the block they lie in.
     """
     own_lags = F.floor(12 * F.pow(F.count("x") / 100, F.lit(0.25))) if lags is None else F.lit(lags)
-    means = df.groupBy(*keys).agg(F.avg("x").alias("_mean"), own_lags.cast("int").alias("_l"))
-    if lags is None:
-        lags = means.agg(F.max("_l")).first()[0] or 0
+    means = df.groupBy(*keys).agg(F.avg("x").alias("_mean"), own_lags.cast("bigint").alias("_l"))
     centred = join_per_key(df, means, keys, F.col("idx")).select(*keys, "idx", "_l", (F.col("x") - F.col("_mean")).alias("e"))
-    halo = with_halo(centred, "idx", size, back=lags)
-    order = Window.partitionBy(*keys, "block").orderBy("idx")
-    own = F.when(F.col("core"), F.col("e"))
-    partial = F.sum(own).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    weighted = F.lit(0.0)
-    for j in range(1, lags + 1):
-        earlier = F.coalesce(F.first("e").over(order.rangeBetween(-j, -j)), F.lit(0.0))
-        weighted = weighted + F.greatest(F.lit(0.0), 1 - j / (F.col("_l") + 1)) * F.col("e") * earlier
-    blocks = (
-        halo.withColumn("_s", partial)
-        .withColumn("_w", weighted)
-        .where("core")
-        .groupBy(*keys, "block")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("e").alias("se"),
-            F.sum("_s").alias("ss"),
-            F.sum(F.col("_s") * F.col("_s")).alias("sss"),
-            F.sum(F.col("e") * F.col("e")).alias("ee"),
-            F.sum("_w").alias("ww"),
-        )
-    )
+    halo = with_halo(centred, "idx", size, back=F.col("_l"))
+    points = F.array_sort(F.collect_list(F.struct("idx", "e")))
+    arrays = halo.groupBy(*keys, "block").agg(F.max("_l").alias("_l"), points.alias("_p"))
+    arrays = arrays.select(*keys, "block", "_l", F.col("_p.idx").alias("idx"), F.col("_p.e").alias("e"))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for block, reach, idx, e in zip(batch["block"], batch["_l"], batch["idx"], batch["e"]):
+                dense = np.zeros(size + reach + 1)
+                at = np.asarray(idx) - (block * size - reach - 1)
+                dense[at] = e
+                prefix = dense.cumsum()
+                moving = prefix[reach + 1 :] - prefix[: size]
+                own = np.asarray(e)[at > reach]
+                running = own.cumsum()
+                rows.append((len(own), own.sum(), running.sum(), running @ running, moving @ moving / (reach + 1)))
+            yield batch[[*keys, "block"]].assign(**dict(zip(("n", "se", "ss", "sss", "vv"), np.array(rows).reshape(-1, 5).T)))
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", block bigint, n double, se double, ss double, sss double, vv double"
+    blocks = arrays.mapInPandas(sums, schema)
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carry = F.coalesce(F.sum("se").over(before), F.lit(0.0))
     squares = F.col("n") * F.col("_c") * F.col("_c") + 2 * F.col("_c") * F.col("ss") + F.col("sss")
-    sums = (
+    total = (
         blocks.withColumn("_c", carry)
         .groupBy(*keys)
-        .agg(F.sum("n").alias("n"), F.sum(squares).alias("_top"), F.sum("ee").alias("_ee"), F.sum("ww").alias("_ww"))
+        .agg(F.sum("n").cast("bigint").alias("n"), F.sum(squares).alias("_top"), F.sum("vv").alias("_vv"))
     )
-    variance = (F.col("_ee") + 2 * F.col("_ww")) / F.col("n")
-    statistic = F.try_divide(F.col("_top"), F.col("n") * F.col("n") * variance)
-    return sums.select(*keys, "n", statistic.alias("kpss"))
+    return total.select(*keys, "n", F.try_divide(F.col("_top"), F.col("n") * F.col("_vv")).alias("kpss"))
 
 
 def differencing_order(
