@@ -174,3 +174,83 @@ def test_many_columns_are_solved_step_by_step(readings):
     direct = regressor.fit_window_regressor(blocks, 2, 6, ridge=0.1, size=16)
     steps = regressor.fit_window_regressor(blocks, 2, 6, ridge=0.1, size=16, direct_columns=0)
     np.testing.assert_allclose(steps, direct, atol=1e-6)
+
+
+def blocks_of(readings, data, tw, size, areas=("a",)):
+    df = None
+    for i, area in enumerate(areas):
+        own = readings({f"s{j:02d}": [None if np.isnan(v) else v for v in data[i][:, j]] for j in range(data[i].shape[1])}, area=area)
+        df = own if df is None else df.union(own)
+    return windows.sequence_blocks(df, tw, 1, 3_600, size)
+
+
+def by_windows(data, tw, ridge):
+    """Least squares over every whole window of all areas, formed in full."""
+    z, y = [], []
+    for x in data:
+        x = x.astype(np.float32).astype(float)
+        for s in range(len(x) - tw):
+            if np.isfinite(x[s : s + tw + 1]).all():
+                z.append(np.concatenate([[1], x[s : s + tw].ravel()]))
+                y.append(x[s + tw])
+    z, y = np.array(z), np.array(y)
+    return np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ y), z, y
+
+
+@pytest.mark.parametrize("size", [16, 1000])
+def test_lag_products_equal_the_windows(readings, size):
+    """Two areas, runs broken by missing cells, blocks shorter than a run: the same equations, and the same solution."""
+    rng = np.random.default_rng(8)
+    data = [rng.normal(size=(90, 3)).cumsum(0) * 0.1 + 1, rng.normal(size=(70, 3))]
+    data[0][40, 1] = data[1][3, 0] = data[1][30, 2] = np.nan
+    tw, ridge = 5, 0.3
+    blocks = blocks_of(readings, data, tw, size, ("a", "b")).cache()
+    want, z, y = by_windows(data, tw, ridge)
+    got = regressor.window_equations(blocks, 3, tw, size, "drop")
+    full = np.hstack([z[:, 1:], y])
+    probe = rng.normal(size=(tw + 1, 3, 2))
+    np.testing.assert_allclose(got.apply(probe).reshape(-1, 2), full.T @ full @ probe.reshape(-1, 2), rtol=1e-8, atol=1e-8)
+    np.testing.assert_allclose(got.sums.ravel(), full.sum(0), rtol=1e-9, atol=1e-9)
+    assert got.n == len(z)
+    beta = regressor.fit_window_regressor(blocks, 3, tw, ridge, size, "drop", direct_columns=0)
+    np.testing.assert_allclose(beta, want, rtol=1e-6, atol=1e-8)
+    with pytest.raises(Exception, match="missing cells"):
+        regressor.fit_window_regressor(blocks, 3, tw, ridge, size, direct_columns=0)
+
+
+def test_many_runs_are_solved_by_passes(readings, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = [rng.normal(size=(120, 2))]
+    data[0][::11, 0] = np.nan
+    blocks = blocks_of(readings, data, 3, 32).cache()
+    monkeypatch.setattr(regressor, "MAX_EDGES", 4)
+    assert regressor.window_equations(blocks, 2, 3, 32, "drop") is None
+    beta = regressor.fit_window_regressor(blocks, 2, 3, 0.1, 32, "drop", direct_columns=0)
+    np.testing.assert_allclose(beta, by_windows(data, 3, 0.1)[0], rtol=1e-6, atol=1e-8)
+
+
+def test_eight_thousand_columns_in_one_pass(readings):
+    """672 steps of 13 series: the gradient of the squares, window by window, vanishes."""
+    rng = np.random.default_rng(10)
+    tw, width, n, ridge = 672, 13, 1500, 5.0
+    x = rng.normal(size=(n, width))
+    blocks = blocks_of(readings, [x], tw, 512).cache()
+    beta = regressor.fit_window_regressor(blocks, width, tw, ridge, 512)
+    assert beta.shape == (1 + tw * width, width) and beta.shape[0] == 8_737
+    x = x.astype(np.float32).astype(float)
+    z = np.array([np.concatenate([[1], x[s : s + tw].ravel()]) for s in range(n - tw)])
+    gradient = z.T @ (x[tw:] - z @ beta) - ridge * beta
+    assert np.abs(gradient).max() < 1e-6 * np.abs(z.T @ x[tw:]).max()
+
+
+def test_lines_of_all_series_at_once(readings):
+    rng = np.random.default_rng(11)
+    data = {"x": rng.normal(size=80).cumsum(), "y": rng.normal(size=80), "flat": [2.0] * 80}
+    df = readings(data)
+    lines = regressor.series_lines(df, 3_600, 16)
+    got = {r.series: (r.slope, r.intercept) for r in lines.collect()}
+    for name in "xy":
+        slope, intercept = np.polyfit(data[name][:-1], data[name][1:], 1)
+        assert got[name] == (pytest.approx(slope, rel=1e-6), pytest.approx(intercept, rel=1e-6, abs=1e-9))
+    assert got["flat"] == (None, None)
+    assert regressor.line_forecast(df, lines, 3_600, 16).where("predicted is not null").count() == 2 * 79

@@ -219,19 +219,30 @@ b AS (SELECT *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1, (c2y *
 model AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, cyy - b1 * c1y - b2 * c2y AS sigma2 FROM b)"""
 
 
-def solved(source: str, size: int, keys: str) -> list[str]:
-    """Elimination of the equations ``a<i>_<j>`` with the right sides ``a<i>_<size>``: ``solution`` has ``keys`` and ``d<i>``."""
-    parts, last = [], source
+def solved(source: str, size: int, keys: str, outputs: int = 1) -> list[str]:
+    """Elimination of the equations ``a<i>_<j>`` with right sides ``a<i>_<size + o>``: ``solution`` has ``keys`` and ``d<i>_<o>``."""
+    parts, last, width = [], source, size + outputs
     for k in range(size):
-        cells = ", ".join(f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(k + 1, size) for j in range(k + 1, size + 1))
-        kept = ", ".join(f"a{i}_{j}" for i in range(k + 1) for j in range(i, size + 1))
+        cells = ", ".join(f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(k + 1, size) for j in range(k + 1, width))
+        kept = ", ".join(f"a{i}_{j}" for i in range(k + 1) for j in range(i, width))
         parts.append(f"el{k} AS (SELECT {keys}, {kept}{', ' + cells if cells else ''} FROM {last})")
         last = f"el{k}"
     for i in reversed(range(size)):
-        known = "".join(f" - a{i}_{j} * d{j}" for j in range(i + 1, size))
-        parts.append(f"back{i} AS (SELECT *, (a{i}_{size}{known}) / a{i}_{i} AS d{i} FROM {last})")
+        known = [f"(a{i}_{size + o}" + "".join(f" - a{i}_{j} * d{j}_{o}" for j in range(i + 1, size)) + f") / a{i}_{i} AS d{i}_{o}" for o in range(outputs)]
+        parts.append(f"back{i} AS (SELECT *, {', '.join(known)} FROM {last})")
         last = f"back{i}"
-    return parts + [f"solution AS (SELECT {keys}, {', '.join(f'd{i}' for i in range(size))} FROM {last})"]
+    return parts + [f"solution AS (SELECT {keys}, {', '.join(f'd{i}_{o}' for i in range(size) for o in range(outputs))} FROM {last})"]
+
+
+def wide_windows(ridge: float = 1e-6) -> str:
+    """Least squares of every series on all series of the two hours before, from the sums of all rows."""
+    z = ["1.0", *(f"{c}{j}" for c in "ab" for j in range(len(SERIES)))]
+    k, outs = len(z), len(SERIES)
+    sums = [f"sum({p} * {q}){f' + {ridge!r}' if i == j else ''} AS a{i}_{j}" for i, p in enumerate(z) for j, q in enumerate([*z, *(f"y{o}" for o in range(outs))])]
+    outputs = ", ".join(" + ".join(f"d{i}_{o} * {p}" for i, p in enumerate(z)) + f" AS p{o}" for o in range(outs))
+    return _with(SCALED, _vectors(), f"eq AS (SELECT 1 AS one, {', '.join(sums)} FROM x WHERE pos >= 2)", *solved("eq", k, "one", outs),
+                 f"scored AS (SELECT x.*, {outputs} FROM x, solution WHERE pos >= 2)") + f"""SELECT series, {r6('avg(abs(y - p))')} AS mae,
+  {r6('avg((y - p) * (y - p))')} AS mse, count(*) AS n FROM ({_long('y{j} AS y, p{j} AS p', 'scored')}) GROUP BY series"""
 
 
 def product_step(start: list[float], season: int = 24) -> str:
@@ -253,7 +264,7 @@ def product_step(start: list[float], season: int = 24) -> str:
         f"j AS (SELECT *, value - ({pred(*start)}) AS r, {', '.join(f'{s} AS j{i}' for i, s in enumerate(slopes))} FROM ze)",
         f"eq AS (SELECT area, series, {sums}, {', '.join(f'sum(j{i} * r) AS a{i}_5' for i in range(5))} FROM j GROUP BY ALL)",
         *solved("eq", 5, "area, series"),
-        "tried AS (SELECT area, series, share, " + ", ".join(f"share * d{i} + {v} AS f{i}" for i, v in enumerate(start))
+        "tried AS (SELECT area, series, share, " + ", ".join(f"share * d{i}_0 + {v} AS f{i}" for i, v in enumerate(start))
         + " FROM solution, (SELECT pow(0.5, unnest(range(0, 20))) AS share))",
         f"err AS (SELECT area, series, share, f0, f1, f2, f3, f4, count(*) AS n, sum(pow(value - ({pred('f0', 'f1', 'f2', 'f3', 'f4')}), 2)) AS after, "
         "sum(r * r) AS before FROM j JOIN tried USING (area, series) GROUP BY ALL)",
@@ -360,24 +371,16 @@ SELECT area, ts, series, {r6('y')} AS predicted FROM f WHERE h > 0"""
     squares = " + ".join(f"(y{j} - p{j}) * (y{j} - p{j})" for j in range(len(SERIES)))
     out["m13_first_loss"] = _scored() + f"""SELECT CAST(0 AS INTEGER) AS epoch, {r6(f'sum({squares}) / (5 * count({squares}))')} AS train_loss
 FROM scored WHERE pos < floor(n * 0.6)"""
-    out["m12_one_lag"] = _with(
-        SCALED, "v AS (SELECT area, ts, series, CAST(CAST(value AS FLOAT) AS DOUBLE) AS y FROM s WHERE series = 'view')",
-        "x AS (SELECT *, lag(y) OVER w AS x, row_number() OVER w AS pos FROM v WINDOW w AS (PARTITION BY area ORDER BY ts))",
-        "b AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM x)",
-    ) + f"SELECT area, ts, series, {r6('y')} AS value, {r6('b0 + b1 * x')} AS predicted FROM x, b WHERE pos > 1"
     lines = _with(
         SCALED, "v AS (SELECT area, ts, series, CAST(CAST(value AS FLOAT) AS DOUBLE) AS y FROM s)",
         "x AS (SELECT *, lag(y) OVER w AS x, row_number() OVER w AS pos FROM v WINDOW w AS (PARTITION BY area, series ORDER BY ts))",
         "b AS (SELECT series, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM x GROUP BY series)",
     )
+    out["m12_wide_windows"] = wide_windows()
     out["s05_stored_lines"] = lines + "\nUNION ALL\n".join(
         f"SELECT 'lines' AS run_id, series AS name, CAST({i} AS INTEGER) AS pos, {r6(f'b{i}')} AS value FROM b" for i in (0, 1))
     out["m12_line_per_series"] = lines + f"""SELECT area, ts, series, {r6('y')} AS value, {r6('b0 + b1 * x')} AS predicted
 FROM x JOIN b USING (series) WHERE pos > 1"""
-    w = _weights()
-    flat = {n: [c for row in v for c in (row if isinstance(row, list) else [row])] for n, v in w.items()}
-    rows = ", ".join(f"('{n}', {i}, {c!r})" for n, cells in flat.items() for i, c in enumerate(cells))
-    out["s05_stored_weights"] = f"SELECT 'first' AS run_id, name, CAST(pos AS INTEGER) AS pos, {r6('value')} AS value FROM (VALUES {rows}) t(name, pos, value)"
 
 
 def kpss_by_length(source: str, name: str, most: int = 60) -> str:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -747,26 +746,27 @@ def m11_cell_errors(spark, sf):
     return _rounded(compare.error_metrics(pairs, on_null="drop"), "mae", "mse").drop("mape")
 
 
-def m12_one_lag(spark, sf):
-    """A line through each hour's value and the next one's."""
-    rows = _scaled(spark, sf).where("series = 'view'")
-    blocks = cut_lineage(windows.sequence_blocks(rows, 1, 1, HOUR, 256))
-    beta = regressor.fit_window_regressor(blocks, 1, 1, size=256, on_null="drop")
-    return _rounded(network.next_step_forecast(blocks, regressor.linear_scorer(beta), ["view"], 1, HOUR, size=256), "value", "predicted")
-
-
-def _lines(rows):
-    """Windows and line of each series: its value as a line of the one an hour before."""
-    for name in windows.feature_names(rows):
-        blocks = cut_lineage(windows.sequence_blocks(rows.where(F.col("series") == name), 1, 1, HOUR, 256))
-        yield name, blocks, regressor.fit_window_regressor(blocks, 1, 1, size=256, on_null="drop")
+def _line_rows(spark, sf):
+    """Cells as the windows have them."""
+    return _scaled(spark, sf).withColumn("value", F.col("value").cast("float").cast("double"))
 
 
 def m12_line_per_series(spark, sf):
     """Every series scored by a line of its own, none left out."""
-    scored = [network.next_step_forecast(blocks, regressor.linear_scorer(beta), [name], 1, HOUR, size=256)
-              for name, blocks, beta in _lines(_scaled(spark, sf))]
-    return _rounded(reduce(DataFrame.unionByName, scored), "value", "predicted")
+    rows = _line_rows(spark, sf)
+    return _rounded(regressor.line_forecast(rows, regressor.series_lines(rows, HOUR, 256), HOUR, 256), "value", "predicted")
+
+
+def m12_wide_windows(spark, sf):
+    """The regression on windows of two hours, solved from lag products; the error of each series."""
+    rows = _scaled(spark, sf)
+    names = windows.feature_names(rows)
+    blocks = cut_lineage(windows.sequence_blocks(rows, SMALL_WINDOW, 1, HOUR, 256))
+    beta = regressor.fit_window_regressor(blocks, len(names), SMALL_WINDOW, ridge=1e-6, size=256, on_null="drop", direct_columns=0,
+                                          tolerance=1e-14)
+    scored = network.next_step_forecast(blocks, regressor.linear_scorer(beta), names, SMALL_WINDOW, HOUR, size=256)
+    pairs = scored.select("series", F.col("value").alias("actual"), "predicted")
+    return _rounded(compare.error_metrics(pairs, on_null="drop").drop("mape"), "mae", "mse")
 
 
 def m13_first_loss(spark, sf):
@@ -779,19 +779,12 @@ def m13_first_loss(spark, sf):
     return _rounded(history.select("epoch", "train_loss"), "train_loss")
 
 
-def s05_stored_weights(spark, sf):
-    """Weights for as many series as the table has, written and read back."""
-    names = windows.feature_names(raw_events(spark, sf))
-    path = f"{shared_folder(spark)}/{results.run_name('weights')}"
-    results.save_weights(network.weights_table(spark, _small_weights(names), "first"), path)
-    return _rounded(spark.read.parquet(path).select("run_id", "name", F.posexplode("values").alias("pos", "value")), "value")
-
-
 def s05_stored_lines(spark, sf):
     """Coefficients of each series' line, which the table determines, written and read back as weights."""
-    weights = {name: beta for name, _, beta in _lines(_scaled(spark, sf))}
+    lines = regressor.series_lines(_line_rows(spark, sf), HOUR, 256)
+    shape, values = F.array(F.lit(2), F.lit(1)), F.array("intercept", "slope")
     path = f"{shared_folder(spark)}/{results.run_name('weights')}"
-    results.save_weights(network.weights_table(spark, weights, "lines"), path)
+    results.save_weights(lines.select(F.lit("lines").alias("run_id"), F.col("series").alias("name"), shape.alias("shape"), values.alias("values")), path)
     return _rounded(spark.read.parquet(path).select("run_id", "name", F.posexplode("values").alias("pos", "value")), "value")
 
 
@@ -813,7 +806,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         m09_network_scores, m10_n_steps, m11_next_step_errors, m12_regression, m13_training, s04_models, s05_weights,
         m04_shock_model, m05_shock_refit, m06_shock_update, m07_shock_forecast, m08_shock_fitted, m04_product_step, m04_product_gain,
         m04_lag_model, m05_lag_refit, m06_lag_update, m07_lag_forecast, m08_lag_fitted, s04_stored_models,
-        m09_cell, m10_two_steps, m11_cell_errors, m12_one_lag, m12_line_per_series, m13_first_loss, s05_stored_weights, s05_stored_lines,
+        m09_cell, m10_two_steps, m11_cell_errors, m12_line_per_series, m12_wide_windows, m13_first_loss, s05_stored_lines,
         w02_date_of_areas, m01_differencing,
     ]
     return {f.__name__: f for f in named}
