@@ -1,5 +1,8 @@
+import os
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wattframe.operators import network, regressor, windows
 from wattframe.plans.sequence import train_forecaster
@@ -94,10 +97,17 @@ def test_training_step_equals_single_machine(readings):
     wide = np.column_stack([data["x"], data["y"]]).astype(float)
     x, y = np.stack([wide[i : i + 5] for i in range(55)]), wide[5:]
     loss, grad = network.loss_and_gradient(weights, x, y)
-    got_loss, got_grad, dropped = network._batch_sums(blocks, weights, 5, 8, False, True)
+    losses, dropped, _, state = one_epoch(blocks, weights, 5, 8, 1)
     assert dropped == 0
-    assert got_loss == pytest.approx(loss / y.size)
-    np.testing.assert_allclose(got_grad, network.pack(grad) / y.size, rtol=1e-8)
+    assert losses == [pytest.approx(loss / y.size)]
+    np.testing.assert_allclose(state.mean / 0.1, network.pack(grad) / y.size, rtol=1e-8)
+
+
+def one_epoch(blocks, weights, tw, size, n_batches, on_null="error"):
+    flat = network.pack(weights)
+    state = network._State(flat, np.zeros_like(flat), np.zeros_like(flat))
+    dealt = network._dealt(blocks, blocks, n_batches, 3)
+    return network._epoch(dealt, state, weights, n_batches, tw, size, False, on_null, 0.01)
 
 
 def test_training_lowers_the_loss_and_weights_survive(spark, readings):
@@ -136,27 +146,82 @@ def test_windows_with_missing_cells_are_not_trained_on(readings):
     data["x"][30] = None
     blocks = windows.sequence_blocks(readings(data), 5, 1, 3600, 16)
     weights = network.initial_weights(2, 2, 2)
-    loss, grad, dropped = network._batch_sums(blocks, weights, 5, 16, False, True, "drop")
+    losses, dropped, valid, state = one_epoch(blocks, weights, 5, 16, 2, "drop")
     assert dropped == 6
-    assert np.isfinite(loss) and np.isfinite(grad).all()
+    assert np.isfinite([*losses, valid]).all() and np.isfinite(state.flat).all()
     _, history = network.train(blocks, blocks, weights, 5, 1, size=16, on_null="drop")
     assert [r.dropped_windows for r in history.collect()] == [6]
     with pytest.raises(Exception, match="missing cells"):
         network.train(blocks, blocks, weights, 5, 1, size=16)
 
 
-def test_each_batch_reads_its_own_folder(readings, monkeypatch):
-    plans = []
-    sums = network._batch_sums
-
-    def seen(blocks, *args, **how):
-        plans.append(blocks._jdf.queryExecution().executedPlan().toString())
-        return sums(blocks, *args, **how)
-
-    monkeypatch.setattr(network, "_batch_sums", seen)
-    blocks = windows.sequence_blocks(readings(two_series(80)), 5, 1, 3600, 8)
-    network.train(blocks, blocks, network.initial_weights(2, 2, 2), 5, 1, n_batches=4, size=8)
-    assert len(plans) > 2 and all("PartitionFilters: [isnotnull(batch" in p for p in plans[:-1])
+def test_training_equals_one_machine(readings):
+    """Batch after batch in numpy, whatever the number of tasks; more tasks than blocks too."""
+    data, tw, size, n_batches, rate = two_series(150), 5, 8, 4, 0.02
+    blocks = windows.sequence_blocks(readings(data), tw, 1, 3600, size).persist()
+    weights = network.initial_weights(2, 3, 2)
+    wide = np.column_stack([data["x"], data["y"]]).astype(np.float32).astype(float)
+    batch_of = {r.block: r.batch for r in blocks.select("block", F.pmod(F.hash("area", "block"), F.lit(n_batches)).alias("batch")).collect()}
+    base = blocks.agg(F.min("first")).first()[0]
+    starts = {b: [s for s in range(150 - tw) if batch_of[(s + base) // size] == b] for b in range(n_batches)}
+    cut = lambda own: (np.stack([wide[s : s + tw] for s in own]), np.stack([wide[s + tw] for s in own]))
+    flat, state, want = network.pack(weights), None, []
+    state = network._State(flat, np.zeros_like(flat), np.zeros_like(flat))
+    for epoch in range(3):
+        losses = []
+        for own in starts.values():
+            if own:
+                x, y = cut(own)
+                loss, gradient = network.loss_and_gradient(network.unpack(state.flat, weights), x, y)
+                losses.append(loss / y.size)
+                state = state.step(network.pack(gradient) / y.size, rate)
+        x, y = cut(range(150 - tw))
+        want.append((np.mean(losses), ((network.predict(network.unpack(state.flat, weights), x) - y) ** 2).mean()))
+    for workers in (1, 3, 4):
+        after, history = network.train(blocks, blocks, weights, tw, 3, rate, n_batches, size=size, workers=workers)
+        got = [(r.train_loss, r.valid_loss) for r in history.orderBy("epoch").collect()]
+        np.testing.assert_allclose(got, want, rtol=1e-9)
+        np.testing.assert_allclose(network.pack(after), state.flat, rtol=1e-7, atol=1e-9)
+
+
+def test_an_epoch_is_one_job(spark, readings):
+    blocks = windows.sequence_blocks(readings(two_series(80)), 5, 1, 3600, 8).persist()
+    blocks.count()
+    jobs = []
+    for n_batches, epochs in ((1, 1), (16, 1), (16, 3)):
+        group = f"train-{n_batches}-{epochs}"
+        spark.sparkContext.setJobGroup(group, group)
+        network.train(blocks, blocks, network.initial_weights(2, 2, 2), 5, epochs, n_batches=n_batches, size=8)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("", "")
+    one, same, three = jobs
+    assert one == same and three - same <= 2 * 2  # a job for each further epoch, and its stage of cached blocks
+
+
+def test_a_failed_task_starts_the_epoch_anew(spark, readings, tmp_path):
+    """One task fails in the midst of the first epoch, as a lost executor would; the result is that of a run without it."""
+    marker = str(tmp_path / "failed")
+
+    class Breaks:
+        """Not the activation, but a failure the first time it is asked."""
+
+        def __bool__(self):
+            import os
+
+            from pyspark import BarrierTaskContext
+
+            if BarrierTaskContext.get().partitionId() == 1 and not os.path.exists(marker):
+                open(marker, "w").close()
+                raise RuntimeError("lost")
+            return False
+
+    blocks = windows.sequence_blocks(readings(two_series(100)), 5, 1, 3600, 4).persist()
+    weights = network.initial_weights(2, 2, 2)
+    plain, history = network.train(blocks, blocks, weights, 5, 2, n_batches=3, size=4, workers=3)
+    again, other = network.train(blocks, blocks, weights, 5, 2, n_batches=3, size=4, workers=3, activation=Breaks())
+    assert os.path.exists(marker)
+    assert [r.train_loss for r in other.collect()] == [r.train_loss for r in history.collect()]
+    np.testing.assert_array_equal(network.pack(plain), network.pack(again))
 
 
 def test_unequal_areas_are_refused(readings):

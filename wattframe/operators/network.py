@@ -6,15 +6,16 @@ cut inside the task as a view, so windows are never shuffled or stored.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.timegrid import grid_time
-from ..session import cut_lineage
-from .blocks import sum_arrays
 from .windows import WINDOW_BLOCK
 
 Weights = dict[str, np.ndarray]
@@ -215,37 +216,82 @@ def n_step_forecast(
 # ---------------------------------------------------------------- training
 
 
-def _batch_sums(
-    blocks: DataFrame, weights: Weights, training_window: int, size: int, activation: bool, train: bool,
-    on_null: str = "error",
+@dataclass
+class _State:
+    """Weights and running means of the step rule."""
+
+    flat: np.ndarray
+    mean: np.ndarray
+    square: np.ndarray
+    ticks: int = 0
+
+    def step(self, gradient: np.ndarray, learning_rate: float) -> _State:
+        """One step of the Adam rule (Kingma and Ba 2015)."""
+        mean, square = 0.9 * self.mean + 0.1 * gradient, 0.999 * self.square + 0.001 * gradient**2
+        ticks = self.ticks + 1
+        move = (mean / (1 - 0.9**ticks)) / (np.sqrt(square / (1 - 0.999**ticks)) + 1e-8)
+        return _State(self.flat - learning_rate * move, mean, square, ticks)
+
+
+def _dealt(train_blocks: DataFrame, valid_blocks: DataFrame, n_batches: int, workers: int) -> DataFrame:
+    """Blocks on as many tasks as take part, in the order of their batches; the validation is the last batch."""
+    batch = F.pmod(F.hash("area", "block"), F.lit(n_batches))
+    rows = flat_blocks(train_blocks).withColumn("batch", batch).unionByName(
+        flat_blocks(valid_blocks).withColumn("batch", F.lit(n_batches)))
+    return rows.repartition(workers, F.hash("area", "block", "batch")).sortWithinPartitions("batch").persist(StorageLevel.DISK_ONLY)
+
+
+def _epoch(
+    dealt: DataFrame, state: _State, like: Weights, n_batches: int, training_window: int, size: int, activation: bool,
+    on_null: str, learning_rate: float,
 ):
-    """Spark adds loss, cell count and gradient over all windows; one vector of model size comes back."""
-    broadcast = blocks.sparkSession.sparkContext.broadcast(weights)
+    """All batches of an epoch in one barrier stage: ``(losses, dropped, valid loss, state)``.
+
+    After each batch the tasks gather each other's sums of loss, cells and gradient, add them in the order of the
+    tasks and take the same step, so that all have the same weights without the driver. A lost task starts the
+    stage anew, from the weights at the epoch's beginning.
+    """
+    broadcast = dealt.sparkSession.sparkContext.broadcast(state)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current = broadcast.value
-        loss, cells, dropped, total = 0.0, 0, 0, 0.0
-        for batch in batches:
-            for row in batch.itertuples(index=False):
+        from pyspark import BarrierTaskContext
+
+        context, now = BarrierTaskContext.get(), broadcast.value
+        rows = (row for batch in batches for row in batch.itertuples(index=False))
+        row, losses, dropped, valid = next(rows, None), [], 0, None
+        for number in range(n_batches + 1):
+            train, current = number < n_batches, unpack(now.flat, like)
+            sums = np.zeros(3 + (len(now.flat) if train else 0))
+            while row is not None and row.batch == number:
                 for x, y, left_out in complete_windows(row, training_window, size, on_null):
                     if train:
-                        part, grad = loss_and_gradient(current, x, y, activation)
-                        total = total + pack(grad)
+                        part, gradient = loss_and_gradient(current, x, y, activation)
+                        sums[3:] += pack(gradient)
                     else:
                         part = float(((predict(current, x, activation) - y) ** 2).sum())
-                    loss, cells, dropped = loss + part, cells + y.size, dropped + left_out
-        if cells or dropped:
-            grad = total if np.ndim(total) else np.zeros(len(pack(current)))
-            sums = np.concatenate([[loss, cells, dropped], grad if train else []])
-            yield pd.DataFrame({"sums": [sums]})
-
-    partial = flat_blocks(blocks).mapInPandas(run, "sums array<double>")
-    total = sum_arrays(partial, [], "sums").first()
+                    sums[:3] += part, y.size, left_out
+                row = next(rows, None)
+            gathered = context.allGather(base64.b64encode(sums.tobytes()).decode())
+            total = np.sum([np.frombuffer(base64.b64decode(g)) for g in gathered], axis=0)
+            if not total[1]:  # no whole window in this batch
+                continue
+            if train:
+                losses.append(total[0] / total[1])
+                dropped += int(total[2])
+                now = now.step(total[3:] / total[1], learning_rate)
+            else:
+                valid = total[0] / total[1]
+        if context.partitionId() == 0:
+            yield pd.DataFrame({"losses": [losses], "dropped": [dropped], "valid": [valid], "flat": [now.flat], "mean": [now.mean],
+                                "square": [now.square], "ticks": [now.ticks]})
+
+    schema = ("losses array<double>, dropped bigint, valid double, flat array<double>, mean array<double>, square array<double>, "
+              "ticks int")
+    # Spark starts a failed barrier stage anew only if a shuffle comes after it
+    found = dealt.mapInPandas(run, schema, barrier=True).repartition(1).collect()[0]
     broadcast.destroy()
-    if total is None or total.sums is None or not total.sums[1]:
-        return None
-    flat = np.array(total.sums)
-    return flat[0] / flat[1], flat[3:] / flat[1], int(flat[2])
+    after = _State(*(np.array(found[c], dtype=float) for c in ("flat", "mean", "square")), found.ticks)
+    return found.losses, found.dropped, found.valid, after
 
 
 def train(
@@ -260,58 +306,42 @@ def train(
     scheduler: Callable[[float], float] | None = None,
     size: int = WINDOW_BLOCK,
     on_null: str = "error",
+    workers: int | None = None,
 ) -> tuple[Weights, DataFrame]:
     """Data-parallel training on the mean squared error (M-13, A-09).
 
-    Per batch one Spark job adds the gradients of all windows; the driver holds
-    only the weights and takes one step of the Adam rule (Kingma and Ba 2015).
-    Batches are disjoint sets of blocks, written once as one folder each, so a
-    step reads its own batch only; the loss of an epoch is the mean of its batch
-    losses. A window with a missing cell raises; with
-    ``on_null='drop'`` it is left out and counted in ``dropped_windows``. Training stops after ``PATIENCE`` epochs without improvement;
-    the last weights are returned. ``scheduler(valid_loss)`` may set the
-    learning rate of the next epoch. Pass checkpointed blocks.
+    An epoch is one job, whatever the number of batches: a barrier stage of ``workers`` tasks, which must be able
+    to run at the same time (default: the cluster's cores as Spark counts them). The blocks are dealt to the tasks
+    once and kept on their disks; each task holds one block and two vectors of model size for each other task.
+    Batches are disjoint sets of blocks; the loss of an epoch is the mean of its batch losses. A window with a
+    missing cell raises; with ``on_null='drop'`` it is left out and counted in ``dropped_windows``. Training stops
+    after ``PATIENCE`` epochs without improvement; the last weights are returned. ``scheduler(valid_loss)`` may set
+    the learning rate of the next epoch. Pass checkpointed blocks.
     """
     spark = train_blocks.sparkSession
     flat = pack(weights)
-    mean, square, ticks = np.zeros_like(flat), np.zeros_like(flat), 0
+    state = _State(flat, np.zeros_like(flat), np.zeros_like(flat))
     best, waited, history = None, 0, []
-    parts = [train_blocks]
-    if n_batches > 1:
-        batch = F.pmod(F.hash("area", "block"), F.lit(n_batches))
-        dealt = cut_lineage(train_blocks.withColumn("batch", batch), "batch")
-        filled = sorted(r.batch for r in dealt.select("batch").distinct().collect())
-        parts = [dealt.where(F.col("batch") == b) for b in filled]
-        if not parts:
-            raise ValueError("no windows: the series are shorter than one window")
-    for epoch in range(n_epochs):
-        losses, dropped = [], 0
-        for part in parts:
-            sums = _batch_sums(part, unpack(flat, weights), training_window, size, activation, True, on_null)
-            if sums is None:  # a batch of blocks without a whole window
-                continue
-            loss, grad, left_out = sums
-            dropped += left_out
-            ticks += 1
-            mean = 0.9 * mean + 0.1 * grad
-            square = 0.999 * square + 0.001 * grad**2
-            flat = flat - learning_rate * (mean / (1 - 0.9**ticks)) / (np.sqrt(square / (1 - 0.999**ticks)) + 1e-8)
-            losses.append(loss)
-        sums = _batch_sums(valid_blocks, unpack(flat, weights), training_window, size, activation, False, on_null)
-        if sums is None or not losses:
-            raise ValueError("no windows: the series are shorter than one window")
-        valid = sums[0]
-        history.append((epoch, float(np.mean(losses)), float(valid), dropped))
-        if best is None or valid <= best:
-            best, waited = valid, 0
-        else:
-            waited += 1
-            if waited >= PATIENCE:
-                break
-        if scheduler is not None:
-            learning_rate = scheduler(valid)
+    dealt = _dealt(train_blocks, valid_blocks, n_batches, workers or spark.sparkContext.defaultParallelism)
+    try:
+        for epoch in range(n_epochs):
+            losses, dropped, valid, state = _epoch(
+                dealt, state, weights, n_batches, training_window, size, activation, on_null, learning_rate)
+            if valid is None or not losses:
+                raise ValueError("no windows: the series are shorter than one window")
+            history.append((epoch, float(np.mean(losses)), float(valid), dropped))
+            if best is None or valid <= best:
+                best, waited = valid, 0
+            else:
+                waited += 1
+                if waited >= PATIENCE:
+                    break
+            if scheduler is not None:
+                learning_rate = scheduler(valid)
+    finally:
+        dealt.unpersist()
     losses = spark.createDataFrame(history, "epoch int, train_loss double, valid_loss double, dropped_windows bigint")
-    return unpack(flat, weights), losses
+    return unpack(state.flat, weights), losses
 
 
 def weights_table(spark: SparkSession, weights: Weights, run_id: str) -> DataFrame:
