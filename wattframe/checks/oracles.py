@@ -450,7 +450,7 @@ LEFT JOIN days b ON b.date > a.date AND b.date <= a.date + 7 AND b.day_type = a.
 
     out["j06_paired"] = _with(binned()) + f"""SELECT a.area, a.ts, a.series, {r6('a.value')} AS actual,
   {r6('p.value')} AS predicted FROM cells a JOIN cells p ON a.ts = p.ts + INTERVAL 1 DAY AND a.series = p.series"""
-    out["a01_downsample"] = _with(EVENTS, spine("raw", 3600, "hours")) + f"SELECT {cells} FROM hours"
+    out["a01_downsample"] = out["a01_stream"] = _with(EVENTS, spine("raw", 3600, "hours")) + f"SELECT {cells} FROM hours"
     out["a01_downsample_lines"] = _with(LINES, spine("lines", 86400, "d")) + f"SELECT {cells} FROM d"
     out["a02_scaler"] = 'SELECT min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem'
     out["a03_scale"] = _with(binned(), grid(), "b AS (SELECT min(value) AS lo, max(value) AS hi FROM hourly)") + \

@@ -18,6 +18,7 @@ from ..plans import residual, sarima
 from ..session import cut_lineage, shared_folder
 from ..sources import readings as source
 from ..sources import results
+from ..streaming import downsample
 
 HOUR, DAY = 3_600, 86_400
 # How the event types play raw production types.
@@ -248,6 +249,15 @@ def a01_downsample_lines(spark, sf):
     return _rounded(daily_lines(spark, sf), "value")
 
 
+def a01_stream(spark, sf):
+    """The events as a stream of files, read to their end; the files may come in any order."""
+    path = f"{shared_folder(spark)}/{results.run_name('stream')}"
+    arriving = downsample.read_stream(spark, sf, _table(spark, sf, "events").schema, names="events.parquet")
+    rows = arriving.select(F.substring("props", 3, 1).alias("area"), "ts", F.col("event_type").alias("series"), "value")
+    downsample.start(rows, f"{path}/bins", f"{path}/state", HOUR, lateness="40 days").awaitTermination()
+    return _rounded(downsample.downsampled(spark, f"{path}/bins", HOUR), "value")
+
+
 def a02_scaler(spark, sf):
     return scale.fit_scaler(line_readings(spark, sf))
 
@@ -794,7 +804,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         p01_flat_names, p02_float, p03_fill, p04_local, p05_drop, p06_categories, p07_day_type, p08_holidays,
         p09_calendar, p10_next_date, p11_residual, p12_labels, p13_comparison, p14_dates, p15_float32,
         j01_combine, j03_attach, j04_calendar_table, j06_paired,
-        a01_downsample, a01_downsample_lines, a02_scaler, a03_scale, a04_unscale, a05_partial_days, a06_dates,
+        a01_downsample, a01_downsample_lines, a01_stream, a02_scaler, a03_scale, a04_unscale, a05_partial_days, a06_dates,
         a07_errors, a08_null_mean, a09_epoch_loss, a10_summary, f01_align, f02_interpolate,
         w01_profile, w01_profile_orders, w02_single_date, w02_future, w03_last_days, w04_slots,
         w05_skip_partial, w05_null_partial, w06_windows, w07_one_window, w07_window_count, w08_early_stop, w09_logged,

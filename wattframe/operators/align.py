@@ -75,7 +75,12 @@ def downsample(readings: DataFrame, seconds: int = 3_600) -> DataFrame:
     keys = ["area", "series", "_bin"]
     bin_of = never_null(grid_index("ts", seconds)).alias("_bin")
     binned = keyed(readings, "area", "series", "ts").select("area", "series", bin_of, "value")
-    cells = binned.groupBy(*keys).agg(F.avg("value").alias("value"))
+    return on_full_grid(binned.groupBy("area", "series", "_bin").agg(F.avg("value").alias("value")), seconds)
+
+
+def on_full_grid(cells: DataFrame, seconds: int) -> DataFrame:
+    """Cells ``(area, series, _bin, value)`` with all bins between the first and the last one of the area."""
+    keys = ["area", "series", "_bin"]
     # The count is kept alive by the filter: with the same columns on both
     # sides the exchange of the cells is computed once and reused.
     spans = cells.groupBy("area", "series").agg(
