@@ -298,3 +298,26 @@ def test_product_models_are_the_plan_s_default(readings, tmp_path):
     refitted = sarima.fit(readings(y), search, update_level=1, checkpoint=path).first()
     assert updated.n == refitted.n and updated.sigma2 == pytest.approx(refitted.sigma2, rel=1e-7)
     assert list(updated.ma_coef) == pytest.approx(list(refitted.ma_coef), rel=1e-5)
+
+
+def test_all_series_at_once_equal_the_recursion():
+    """Different orders, differences and lags side by side, over a long horizon."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(41)
+    models, y = [], rng.normal(size=(7, 60)).cumsum(1)
+    for i in range(7):
+        ar, ma = sorted(rng.choice(range(1, 15), i % 4, replace=False)), sorted(rng.choice(range(1, 15), (i + 1) % 3, replace=False))
+        models.append(SimpleNamespace(
+            d=i % 2, sd=i % 3 == 0, m=6, intercept=0.1 * i, ar_lags=ar, ar_coef=rng.uniform(-0.3, 0.3, len(ar)),
+            ma_lags=ma, ma_coef=rng.uniform(-0.5, 0.5, len(ma)), long_coef=rng.uniform(-0.2, 0.2, 9)))
+    got = lagmodel.predict_paths(models, y, 2_000)
+    for model, own, path in zip(models, y, got):
+        w = lagmodel.differenced(own, model.d, model.sd, model.m)
+        e = [*lagmodel.long_residual(w, model.long_coef), *np.zeros(2_000)]
+        w, all_ = list(w), list(own)
+        for t in range(60, 2_060):
+            w.append(model.intercept + sum(c * w[t - k] for k, c in zip(model.ar_lags, model.ar_coef))
+                     + sum(c * e[t - k] for k, c in zip(model.ma_lags, model.ma_coef)))
+            all_.append(w[t] - sum(c * all_[t - k] for k, c in lags.difference_weights(model.d, model.sd, 6).items() if k))
+        np.testing.assert_allclose(path, all_[60:], rtol=1e-9, atol=1e-9)

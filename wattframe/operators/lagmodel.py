@@ -26,6 +26,8 @@ from .lags import difference_weights
 
 SERIES_KEY = ["area", "series"]
 FLUSH_SERIES = 512
+#: Series whose forecasts a task makes at a time.
+FORECAST_SERIES = 256
 
 MODEL_SCHEMA = (
     "area string, series string, p int, d int, q int, sp int, sd int, sq int, m int, step int, "
@@ -387,20 +389,32 @@ def update(df: DataFrame, models: DataFrame, search: Search) -> DataFrame:
 # ---------------------------------------------------------------- forecasts
 
 
-def _predict_path(model, y: np.ndarray, steps: int) -> np.ndarray:
-    """Values after the end of ``y`` by recursion, with future shocks at zero."""
-    w = differenced(y, model.d, model.sd, model.m)
-    e = long_residual(w, np.asarray(model.long_coef, dtype=float))
-    w, e = list(w), list(np.concatenate([e, np.zeros(steps)]))
-    weights = difference_weights(int(model.d), int(model.sd), int(model.m))
-    path, n = list(y), len(y)
+def _padded(lists: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Lags and coefficients of several series as two equally wide tables; what is missing is a lag of 1 with the coefficient 0."""
+    width = max((len(lags) for lags, _ in lists), default=0)
+    lags, coef = np.ones((len(lists), width), np.int64), np.zeros((len(lists), width))
+    for i, (own, c) in enumerate(lists):
+        lags[i, : len(own)], coef[i, : len(own)] = own, c
+    return lags, coef
+
+
+def predict_paths(models: list, y: np.ndarray, steps: int) -> np.ndarray:
+    """Values after the end of each row of ``y``, one model a row: the recursion of all series at once, future shocks at zero."""
+    n = y.shape[1]
+    w, e, path = (np.zeros((len(y), n + steps)) for _ in range(3))
+    path[:, :n] = y
+    for i, model in enumerate(models):
+        w[i, :n] = differenced(y[i], model.d, model.sd, model.m)
+        e[i, :n] = long_residual(w[i, :n], np.asarray(model.long_coef, dtype=float))
+    ar = _padded([(m.ar_lags, m.ar_coef) for m in models])
+    ma = _padded([(m.ma_lags, m.ma_coef) for m in models])
+    weights = [{k: c for k, c in difference_weights(int(m.d), int(m.sd), int(m.m)).items() if k} for m in models]
+    back = _padded([(list(x), list(x.values())) for x in weights])
+    level, rows = np.array([m.intercept for m in models]), np.arange(len(y))[:, None]
     for t in range(n, n + steps):
-        step = model.intercept
-        step += sum(c * w[t - k] for k, c in zip(model.ar_lags, model.ar_coef))
-        step += sum(c * e[t - k] for k, c in zip(model.ma_lags, model.ma_coef))
-        w.append(step)
-        path.append(step - sum(c * path[t - k] for k, c in weights.items() if k))
-    return np.array(path[n:])
+        w[:, t] = level + (w[rows, t - ar[0]] * ar[1]).sum(1) + (e[rows, t - ma[0]] * ma[1]).sum(1)
+        path[:, t] = w[:, t] - (path[rows, t - back[0]] * back[1]).sum(1)
+    return path[:, n:]
 
 
 def forecast(
@@ -410,7 +424,8 @@ def forecast(
 
     Steps always begin right after the data a model has seen. A ``start`` that
     is not that point raises, unless ``any_start`` says the dates are labels
-    only. Only the last ``search.back()`` rows of a series reach its task.
+    only. Only the last ``search.back()`` rows of a series reach its task, as
+    one array, and a task runs the recursion of a whole batch of series at once.
     """
     step, back = search.step, search.back() + 1
     first = int(pd.Timestamp(start).timestamp()) // step
@@ -418,31 +433,33 @@ def forecast(
     ends = models.select(*SERIES_KEY, "last_idx")
     rows = df.where(F.col("value").isNotNull()).select(*SERIES_KEY, grid_index("ts", step).alias("idx"), "value")
     near = (F.col("idx") > F.col("last_idx") - back) & (F.col("idx") <= F.col("last_idx"))
-    tails = join_per_key(rows, ends, SERIES_KEY, F.col("idx")).where(near).drop("last_idx")
-
-    def run(tail: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"area": [], "series": [], "idx": [], "predicted": []})
-        if model.empty:
-            return empty
-        own = next(model.itertuples(index=False))
-        if tail.empty:
-            raise ValueError(f"no data for the model of {own.area}/{own.series}")
-        if not any_start and first != own.last_idx + 1:
-            raise ValueError(f"the forecast of {own.series} must start right after its data")
-        y = _dense(tail["idx"].to_numpy(), tail["value"].to_numpy(), own.last_idx - back + 1, back)
-        path = _predict_path(own, y, steps)
-        if not np.isfinite(path).all():
-            raise ValueError(f"a gap in the last {back} steps of {own.area}/{own.series}; fill it before forecasting")
-        return pd.DataFrame(
-            {"area": own.area, "series": own.series, "idx": first + np.arange(steps), "predicted": path}
-        )
+    tails = join_per_key(rows, ends, SERIES_KEY, F.col("idx")).where(near)
+    tails = tails.groupBy(*SERIES_KEY).agg(F.collect_list("idx").alias("_idx"), F.collect_list("value").alias("_value"))
+    needed = models.select(*SERIES_KEY, "d", "sd", "m", "intercept", "ar_lags", "ar_coef", "ma_lags", "ma_coef", "long_coef", "last_idx")
+    # a batch of series for each task, not one each
+    joined = needed.join(tails, SERIES_KEY, "left")
 
-    return (
-        tails.groupBy(*SERIES_KEY)
-        .cogroup(models.groupBy(*SERIES_KEY))
-        .applyInPandas(run, "area string, series string, idx bigint, predicted double")
-        .select("area", grid_time(F.col("idx"), step).alias("ts"), "series", "predicted")
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for k in range(0, len(whole), FORECAST_SERIES):
+                batch = list(whole.iloc[k : k + FORECAST_SERIES].rename(columns={"_idx": "tail_idx", "_value": "tail"}).itertuples(index=False))
+                for own in batch:
+                    if own.tail is None:
+                        raise ValueError(f"no data for the model of {own.area}/{own.series}")
+                    if not any_start and first != own.last_idx + 1:
+                        raise ValueError(f"the forecast of {own.series} must start right after its data")
+                y = np.array([_dense(own.tail_idx, own.tail, own.last_idx - back + 1, back) for own in batch])
+                paths = predict_paths(batch, y, steps)
+                for own, path in zip(batch, paths):
+                    if not np.isfinite(path).all():
+                        raise ValueError(f"a gap in the last {back} steps of {own.area}/{own.series}; fill it before forecasting")
+                yield pd.DataFrame({
+                    "area": np.repeat([own.area for own in batch], steps), "series": np.repeat([own.series for own in batch], steps),
+                    "idx": np.tile(first + np.arange(steps), len(batch)), "predicted": paths.ravel(),
+                })
+
+    scored = joined.mapInPandas(run, "area string, series string, idx bigint, predicted double")
+    return scored.select("area", grid_time(F.col("idx"), step).alias("ts"), "series", "predicted")
 
 
 def fitted_values(df: DataFrame, models: DataFrame, search: Search) -> DataFrame:
