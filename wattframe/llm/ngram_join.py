@@ -213,7 +213,7 @@ def prefix_entries(n: int, counts: np.ndarray, shingles: np.ndarray, share: tupl
 
 
 def _index(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """``entry, cid, n`` with the entries of each class."""
+    """``entry, cid, n`` with the entries of each class, each once."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +230,7 @@ def _index(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
             for i, (cid, n) in enumerate(zip(batch.column("cid").to_pylist(), batch.column("n").to_pylist())):
                 part = slice(starts[i], starts[i + 1])
                 order = np.lexsort((shingles[part], counts[part]))
-                found = np.array(prefix_entries(n, counts[part][order], shingles[part][order], share), np.uint64)
+                found = np.unique(np.array(prefix_entries(n, counts[part][order], shingles[part][order], share), np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(mixed(found).view("<i8")), *(pa.array(np.full(len(found), x, "<i8")) for x in (cid, n))], ["entry", "cid", "n"])
 
@@ -340,7 +340,7 @@ def _block_links(entries: DataFrame, sets: DataFrame, share: tuple[int, int], ev
 
 def _links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links ``a, b`` between classes, enough of them to join all that are linked directly or by way of others."""
-    index = cut_lineage(_index(sets, share).distinct())
+    index = cut_lineage(_index(sets, share))
     chosen = F.min(F.struct(F.xxhash64("cid", "entry").alias("chance"), "cid", "n")).alias("first")
     full = index.groupBy("entry").agg(F.count(F.lit(1)).alias("size"), chosen).where("size > 1")
     tied = index.join(full.select("entry", F.col("first.cid").alias("other"), F.col("first.n").alias("m")), "entry")
@@ -363,7 +363,7 @@ def _links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
 
 def _every_link(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """All links ``a, b`` between classes, each once, ``a`` below ``b``."""
-    index = cut_lineage(_index(sets, share).distinct())
+    index = cut_lineage(_index(sets, share))
     full = index.groupBy("entry").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = cut_lineage(index.join(full, "entry"))
     few, many = rows.where(F.col("size") <= SMALL_ENTRY), rows.where(F.col("size") > SMALL_ENTRY)
