@@ -14,14 +14,23 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are
 
 
 def final_plan(df):
+    """The executed plan, subqueries included, without the plans that it began with."""
     df.collect()
-    text = df._jdf.queryExecution().executedPlan().toString()
-    return text.split("== Initial Plan")[0]
+    kept, skipped = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :|"))
+        if skipped is not None and depth > skipped:
+            continue
+        skipped = depth if "== Initial Plan" in line else None
+        if skipped is None:
+            kept.append(line)
+    return "\n".join(kept)
 
 
 @needs_tables
 @pytest.mark.parametrize("name", [
     "a01_downsample", "w01_profile", "w01_profile_orders", "d01_persistence", "f01_align", "f02_interpolate", "prepared_dataset",
+    "a03_scale", "a04_unscale", "d05_scaled_profile",
 ])
 def test_the_table_is_scanned_once(spark, name):
     assert final_plan(queries.all_queries()[name](spark, SF)).count("FileScan") == 1
@@ -97,3 +106,27 @@ def test_a_long_series_is_spread_over_tasks(spark, readings):
             assert len(sizes) > 1 and max(sizes) < 40_000 * 0.8
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_profiles_of_few_dates_read_their_folders_only(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    from pyspark.sql import functions as F
+
+    from wattframe.sources import readings as source
+
+    hours = spark.range(24 * 90).select(
+        F.explode(F.array(F.lit("a"), F.lit("b"))).alias("area"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.expr("interval '1' hour") * F.col("id")).alias("ts"),
+        F.lit("x").alias("series"), F.col("id").cast("double").alias("value"))
+    path = str(tmp_path / "readings")
+    source.write_readings(hours, path)
+    days, plain = source.read_days(spark, path), hours
+    for make in (profile.future_profiles, lambda df: profile.profile_for_date(df, "20240320")):
+        got = make(days)
+        plan = final_plan(got)
+        scans = [line for line in plan.splitlines() if "FileScan" in line and "value" in line]
+        assert len(scans) == 1 and "dynamicpruningexpression(date" in scans[0]
+        key = lambda df: sorted((r.area, str(r.ts), r.series, r.pslp) for r in df.collect())
+        assert key(got) == key(make(plain))
+    counts = profile.day_table(days, 3_600)
+    assert "ReadSchema: struct<series:string>" in final_plan(counts)

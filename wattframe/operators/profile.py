@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.daytype import day_type, next_same_type
 from ..functions.timegrid import DAY_SECONDS, grid_time, slot_of_day
+from ..session import cut_lineage
 
 PARTIAL_MODES = ("error", "skip", "null")
 
 
-def _date() -> Column:
-    return F.to_date("ts")
+def _date(df: DataFrame) -> Column:
+    """The rows' date; a column ``date``, as ``readings.read_days`` keeps it, is the date of ``ts`` already."""
+    return F.col("date") if "date" in df.columns else F.to_date("ts").alias("date")
 
 
 def _kind(holidays: DataFrame | None, country: str) -> Column:
@@ -23,7 +25,7 @@ def _kind(holidays: DataFrame | None, country: str) -> Column:
 
 def _day_rows(df: DataFrame) -> DataFrame:
     """Least and most rows that a series of the area has on a date."""
-    rows = df.groupBy("area", "series", _date().alias("date")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.groupBy("area", "series", _date(df)).agg(F.count(F.lit(1)).alias("_n"))
     return rows.groupBy("area", "date").agg(F.min("_n").alias("least_rows"), F.max("_n").alias("most_rows"))
 
 
@@ -107,7 +109,7 @@ def profiles(
     _check_mode(on_partial)
     days = rank_days(day_table(df, step, country, holidays), skip_partial=on_partial == "skip")
     rows = df.select(
-        "area", "ts", "series", "value", _date().alias("date"), slot_of_day("ts", step).alias("slot")
+        "area", "ts", "series", "value", _date(df), slot_of_day("ts", step).alias("slot")
     ).join(days.select("area", "date", "day_type", "day_rank", "full"), ["area", "date"])
     back = (
         Window.partitionBy("area", "series", "day_type", "slot").orderBy("day_rank").rangeBetween(-lookback, -1)
@@ -122,9 +124,15 @@ def profiles(
 
 
 def _mean_of(df: DataFrame, chosen: DataFrame, lookback: int, step: int, on_partial: str) -> DataFrame:
-    """Slot means over the rows of the chosen (area, date, target_date) days."""
+    """Slot means over the rows of the chosen (area, date, target_date) days.
+
+    Where the rows have a folder for each date, the chosen days are settled first, from counts, as a written table:
+    Spark then knows its size and reads only the folders of its dates.
+    """
+    if "date" in df.columns:
+        chosen = cut_lineage(chosen).where(F.col("date") < F.col("target_date"))  # true of all; lets Spark prune by them
     rows = (
-        df.select("area", "series", "value", _date().alias("date"), slot_of_day("ts", step).alias("slot"))
+        df.select("area", "series", "value", _date(df), slot_of_day("ts", step).alias("slot"))
         .join(chosen, ["area", "date"])
     )
     if on_partial == "error":

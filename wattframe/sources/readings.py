@@ -30,6 +30,14 @@ def read_readings(
     return select_range(readings, start, end, area, zone)
 
 
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """All readings in the layout of :func:`write_readings`, with the ``date`` of each: ``(area, ts, series, value, date)``.
+
+    Profiles of one date or of the days to come count the days by their folders and read only those they need.
+    """
+    return spark.read.schema(READINGS_SCHEMA + ", date date").parquet(path)
+
+
 def select_range(readings: DataFrame, start: str, end: str, area: str = GERMANY, zone: str = ZONE) -> DataFrame:
     """The rows of ``area`` with ``start <= ts < end``."""
     ts = F.col("ts")
