@@ -1,11 +1,12 @@
 import collections
+import hashlib
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from wattframe.llm import mixing, sharding
-from wattframe.llm.common import word_count
+from wattframe.llm import mixing, queries, sharding
+from wattframe.llm.common import source_key, word_count
 
 DOCS = "doc_id long, text string, source string, size string, _rows int, _bin int"
 
@@ -93,3 +94,26 @@ def test_interleave_small(spark):
     assert sharding.interleave(sharding.measured(documents(spark, [])), 40).count() == 0
     few = sharding.interleave(sharding.measured(documents(spark, [(1, "a", "x"), (2, None, None)])), 40).collect()
     assert sorted(r.slot for r in few) == [0, 0] and len({r.shard for r in few}) == 2
+
+
+def test_sharding_query_equals_its_law(spark):
+    """The registered query on the whole table: ranks within sources, then all by fraction, in plain Python."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text", source_key().alias("g")).collect()
+    rows = []
+    for r in docs:
+        data = (r.text or "").encode()
+        size, crc = len(data) + 16, zlib.crc32(data)
+        digest = hashlib.md5(f"1:{r.doc_id}:{crc}:{size}".encode()).hexdigest()
+        rows.append(((int(digest[:13], 16) + 0.5) / 16**13, r.doc_id, crc, size, r.g))
+    placed, counts, seen = [], collections.Counter(r[-1] for r in rows), collections.Counter()
+    for u, doc, crc, size, group in sorted(rows):
+        placed.append(((seen[group] + 0.5) / counts[group], group, doc, crc, size))
+        seen[group] += 1
+    n, want = len(placed), []
+    for at, (_, _, doc, crc, size) in enumerate(sorted(placed)):
+        shard = at * 40 // n
+        want.append((doc, size, crc, "rows", shard, at - -(-shard * n // 40), None))
+    got = queries.op10_sharding(spark, folder)
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
