@@ -273,6 +273,40 @@ def product_step(start: list[float], season: int = 24) -> str:
 FROM err WHERE after <= before QUALIFY row_number() OVER (PARTITION BY area, series ORDER BY share DESC) = 1"""
 
 
+def one_step(rate: float) -> str:
+    """Forward, backward and one step of the cell with one hidden unit over windows of one hour, then forward again."""
+    w, n = _weights(), range(len(SERIES))
+    sig = lambda x: f"(0.5 * (1 + tanh(0.5 * ({x}))))"
+    names = {f"w{k}_{j}": w["w_input"][k][j] for k in (0, 2, 3) for j in n} | {f"b{k}": w["b_gate"][k] for k in (0, 2, 3)}
+    names |= {f"v{j}": w["w_out"][j][0] for j in n} | {f"u{j}": w["b_out"][j] for j in n}
+
+    def forward(source: str, name: str) -> list[str]:
+        gates = {g: " + ".join([f"w{k}_{j} * x{j}" for j in n] + [f"b{k}"]) for g, k in (("i", 0), ("g", 2), ("o", 3))}
+        return [
+            f"{name}_g AS (SELECT *, {sig(gates['i'])} AS i, tanh({gates['g']}) AS g, {sig(gates['o'])} AS o FROM {source})",
+            f"{name}_h AS (SELECT *, tanh(i * g) AS tc, o * tanh(i * g) AS h FROM {name}_g)",
+            f"{name} AS (SELECT *, {', '.join(f'v{j} * h + u{j} - y{j} AS e{j}' for j in n)} FROM {name}_h)",
+        ]
+
+    back = " + ".join(f"2 * e{j} * v{j}" for j in n)
+    slopes = {"i": "dc * g * i * (1 - i)", "g": "dc * i * (1 - g * g)", "o": "dh * tc * o * (1 - o)"}
+    sums = {f"w{k}_{j}": f"sum(by_{g} * x{j})" for g, k in (("i", 0), ("g", 2), ("o", 3)) for j in n}
+    sums |= {f"b{k}": f"sum(by_{g})" for g, k in (("i", 0), ("g", 2), ("o", 3))}
+    sums |= {f"v{j}": f"sum(2 * e{j} * h)" for j in n} | {f"u{j}": f"sum(2 * e{j})" for j in n}
+    moved = ", ".join(f"{v!r} - {rate!r} * G.{c} / (abs(G.{c}) + 1e-8) AS {c}" for c, v in names.items())
+    loss = f"sum({' + '.join(f'e{j} * e{j}' for j in n)}) / (5 * count(*))"
+    data = ", ".join(f"b{j} AS x{j}, y{j}" for j in n)
+    return _with(
+        SCALED, _vectors(), f"d AS (SELECT {data} FROM x WHERE pos >= 1 AND pos < floor(n * 0.6))",
+        f"d0 AS (SELECT *, {', '.join(f'{v!r} AS {c}' for c, v in names.items())} FROM d)", *forward("d0", "one"),
+        f"dh AS (SELECT *, {back} AS dh, ({back}) * o * (1 - tc * tc) AS dc FROM one)",
+        f"dd AS (SELECT *, {', '.join(f'{v} AS by_{g}' for g, v in slopes.items())} FROM dh)",
+        f"G AS (SELECT {', '.join(f'{v} / (5 * count(*)) AS {c}' for c, v in sums.items())} FROM dd)",
+        f"moved AS (SELECT {moved} FROM G)", "d1 AS (SELECT * FROM d, moved)", *forward("d1", "two"),
+    ) + f"""SELECT CAST(0 AS INTEGER) AS epoch, {r6(loss)} AS train_loss FROM one
+UNION ALL SELECT CAST(1 AS INTEGER) AS epoch, {r6(loss)} AS train_loss FROM two"""
+
+
 def _shock_models(out: dict[str, str]) -> None:
     out["m04_shock_model"] = out["m05_shock_refit"] = out["m06_shock_update"] = _with(SHOCK_MODEL) + f"""
 SELECT model.area, model.series, CAST(1 AS INTEGER) AS p, CAST(1 AS INTEGER) AS q, CAST(0 AS INTEGER) AS sp,
@@ -288,8 +322,9 @@ f AS (
   SELECT f.area, f.series, f.ts + INTERVAL 1 HOUR, h + 1, b0 + b1 * y + b2 * e, 0.0
   FROM f JOIN model ON model.area = f.area AND model.series = f.series WHERE h < 48)
 SELECT area, ts, series, {r6('y')} AS predicted FROM f WHERE h > 0"""
-    from .queries import PRODUCT_START
+    from .queries import LEARNING_RATE, PRODUCT_START
 
+    out["m13_one_step"] = one_step(LEARNING_RATE)
     out["m04_product_step"] = product_step(PRODUCT_START)
 
 

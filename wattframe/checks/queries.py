@@ -608,6 +608,7 @@ def s05_weights(spark, sf):
 #: One lag and one seasonal lag: three coefficients.
 SMALL = lagmodel.Search(m=24, step=HOUR, max_p=1, min_q=0, max_q=0, max_sp=1, min_sq=0, max_sq=0, max_d=0, max_sd=0, long_lags=24, block=256)
 SMALL_HIDDEN, SMALL_WINDOW = 1, 2
+LEARNING_RATE = 0.05
 
 
 def _small_model(spark, sf):
@@ -789,6 +790,16 @@ def m13_first_loss(spark, sf):
     return _rounded(history.select("epoch", "train_loss"), "train_loss")
 
 
+def m13_one_step(spark, sf):
+    """Losses before and after one step of all weights, from windows of an hour."""
+    rows = windows.chronological_split(_scaled(spark, sf), step=HOUR)
+    names = windows.feature_names(rows)
+    part = lambda name: cut_lineage(
+        windows.sequence_blocks(rows.where(F.col("part") == name).drop("part"), 1, 1, HOUR, 64))
+    _, history = network.train(part("train"), part("valid"), _small_weights(names), 1, 2, LEARNING_RATE, n_batches=1, size=64, on_null="drop")
+    return _rounded(history.select("epoch", "train_loss"), "train_loss")
+
+
 def s05_stored_lines(spark, sf):
     """Coefficients of each series' line, which the table determines, written and read back as weights."""
     lines = regressor.series_lines(_line_rows(spark, sf), HOUR, 256)
@@ -816,7 +827,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         m09_network_scores, m10_n_steps, m11_next_step_errors, m12_regression, m13_training, s04_models, s05_weights,
         m04_shock_model, m05_shock_refit, m06_shock_update, m07_shock_forecast, m08_shock_fitted, m04_product_step, m04_product_gain,
         m04_lag_model, m05_lag_refit, m06_lag_update, m07_lag_forecast, m08_lag_fitted, s04_stored_models,
-        m09_cell, m10_two_steps, m11_cell_errors, m12_line_per_series, m12_wide_windows, m13_first_loss, s05_stored_lines,
+        m09_cell, m10_two_steps, m11_cell_errors, m12_line_per_series, m12_wide_windows, m13_first_loss, m13_one_step, s05_stored_lines,
         w02_date_of_areas, m01_differencing,
     ]
     return {f.__name__: f for f in named}
