@@ -341,7 +341,8 @@ def _block_links(entries: DataFrame, sets: DataFrame, share: tuple[int, int], ev
 def _links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links ``a, b`` between classes, enough of them to join all that are linked directly or by way of others."""
     index = cut_lineage(_index(sets, share))
-    chosen = F.min(F.struct(F.xxhash64("cid", "entry").alias("chance"), "cid", "n")).alias("first")
+    # the same class for all entries of a group, so that its pairs with the others are few
+    chosen = F.min(F.struct(F.xxhash64("cid").alias("chance"), "cid", "n")).alias("first")
     full = index.groupBy("entry").agg(F.count(F.lit(1)).alias("size"), chosen).where("size > 1")
     tied = index.join(full.select("entry", F.col("first.cid").alias("other"), F.col("first.n").alias("m")), "entry")
     ends = [F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")]
