@@ -96,7 +96,7 @@ class Pieces(dict):
 
 
 class Coder:
-    """One vocabulary with its split pattern; a worker process keeps it between tasks."""
+    """One vocabulary with its split pattern; a worker process keeps it between tasks, the pieces only within one."""
 
     _loaded: dict[tuple[str, str], Coder] = {}
 
@@ -138,6 +138,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             for part in slices(batch, "text"):
                 ids = [coder.encode(t) if t else b"" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
+        coder.pieces.clear()  # the worker goes on to other tasks
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
