@@ -42,12 +42,37 @@ def test_exact_top_k(spark, monkeypatch, kind):
     monkeypatch.setattr(topk, "GROUP_ROWS", 150)
     monkeypatch.setattr(topk, "BUCKET_ROWS", 40)
     monkeypatch.setattr(topk, "QUERY_ROWS", 30)
+    monkeypatch.setattr(topk, "HOLD_BYTES", 9_000)
     rows = shapes(kind)
     asked = {i: v for i, v in rows.items() if i % 10 == 0}
     got = topk.exact_top_k(frame(spark, asked.items()), frame(spark, rows.items()), 20)
     assert rows_of(got) == products(asked, rows, 20)
 
 
+@pytest.mark.parametrize("held", [1_000_000, 6_000])
+def test_each_vector_is_sent_a_bounded_number_of_times(spark, monkeypatch, held):
+    """A group goes out once per deal, and deals are bounded by tasks; a block of queries goes out once per run."""
+    monkeypatch.setattr(topk, "HOLD_BYTES", held)
+    sent = {}
+    for n in (600, 2_400):
+        rows = frame(spark, shapes("plain", n).items())
+        ready = topk.one_per_id(rows, "vec_id", "vector")
+        groups, asked = topk._blocks(ready, 8, 100).cache(), topk._blocks(ready, 8, 50).cache()
+        asked = asked.selectExpr("*", "0.0D AS need", "CAST('' AS BINARY) AS theta", "-1L AS first")
+        runs = topk.held_groups(groups).agg({"held": "max"}).first()[0] + 1
+        work, cells = topk._cells(groups, asked, 6)
+        bytes_sent = {r.role: r.b for r in work.groupBy("role").agg(topk.F.sum(topk.F.octet_length("data")).alias("b")).collect()}
+        once = [df.agg(topk.F.sum(topk.F.octet_length("data"))).first()[0] for df in (groups, asked)]
+        deals = cells // runs
+        assert deals <= max(1, -(-6 // runs)) and cells >= 6
+        assert bytes_sent == {0: once[0] * deals, 1: once[1] * runs}
+        sent[n] = deals, runs
+    if held == 1_000_000:
+        assert sent[600] == sent[2_400]
+    else:
+        assert sent[2_400][0] == 1 and sent[2_400][1] > 4
+
+
 def test_buckets_prune():
     """Coordinates and lengths select the same results as multiplying everything."""
     rows = shapes("clusters", 900)
