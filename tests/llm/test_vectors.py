@@ -124,6 +124,53 @@ def test_nearest(spark, monkeypatch, kind):
         assert [j for q, _, j, _ in got if q == 0] == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("kind", ["plain", "clusters", "hot"])
+def test_nearest_with_several_hashes(spark, monkeypatch, kind):
+    """Three hashes in a table; buckets share groups, groups are cut into cells."""
+    monkeypatch.setattr(ann, "CELL_ROWS", 60)
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 0.05)
+    assert len(ann.hash_widths(700, 32)) == 3 and ann.low_bits([32, 32, 2]) > 2
+    rows = shapes(kind, dim=24)
+    asked = {i: v for i, v in rows.items() if i % 10 == 0}
+    got = rows_of(ann.nearest(frame(spark, asked.items()), frame(spark, rows.items()), 5, tables=24, probes=16))
+    want = cosines(asked, rows, 5)
+    assert recall(got, want) >= 0.9
+    true = {(q, j): s for q, _, j, s in cosines(asked, rows, len(rows))}
+    assert all(s == pytest.approx(true[q, j], abs=1e-12) for q, _, j, s in got)
+    assert len({(q, j) for q, _, j, _ in got}) == len(got)
+
+
+def test_candidates_grow_more_slowly_than_the_table():
+    rng = np.random.default_rng(3)
+    met, found = {}, {}
+    for n in (4_000, 64_000):
+        data = rng.normal(size=(n, 64))
+        data /= np.sqrt((data * data).sum(1, keepdims=True))
+        asked = data[:50]
+        scores = asked @ data.T
+        scores[np.arange(50), np.arange(50)] = -2
+        best = np.argsort(-scores, axis=1)[:, :5]
+        widths = ann.hash_widths(n, 64)
+        met[n], hit = 0, np.zeros(best.shape, bool)
+        for table in range(ann.TABLES):
+            filed = ann.codes(data, table, widths, 1, 7)[:, 0]
+            probes = ann.codes(asked, table, widths, ann.n_probes(widths, ann.PROBES), 7)
+            sizes = np.bincount(filed, minlength=int(np.prod([2 * w for w in widths])))
+            met[n] += sizes[probes].sum() / 50
+            hit |= (filed[best][:, :, None] == probes[:, None, :]).any(2)
+        found[n] = hit.mean()
+    assert met[64_000] < 6 * met[4_000]  # the table is 16 times as large
+    assert min(found.values()) >= 0.9
+
+
+def test_scores_out_of_the_range_of_squares(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1.0, 0.0]), (2, [1e-200, 1e-200]), (50, [0.0, 1.0])]
+    got = rows_of(ann.nearest(frame(spark, rows), frame(spark, rows), 3, probes=4))
+    assert {(q, j): s for q, _, j, s in got} == pytest.approx({
+        (q, j): 0.0 if {q, j} == {1, 50} else 1.0 if {q, j} == {0, 2} else 0.5**0.5
+        for q in (0, 1, 2, 50) for j in (0, 1, 2, 50) if q != j})
+
+
 def test_nearest_odd_rows(spark):
     df = frame(spark, ODD)
     got = rows_of(ann.nearest(df.where("vec_id % 20 = 0"), df, 5, tables=20, probes=4))
