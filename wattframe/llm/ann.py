@@ -65,6 +65,10 @@ def codes(unit: np.ndarray, table: int, widths: list[int], n: int, seed: int) ->
     costs, found = np.zeros((len(unit), 1)), np.zeros((len(unit), 1), np.int64)
     for i, w in enumerate(widths):
         x = rotated(unit, table if not i else i * 1_000_003 + table, seed)[:, :w]
+        if n == 1:  # nothing to weigh
+            axis = np.abs(x).argmax(1)[:, None]
+            found = found * (2 * w) + 2 * axis + (np.take_along_axis(x, axis, 1) > 0)
+            continue
         x = np.stack((-x, x), axis=2).reshape(len(x), 2 * w)  # axis ``2 * i``, and ``2 * i + 1`` for its positive side
         near = np.argsort(-x, axis=1, kind="stable")[:, :n]
         x = np.take_along_axis(x, near, 1)
