@@ -270,10 +270,10 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str =
                     [pa.array(x, pa.int64()) for x in (ids.repeat(counts).tolist(), sum(found.ids, []), sum(found.scores, []))],
                     ["query_id", "vec_id", "score"])
 
-    seeds = cut_lineage(bounded(asked.repartition("block").crossJoin(F.broadcast(first))).mapInArrow(
-        seed, "block bigint, first bigint, need double, theta binary, query_ids array<bigint>, vec_ids array<bigint>, scores array<bigint>"))
     spark = queries.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    seeds = cut_lineage(bounded(asked.repartition(tasks, "block").crossJoin(F.broadcast(first))).mapInArrow(
+        seed, "block bigint, first bigint, need double, theta binary, query_ids array<bigint>, vec_ids array<bigint>, scores array<bigint>"))
     work, n_cells = _cells(groups, asked.join(seeds.select("block", "first", "need", "theta"), "block"), tasks)
     spread = work.repartition(max(1, min(2 * n_cells, 4 * tasks)), "held", "deal").sortWithinPartitions("held", "deal", "role", "block")
     more = spread.mapInArrow(rest, "query_id bigint, vec_id bigint, score bigint")
