@@ -20,14 +20,15 @@ CELL_ROWS = 4_096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of each row; the width is a power of two."""
+    """Fast Walsh-Hadamard transform of each row; the width is a power of two. Steps run along the rows' places in memory."""
     n, width = x.shape
-    step = 1
+    x, step = np.ascontiguousarray(x.T), 1
     while step < width:
-        x = x.reshape(n, width // (2 * step), 2, step)
-        x = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), axis=2).reshape(n, width)
+        x, old = np.empty((width // (2 * step), 2, step, n)), x.reshape(width // (2 * step), 2, step, n)
+        np.add(old[:, 0], old[:, 1], out=x[:, 0])
+        np.subtract(old[:, 0], old[:, 1], out=x[:, 1])
         step *= 2
-    return x / np.sqrt(width)
+    return (x.reshape(width, n) / np.sqrt(width)).T
 
 
 def rotated(x: np.ndarray, table: int, seed: int) -> np.ndarray:
