@@ -92,6 +92,23 @@ def test_double_array():
     assert array.step(np.zeros(1, np.int64), np.array([10**6]))[0] == -1
 
 
+def test_double_array_of_consecutive_siblings(monkeypatch):
+    """First turns of a sorted run have ids in a row; their families, spread over all ids, still take few cells."""
+    grow = trie.DoubleArray._grow
+
+    def small(self, size):
+        assert size < 50_000
+        grow(self, size)
+
+    monkeypatch.setattr(trie.DoubleArray, "_grow", small)
+    rng = np.random.default_rng(3)
+    seqs = sorted({(1, 1_000 + i, int(x)) for i in range(900) for x in rng.integers(0, 9_000, 6)})
+    lengths = np.full(len(seqs), 3)
+    array, node_of = trie.pack(np.array(seqs).ravel(), 3 * np.arange(len(seqs)), lengths)
+    assert len(array.check) < 4 * len(seqs) + 9_000
+    assert len(set(node_of.tolist())) == len({s[: d + 1] for s in seqs for d in range(3)}) == (array.check >= 0).sum()
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_nodes(spark, seed):
     check(spark, conversations(seed))

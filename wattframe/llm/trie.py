@@ -19,6 +19,8 @@ from .parts import with_keys
 LEVEL = 1_024
 #: Sequences and turns of one trie.
 CHUNK_ROWS, CHUNK_TURNS = 4_096, 200_000
+#: Cells of a double array that are tried at a time.
+SPAN = 1_024
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 _NO_ID = 2**63 - 1
 _KEY = 16  # bytes of a turn's digest
@@ -36,6 +38,7 @@ class DoubleArray:
         self.check = np.full(1, -2, np.int64)
         self.depth = np.full(1, -1, np.int64)
         self._free = 1
+        self._roomy = 1  # before it, siblings are not looked for: hardly a cell is free
 
     def _grow(self, size: int) -> None:
         more = max(size, 2 * len(self.check)) - len(self.check)
@@ -44,13 +47,26 @@ class DoubleArray:
             self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
             self.depth = np.concatenate([self.depth, np.full(more, -1, np.int64)])
 
-    def _place(self, ids: np.ndarray, tries: int = 64) -> int:
-        """The first base with room for all children among the next free places, or one behind all that is taken."""
-        for slot in np.flatnonzero(self.check[self._free : self._free + 16 * tries] == -1)[:tries] + self._free:
-            at = slot - ids[0] + ids
-            if at[-1] < len(self.check) and (self.check[at] == -1).all():
-                return int(slot - ids[0])
-        return int(len(self.check) - ids[0])
+    def _place(self, ids: np.ndarray) -> int:
+        """The first base with room for all children; all cells behind the array are free.
+
+        Cells are tried ``SPAN`` at a time. So the array ends where one more family doesn't fit before it: it grows
+        by what its nodes take, also when siblings have consecutive ids and leave few gaps.
+        """
+        away, start = ids - ids[0], max(self._free, self._roomy)
+        while start < len(self.check):
+            room = np.ones(SPAN, bool)
+            for i, d in enumerate(away.tolist()):
+                cells = self.check[start + d : start + d + SPAN] == -1
+                room[: len(cells)] &= cells
+                if not i and start == self._roomy and np.count_nonzero(room) < SPAN // 16:
+                    self._roomy += SPAN
+                if i % 16 == 0 and not room.any():
+                    break
+            if room.any():
+                return int(start + room.argmax() - ids[0])
+            start += SPAN
+        return int(start - ids[0])
 
     def add_children(self, parents: np.ndarray, ids: np.ndarray, depth: int) -> None:
         """Give each parent its children; pairs come sorted and once."""
