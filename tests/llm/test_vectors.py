@@ -187,3 +187,12 @@ def test_recall(spark, folder):
     got = rows_of(op3_nearest(spark, folder))
     want = cosines({i: v for i, v in rows.items() if i % 50 == 0}, rows, 5)
     assert len(got) == len(want) and recall(got, want) >= 0.9
+
+
+def test_nearest_prepares_rows_once(spark):
+    """Rows are hashed twice; what comes before, one row per id and few of equal vectors, is not in the plan again."""
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(40)], "vec_id long, vector array<float>")
+    got = ann.nearest(rows.where("vec_id % 20 = 0"), rows, 2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(vector" not in plan and "LocalRelation" not in plan and "LogicalRDD" not in plan
+    assert got.count() == 4

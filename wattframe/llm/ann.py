@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .vectors import first_of_equals, matrix, one_per_id, ranked
 
 #: Tables, and buckets that a query looks at in each while a table has one hash. Recall rises with both, and so does the work.
@@ -165,8 +166,11 @@ def nearest(
     sizes = [df.agg(F.max(F.size("vector")), F.count(F.lit(1))).first() for df in (queries, candidates)]
     dim = max(*(size or 0 for size, _ in sizes), 1)
     widths = hash_widths(sizes[1][1], 1 << max(0, dim - 1).bit_length())
-    filed = _hashed(first_of_equals(candidates, k + 1), dim, tables, widths, 1, seed, number)
-    asked = _hashed(queries, dim, tables, widths, n_probes(widths, probes), seed, number)
+    # written once: rows are hashed twice, for the sizes of the buckets and to be sent, and the plan has its steps before once
+    kept = [cut_lineage(df.withColumn("vector", F.col("vector").cast("array<float>" if number == "<f4" else "array<double>")))
+            for df in (first_of_equals(candidates, k + 1), queries)]
+    filed = _hashed(kept[0], dim, tables, widths, 1, seed, number)
+    asked = _hashed(kept[1], dim, tables, widths, n_probes(widths, probes), seed, number)
     cells = lambda df, out: df.groupBy("key").agg((F.floor(F.count(F.lit(1)) / CELL_ROWS) + 1).alias(out))
     cut = cells(filed, "c_cells").join(cells(asked, "q_cells"), "key")  # one row per group of buckets
 
