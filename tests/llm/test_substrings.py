@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ import pytest
 from wattframe.llm import substring, suffixes
 from wattframe.llm.suffixes import common, multikey_order, repeated
 from wattframe.llm.words import column_bytes
+from wattframe.session import FREE_SHUFFLES
 
 SCHEMA = "doc_id long, text string, key string, id int, part string, kept int"
 
@@ -134,6 +137,30 @@ def test_documents(spark):
     assert sum(r[2] for r in got) > 0
 
 
+def shuffle_files(spark):
+    """Sizes of the files that shuffles have left."""
+    tops = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    found = [f"{d}/{x}" for top in tops for d, _, names in os.walk(top) for x in names if x.startswith("shuffle_")]
+    return {f: os.path.getsize(f) for f in found if os.path.exists(f)}
+
+
+def test_steps_leave_no_shuffles(spark):
+    """When the spans are known, the texts and segments that were shuffled to find them are off the disk."""
+    rng = random.Random(12)
+    passages = [rng.randbytes(400).hex() for _ in range(20)]
+    rows = [(i, rng.randbytes(500).hex() + rng.choice(passages)) for i in range(600)]
+    before = shuffle_files(spark)
+    found = suffixes.remove_repeats(frame(spark, rows))
+    left = lambda: sum(n for f, n in shuffle_files(spark).items() if f not in before)
+    for _ in range(20):  # executors are told, and not waited for
+        if left() < 50_000:
+            break
+        time.sleep(0.5)
+    assert left() < 50_000 < sum(len(t) for _, t in rows) / 20
+    assert taken(found) == without_repeated_bytes(rows, 400)
+    assert spark.conf.get(FREE_SHUFFLES, None) != "true"
+
+
 def test_text_without_broken_characters(spark):
     text = "é" * 30 + "tail"
     got = suffixes.remove_repeats(frame(spark, [(1, "x" + text), (2, "y" + text[1:])]), 15).collect()
