@@ -319,3 +319,11 @@ def test_lines_of_all_series_at_once(readings):
         assert got[name] == (pytest.approx(slope, rel=1e-6), pytest.approx(intercept, rel=1e-6, abs=1e-9))
     assert got["flat"] == (None, None)
     assert regressor.line_forecast(df, lines, 3_600, 16).where("predicted is not null").count() == 2 * 79
+
+
+def test_lines_after_missing_values(readings):
+    """A row after a missing value stays, without a prediction; the first row of a series has none before it."""
+    df = readings({"x": [None, None, 1.0, 2.0, 4.0, 3.0, None, 5.0]})
+    got = regressor.line_forecast(df, regressor.series_lines(df, 3_600, 3), 3_600, 3).orderBy("ts").collect()
+    assert [r.value for r in got] == [None, 1.0, 2.0, 4.0, 3.0, None, 5.0]
+    assert [r.predicted is None for r in got] == [True, True, False, False, False, False, True]

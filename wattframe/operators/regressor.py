@@ -179,8 +179,9 @@ def series_lines(df: DataFrame, step: int, size: int = WINDOW_BLOCK) -> DataFram
 
 
 def line_forecast(df: DataFrame, lines: DataFrame, step: int, size: int = WINDOW_BLOCK) -> DataFrame:
-    """``(area, ts, series, value, predicted)`` of every row that has one a step before it."""
-    rows = with_lags(indexed(df, step), [1], size).where("lag_1 IS NOT NULL")
+    """``(area, ts, series, value, predicted)`` of every row that has one a step before it; null after a missing value."""
+    cells = indexed(df, step).withColumn("_cell", F.struct("value"))
+    rows = with_lags(cells, [1], size, "_cell").where("lag_1 IS NOT NULL")
     scored = join_per_key(rows, lines, SERIES_KEY, F.col("idx"))
-    predicted = F.col("intercept") + F.col("slope") * F.col("lag_1")
+    predicted = F.col("intercept") + F.col("slope") * F.col("lag_1.value")
     return scored.select("area", grid_time(F.col("idx"), step).alias("ts"), "series", "value", predicted.alias("predicted"))
