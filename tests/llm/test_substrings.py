@@ -200,6 +200,18 @@ def test_repeated_segments():
             assert got == want
 
 
+def test_one_interval_for_windows_that_overlap():
+    rng = random.Random(5)
+    common_part = bytes(rng.choices(range(65, 90), k=60))
+    segments = []  # all share a stretch of their own length around the anchor: classes change at many distances
+    for _ in range(60):
+        a, b = rng.randrange(12, 30), rng.randrange(12, 30)
+        tail = lambda n: bytes(rng.choices(range(97, 122), k=n))
+        segments.append((tail(30 - a) + common_part[30 - a : 30 + b] + tail(30 - b), 30))
+    found = repeated(segments, [1] * 60, 24)
+    assert sum(map(len, found)) == sum(map(bool, found)) > 30
+
+
 def test_column_bytes():
     import pyarrow as pa
 
