@@ -39,6 +39,19 @@ def test_tree():
                 tree.put(i, values[i])
 
 
+def test_tree_of_few_nodes():
+    rng = random.Random(4)
+    for n in (7, 32, 33, 1_024, 1_025, 40_000):
+        values = [rng.choice([5, 6, MinimumTree.NONE]) for _ in range(n)]
+        tree = MinimumTree(list(values))
+        assert sum(map(len, tree.levels)) <= n + n // 16  # short pieces: leaves only
+        for _ in range(50):
+            i = rng.randrange(n)
+            values[i] = rng.choice([4, 5, MinimumTree.NONE])
+            tree.put(i, values[i])
+            assert tree.first() == values.index(min(values))
+
+
 def test_every_character(library):
     coder = Coder.of(RANKS, P.PATTERN)
     wrong = []

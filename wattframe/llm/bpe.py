@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -19,59 +20,69 @@ PART_CHARS = 1_000_000
 
 
 class MinimumTree:
-    """Segment tree over positions: the leftmost position of the least rank, and point updates."""
+    """Segment tree over positions: the leftmost position of the least rank, and point updates.
+
+    A node has ``2 ** BITS`` children, whose least is found in one call: a piece of a few letters is a root with its leaves.
+    """
 
     NONE = 1 << 62
+    BITS = 5
 
     def __init__(self, ranks: list[int]):
-        """``ranks[i]``: rank of the pair that starts at ``i``; NONE for no pair. A node holds rank and place in one."""
-        self.size = size = 1 << max(0, len(ranks) - 1).bit_length()
-        self.tree = tree = [self.NONE] * (2 * size)
-        for i, rank in enumerate(ranks):
-            tree[size + i] = rank << 32 | i if rank < self.NONE else rank
-        for node in range(size - 1, 0, -1):
-            a, b = tree[2 * node], tree[2 * node + 1]
-            tree[node] = a if a <= b else b
+        """``ranks[i]``: rank of the pair that starts at ``i``; NONE for no pair. The list becomes the tree's leaves."""
+        level = ranks or [self.NONE]
+        self.levels = [level]
+        wide = 1 << self.BITS
+        while len(level) > wide:
+            level = [min(level[k : k + wide]) for k in range(0, len(level), wide)]
+            self.levels.append(level)
 
     def first(self) -> int:
         """Position of the least rank, the leftmost of equals; -1 without any pair."""
-        top = self.tree[1]
-        return -1 if top == self.NONE else top & 0xFFFFFFFF
+        top = self.levels[-1]
+        least = min(top)
+        if least == self.NONE:
+            return -1
+        i, bits = top.index(least), self.BITS
+        for level in self.levels[-2::-1]:
+            i = level.index(least, i << bits)
+        return i
 
     def put(self, i: int, rank: int) -> None:
-        tree, node = self.tree, self.size + i
-        tree[node] = rank << 32 | i if rank < self.NONE else rank
-        node >>= 1
-        while node:
-            a, b = tree[2 * node], tree[2 * node + 1]
-            least = a if a <= b else b
-            if tree[node] == least:
+        bits, below = self.BITS, self.levels[0]
+        below[i] = rank
+        for level in self.levels[1:]:
+            i >>= bits
+            least = min(below[i << bits : (i + 1) << bits])
+            if level[i] == least:
                 break
-            tree[node] = least
-            node >>= 1
+            level[i] = least
+            below = level
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a piece: whole if the vocabulary has it, else merged pair by pair, least rank and leftmost first."""
-    whole = ranks.get(piece)
+    rank_of = ranks.get
+    whole = rank_of(piece)
     if whole is not None:
         return [whole]
     n, none = len(piece), MinimumTree.NONE
-    tree = MinimumTree([ranks.get(piece[i : i + 2], none) for i in range(n - 1)])
+    tree = MinimumTree([rank_of(piece[i : i + 2], none) for i in range(n - 1)])
+    first, put = tree.first, tree.put if len(tree.levels) > 1 else tree.levels[0].__setitem__  # leaves below a root need no more
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (i := tree.first()) >= 0:
+    while (i := first()) >= 0:
         j = after[i]
         k = after[j]
         after[i] = k
         if j < n - 1:
-            tree.put(j, none)
+            put(j, none)
         if k < n:
             before[k] = i
-            tree.put(i, ranks.get(piece[i : after[k]], none))
+            put(i, rank_of(piece[i : after[k]], none))
         else:
-            tree.put(i, none)
+            put(i, none)
         if (h := before[i]) >= 0:
-            tree.put(h, ranks.get(piece[h:k], none))
+            put(h, rank_of(piece[h:k], none))
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -87,7 +98,8 @@ class Pieces(dict):
         self.ranks = ranks
 
     def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in merge(piece.encode(), self.ranks))
+        found = merge(piece.encode(), self.ranks)
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
                 self.clear()
