@@ -196,3 +196,12 @@ def test_nearest_prepares_rows_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(vector" not in plan and "LocalRelation" not in plan and "LogicalRDD" not in plan
     assert got.count() == 4
+
+
+def test_hashed_rows_are_not_broadcast(spark):
+    """Few queries become many hashed rows, whatever the planner takes them for; the driver must not hold them."""
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(40)], "vec_id long, vector array<float>")
+    got = ann.nearest(rows.where("vec_id % 20 = 0"), rows, 2)
+    assert len(got.collect()) == 4
+    run = got._jdf.queryExecution()
+    assert "Broadcast" not in run.sparkPlan().toString() + run.executedPlan().toString()

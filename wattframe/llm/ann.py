@@ -171,14 +171,20 @@ def nearest(
             for df in (first_of_equals(candidates, k + 1), queries)]
     filed = _hashed(kept[0], dim, tables, widths, 1, seed, number)
     asked = _hashed(kept[1], dim, tables, widths, n_probes(widths, probes), seed, number)
-    cells = lambda df, out: df.groupBy("key").agg((F.floor(F.count(F.lit(1)) / CELL_ROWS) + 1).alias(out))
-    cut = cells(filed, "c_cells").join(cells(asked, "q_cells"), "key")  # one row per group of buckets
+    counted = lambda df, c, q: df.select("key", F.lit(c).alias("c"), F.lit(q).alias("q"))
+    counts = counted(filed, 1, 0).unionAll(counted(asked, 0, 1)).groupBy("key").agg(F.sum("c").alias("c"), F.sum("q").alias("q"))
+    cells = lambda n: F.floor(F.col(n) / CELL_ROWS) + 1
+    cut = counts.where("c > 0 AND q > 0").select("key", cells("c").alias("c_cells"), cells("q").alias("q_cells"))  # one row per group of buckets
 
     def spread(df: DataFrame, own: str, other: str) -> DataFrame:
-        """A row falls into one of the bucket's cells of its own kind, and meets all cells of the other."""
+        """A row falls into one of the bucket's cells of its own kind, and meets all cells of the other.
+
+        The planner takes hashed rows for about as small as the vectors they come from and would broadcast far more
+        than its limit; the hint has the groups, which are few, looked up by key instead.
+        """
         place = F.pmod(F.xxhash64("id"), F.col(f"{own}_cells")).alias(own)
         every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_cells") - 1)).alias(other)
-        return df.join(cut, "key").select("key", place, every, "low", "id", "data")
+        return df.join(cut.hint("shuffle_hash"), "key").select("key", place, every, "low", "id", "data")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.Table.from_pydict({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
